@@ -36,3 +36,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, as ``doc_id`` and ``text``; a null text is an empty one."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Keep Arrow batches small, so that a Python worker's memory doesn't follow the length of texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def groups(batches, keys: int):
+    """(key, rows as one RecordBatch) for runs of equal values in the first ``keys`` columns of sorted batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    last = None
+
+    def whole():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            key = tuple(c[a] for c in cols)
+            if held and key != last:
+                yield last, whole()
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, whole()
