@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_output
+from . import decontamination, near_dedup, packing, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op2_token_output": token_output.op2_token_output,
         "op3_packing": packing.op3_packing,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
     }
 
 
