@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dedup, packing, pii, secrets, token_output
+from . import decontamination, near_dedup, packing, pii, quality, secrets, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_token_output": token_output.op2_token_output,
         "op3_packing": packing.op3_packing,
+        "op4_quality": quality.op4_quality,
         "op6_pii": pii.op6_pii,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
