@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dedup, packing, pii, quality, secrets, token_output
+from . import decontamination, near_dedup, nearest, packing, pii, quality, secrets, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,10 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3_packing,
         "op4_quality": quality.op4_quality,
         "op6_pii": pii.op6_pii,
+        "op7_nearest": nearest.op7_nearest,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_nearest": nearest.ORACLE_SQL}
