@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
-#: Words in each of the two generations whose ids a worker keeps. Bounds memory, never results.
-CACHE_WORDS = 200_000
+#: Words in each of the two generations whose ids a worker keeps, about. Bounds memory, never results.
+CACHE_WORDS = 400_000
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Unknown words that are joined into one string for the library.
 JOINED = 256
 
@@ -25,87 +27,86 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-class WordCache(dict):
-    """word -> bytes of its ids (little-endian unsigned 32-bit).
+class Encoder:
+    """Encodes texts as the library does with ``add_special_tokens=False``.
 
-    Unknown words are noted and read as None. Words of the older generation
-    move to this one when they are met.
+    ``known`` and ``older`` are two generations of word -> bytes of its ids. A
+    letter or digit and ASCII punctuation after it are always apart, and case
+    doesn't count, so a word's ids are those of its lower-case core and then of
+    its trailing punctuation.
     """
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.unknown: set[bytes] = set()
-        self.older: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes | None:
-        ids = self.older.get(word)
-        if ids is None:
-            self.unknown.add(word)
-        else:
-            self[word] = ids
-        return ids
-
-    def age(self) -> None:
-        if len(self) > CACHE_WORDS:
-            self.older = dict(self)
-            self.clear()
-
-
-class Encoder:
-    """Encodes texts as the library does with ``add_special_tokens=False``."""
-
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = WordCache()
-
-    def _learn(self) -> None:
-        words = list(self.cache.unknown)
-        self.cache.unknown.clear()
-        self.cache.age()
-        texts = [w.decode() for w in words]
-        for at in range(0, len(texts), JOINED * 64):
-            part = texts[at : at + JOINED * 64]
-            groups = [part[i : i + JOINED] for i in range(0, len(part), JOINED)]
-            found = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
-            k = at
-            for group, enc in zip(groups, found):
-                ids = np.array(enc.ids, dtype="<u4")
-                starts = np.cumsum([0] + [len(w) + 1 for w in group])
-                begins = np.fromiter((o[0] for o in enc.offsets), dtype=np.int64, count=len(ids))
-                cuts = np.searchsorted(begins, starts)
-                raw = ids.tobytes()
-                for j in range(len(group)):
-                    self.cache[words[k]] = raw[4 * cuts[j] : 4 * cuts[j + 1]]
-                    k += 1
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: Iterable[str | bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = []
-        open_texts = []
-        get = self.cache.__getitem__
+        out: list[bytes] = []
+        later: list[tuple[int, list[bytes]]] = []
+        words_later = 0
         for text in texts:
             words = (text if isinstance(text, bytes) else text.encode()).split()
             try:
-                out.append(b"".join(map(get, words)))
-            except TypeError:  # join met an unknown word; note all of this text's
-                for w in words:
-                    get(w)
-                open_texts.append((len(out), words))
-                out.append(None)
-                if len(self.cache.unknown) > CACHE_WORDS:
-                    self._settle(open_texts, out)
-        self._settle(open_texts, out)
+                out.append(b"".join(map(self.known.__getitem__, words)))
+            except KeyError:
+                later.append((len(out), words))
+                out.append(b"")
+                words_later += len(words)
+                if words_later > CACHE_WORDS:
+                    self._settle(later, out)
+                    words_later = 0
+        self._settle(later, out)
         return out
 
-    def _settle(self, open_texts: list[tuple[int, list[bytes]]], out: list[bytes | None]) -> None:
-        self._learn()
-        get = self.cache.__getitem__
-        for k, words in open_texts:
-            out[k] = b"".join(map(get, words))
-        open_texts.clear()
+    def _settle(self, later: list[tuple[int, list[bytes]]], out: list[bytes]) -> None:
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        new = set(chain.from_iterable(words for _, words in later)).difference(self.known)
+        known, older = self.known, self.older
+        split, cores, learn = [], [], set()
+        for word in new:
+            if (ids := older.get(word)) is not None:
+                known[word] = ids
+                continue
+            core = word.rstrip(PUNCTUATION).lower()
+            if core == word or not core or b"<|" in word or not (core[-1] < 128 or core.decode()[-1].isalnum()):
+                learn.add(word)  # as it is: among others, what may hold a special token
+                continue
+            split.append(word)
+            cores.append(core)
+            for part in (core, word[len(core) :]):
+                if part and part not in known:
+                    if (ids := older.get(part)) is not None:
+                        known[part] = ids
+                    else:
+                        learn.add(part)
+        self._learn(list(learn))
+        known[b""] = b""
+        for word, core in zip(split, cores):
+            known[word] = known[core] + known[word[len(core) :]]
+        for k, words in later:
+            out[k] = b"".join(map(known.__getitem__, words))
+        later.clear()
+
+    def _learn(self, words: list[bytes]) -> None:
+        known = self.known
+        for at in range(0, len(words), JOINED * 64):
+            part = words[at : at + JOINED * 64]
+            groups = [part[i : i + JOINED] for i in range(0, len(part), JOINED)]
+            texts = [[w.decode() for w in g] for g in groups]
+            found = self.tokenizer.encode_batch([" ".join(g) for g in texts], add_special_tokens=False)
+            for group, text, enc in zip(groups, texts, found):
+                begins = np.fromiter((o[0] for o in enc.offsets), dtype=np.int64, count=len(enc))
+                ends = 4 * np.searchsorted(begins, np.cumsum([len(w) + 1 for w in text]))
+                raw, start = np.array(enc.ids, dtype="<u4").tobytes(), 0
+                for word, end in zip(group, ends.tolist()):
+                    known[word] = raw[start:end]
+                    start = end
 
 
 _ENCODERS: dict[str, Encoder] = {}
