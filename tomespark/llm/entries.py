@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dedup, nearest, packing, pii, quality, secrets, token_output
+from . import decontamination, html_main, near_dedup, nearest, packing, pii, quality, secrets, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": pii.op6_pii,
         "op7_nearest": nearest.op7_nearest,
         "op8_near_dedup": near_dedup.op8_near_dedup,
+        "op9_html": html_main.op9_html,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
