@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_main, near_dedup, nearest, packing, pii, quality, secrets, token_output
+from . import decontamination, html_main, near_dedup, nearest, packing, pii, quality, secrets, suffix_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_output": token_output.op2_token_output,
         "op3_packing": packing.op3_packing,
         "op4_quality": quality.op4_quality,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_pii": pii.op6_pii,
         "op7_nearest": nearest.op7_nearest,
         "op8_near_dedup": near_dedup.op8_near_dedup,
