@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tomespark.sources.corpus import WMF_COLUMNS
+from tomespark.sources.metafile import BadMetafile, operations
+
 from . import codecs
 from .macros import parse_macros
 
@@ -32,11 +36,28 @@ def _udf(kind: str, f: Callable):
     return F.pandas_udf(made, kind)
 
 
+def _fields(columns: str) -> str:
+    """DDL columns as the fields of a struct."""
+    return re.sub(r"(^|, )(\w+) ", r"\1\2:", columns)
+
+
+def _metafiles(data: pd.Series) -> pd.Series:
+    names = [c.split(":")[0] for c in _fields(WMF_COLUMNS).split(", ")]
+    rows = []
+    for raw in data:
+        try:
+            rows.append(None if raw is None else [{n: op.get(n) for n in names} for op in operations(raw)])
+        except BadMetafile:
+            rows.append(None)
+    return pd.Series(rows, dtype=object)
+
+
 def register(spark: SparkSession) -> None:
     """hash43, file_key, colorref_css, native_to_points, himetric_to_px, is_rtl, parse_macros, and the byte codecs."""
     for name, body in SQL.items():
         spark.sql(f"create or replace temporary function {name} {body}")
     spark.udf.register("parse_macros", parse_macros)
+    spark.udf.register("wmf_parse", F.pandas_udf(_metafiles, f"array<struct<{_fields(WMF_COLUMNS)}>>"))
     for name, kind, f in (
         ("hash43", "int", lambda text: codecs.hash43(text)),
         ("lz77_expand", "binary", lambda data: codecs.lz77_expand(data)),

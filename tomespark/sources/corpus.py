@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tomespark.functions import native
 from tomespark.operators import lookups
 
-from . import topics
+from . import metafile, topics
 from .container import NONE32, BadFile, HelpFile
 
 
@@ -33,6 +33,11 @@ def _ops(f: HelpFile) -> Iterator[dict]:
     return topics.page_ops(f)
 
 
+WMF_COLUMNS = (
+    "op string, rect array<int>, points array<struct<x:int,y:int>>, sizes array<int>, style int, pen_width int, color long, hatch int, mode int, rop long, width int, height int, "
+    "rgba binary, text binary, font_height int, weight int, italic int, angle int, charset int"
+)
+
 #: name -> (columns beside file_key, rows of a file)
 TABLES: dict[str, tuple[str, Callable[[HelpFile], Iterator[dict]]]] = {
     "info": ("title string, copyright string, version int, flags int, charset int, lcid int, scale int, compressed boolean, tbsize int, dsize int, contents_start long, sr_color int, nsr_color int", _info),
@@ -50,6 +55,7 @@ TABLES: dict[str, tuple[str, Callable[[HelpFile], Iterator[dict]]]] = {
         _ops,
     ),
     "images": ("bm_index int, type int, packing int, width int, height int, bpp int, rgba binary, png binary, metafile binary", topics.images),
+    "wmf_ops": (f"bm_index int, seq int, {WMF_COLUMNS}", lambda f: metafile.metafile_ops(topics.images(f))),
     "hotspots": ("bm_index int, seq int, kind string, target_offset long, x int, y int, w int, h int, macro string", lambda f: (s for n in topics.image_numbers(f) for s in topics.hotspots(f, n))),
 }
 
