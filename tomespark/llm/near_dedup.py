@@ -39,7 +39,7 @@ from .components import components
 #: Minhashes in a sketch.
 WIDTH = 2
 #: Documents in a block of a bucket, on average, and shingles in a block of full sets.
-BLOCK, BLOCK_SHINGLES = 400, 1 << 18
+BLOCK, BLOCK_SHINGLES = 2000, 1 << 18
 #: Ids of candidates (8 bytes each) that are broadcast at most to pick their texts; beyond, it's a shuffled join.
 BROADCAST_IDS = 1_000_000
 SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, a array<long>, b array<long>, sig binary"
