@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common, shingles
 
 #: Rows that the model is fitted on at most; a text contributes HASHED + 256 + 10 numbers of two bytes.
-POSITIVES, UNLABELLED = 6000, 12000
+POSITIVES, UNLABELLED = 4000, 10000
 HASHED = 768
 FEATURES = HASHED + 256 + 10
 THRESHOLD = 0.3
@@ -82,10 +82,12 @@ class Model:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Full-batch Adam on the non-negative risk with the logistic loss."""
-    both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 0.02
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
+    """Full-batch Adam on the non-negative risk with the logistic loss. The two tables are scaled in place."""
+    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 0.02
+    p, u = positive, unlabelled
+    for part in (p, u):
+        part -= mean
+        part /= scale
     w, b = np.zeros(FEATURES, dtype=np.float32), np.float32(np.log(prior / (1 - prior)))
     m, v = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -125,12 +127,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     unlabelled = docs.select("doc_id").filter(~held_out(F.col("doc_id"))).orderBy(*order(2)).limit(UNLABELLED).withColumn("positive", F.lit(False))
     picked = positive.unionByName(unlabelled).groupBy("doc_id").agg(F.max("positive").alias("p"), F.min("positive").alias("not_u"))
     made = F.pandas_udf(lambda s: pd.Series([row.tobytes() for row in _rows(s).astype(np.float16)], dtype=object), "binary")
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "p", "not_u", made("text").alias("x")).toPandas()
-    rows = rows.assign(key=rows["x"].map(bytes)).sort_values(["doc_id", "key"])
-    x = np.frombuffer(b"".join(rows["key"]), dtype=np.float16).reshape(-1, FEATURES).astype(np.float32)
-    if not rows["p"].any() or rows["not_u"].all():
+    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "p", "not_u", made("text").alias("x")).toPandas().sort_values(["doc_id", "x"])
+    is_p, is_u = rows["p"].to_numpy(bool), ~rows["not_u"].to_numpy(bool)
+    x = np.frombuffer(b"".join(rows["x"]), dtype=np.float16).reshape(-1, FEATURES)
+    del rows
+    if not is_p.any() or not is_u.any():
         return None
-    return fit(x[rows["p"].to_numpy(bool)], x[~rows["not_u"].to_numpy(bool)], min(0.99, max(0.01, prior)))
+    return fit(x[is_p].astype(np.float32), x[is_u].astype(np.float32), min(0.99, max(0.01, prior)))
 
 
 def _rows(texts: pd.Series) -> np.ndarray:
