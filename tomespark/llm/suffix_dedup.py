@@ -334,8 +334,13 @@ def spans_to_remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 marked = np.concatenate([hit[0], equal])
                 order = np.lexsort((both[1].view(np.uint64), both[0].view(np.uint64)))
                 pool, hit[0] = both[:, order], marked[order]
-            t1, t2, at = pool[2:, hit[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(t1), pa.array(t2), pa.array(at), pa.array(at + span)], names=["t1", "t2", "start", "end"])
+            marked = pool[2:, hit[0]]
+            t1, t2, at = marked[:, np.lexsort(marked[::-1])]
+            gap = np.ones(len(at), dtype=bool)  # strings of a text that touch are one run
+            gap[1:] = (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]) | (at[1:] > at[:-1] + span)
+            first = np.flatnonzero(gap)
+            last = np.append(first[1:] - 1, len(at) - 1)[: len(first)]
+            yield pa.RecordBatch.from_arrays([pa.array(t1[first]), pa.array(t2[first]), pa.array(at[first]), pa.array(at[last] + span)], names=["t1", "t2", "start", "end"])
 
     merged = across.mapInArrow(merge, "t1 long, t2 long, start long, end long")
     inside = built.filter("strings is null").select("t1", "t2", "start", "end")
