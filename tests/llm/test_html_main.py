@@ -59,3 +59,19 @@ def test_hosts_are_dealt_into_blocks(spark, monkeypatch):
     got = h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {r["page_id"]: r["text"] for r in got.collect()} == {i: f"text {i}" for i in range(50)}
     assert got.filter(F.length("text") == 0).count() == 0
+
+
+def test_slots_of_the_wrapper_decide():
+    # both paragraphs have one path; only their slots tell the constant one from those that vary
+    own = lambda i: "".join(f"<p>{'some real words ' * 9}{i} {k}</p>" for k in range(1 + i % 3))
+    letter = lambda i: "<p>Subscribe to the weekly letter</p>" if i % 2 else ""
+    pages = [h.Page(page(f"<div><h1>Title {i}</h1>{own(i)}<hr><h2>Letter {i}</h2>{letter(i)}</div>")) for i in range(12)]
+    main = h.main_paths(h.infer(pages), pages)
+    for i, p in enumerate(pages):
+        assert h.read(p, main).split("\n") == [f"Title {i}", *(f"{'some real words ' * 9}{i} {k}" for k in range(1 + i % 3)), f"Letter {i}"]
+
+
+def test_copies_keep_their_text():
+    pages = [h.Page(page(f"<div><p>{'the same words ' * 20}</p><h2>{i}</h2></div>")) for i in range(8)]
+    main = h.main_paths(h.infer(pages), pages)
+    assert [h.read(p, main) for p in pages] == [f"{('the same words ' * 20).strip()}\n{i}" for i in range(8)]

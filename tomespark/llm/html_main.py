@@ -4,10 +4,12 @@ Pages of a host are token streams of tags and text. Wrappers are union-free
 regular expressions over such tokens: folding a stream turns runs of repeated
 token groups into one repeated group; aligning it with the wrapper so far
 turns tokens that only one side has into optional ones, and texts into slots.
-The wrapper of a block of pages then says which slots hold the article: those
-under article-like elements where the block has such, else those of the
-container with most running text. A page's text is read off its own stream by
-the slots it fills.
+Aligning also says which node of the wrapper each text of a page fills; texts
+of one repeated group fill the same slots. A slot is constant if the pages that
+fill it mostly have the same text there, and else varies. A page's text is read
+off its own stream: the slots under its article and main elements as they stand,
+and else those that vary, under elements named like articles or, where there are
+none, in the container in which most running text varies.
 
 A host's pages are dealt into blocks of about ``BLOCK`` pages by the hash of
 page id and url, so a host with any number of pages never gathers in a task,
@@ -134,21 +136,51 @@ class Page:
         return out + ["/" + x for x in reversed(last)]
 
 
-def fold(stream: list, longest: int = 12) -> tuple:
-    """The stream with every run of a repeated group of tokens as one ("+", group)."""
+def fold_and_count(stream: list, longest: int = 12) -> tuple[tuple, tuple]:
+    """fold(), and how many texts each of its nodes stands for."""
     out: list = []
+    held: list[int] = []
     for token in stream:
         out.append(token)
+        held.append(int(token == "#"))
         for n in range(1, min(longest, len(out) // 2) + 1):
             if out[-n:] == out[-2 * n : -n]:
                 out[-2 * n :] = [("+", tuple(out[-n:]))]
+                held[-2 * n :] = [sum(held[-2 * n :])]
                 break
         for n in range(1, min(longest, len(out) - 1) + 1):
             before = out[-n - 1]
             if isinstance(before, tuple) and before[0] == "+" and before[1] == tuple(out[-n:]):
+                held[-n - 1 :] = [sum(held[-n - 1 :])]
                 del out[-n:]
                 break
-    return tuple(out)
+    return tuple(out), tuple(held)
+
+
+def fold(stream: list, longest: int = 12) -> tuple:
+    """The stream with every run of a repeated group of tokens as one ("+", group)."""
+    return fold_and_count(stream, longest)[0]
+
+
+def groups_of(nodes: tuple) -> Iterator[tuple]:
+    """The repeated groups of more than one token, inner ones first."""
+    for node in nodes:
+        if isinstance(node, tuple):
+            yield from groups_of(node[1])
+            if node[0] == "+" and len(node[1]) > 1:
+                yield node[1]
+
+
+def single_groups(nodes: tuple, held: tuple, groups: list[tuple]) -> tuple[tuple, tuple]:
+    """The folded stream with groups that stand once in it, but repeat in other pages, as repeated groups too."""
+    out, counts = list(nodes), list(held)
+    for group in groups:
+        n, i = len(group), 0
+        while i <= len(out) - n:
+            if out[i] == group[0] and tuple(out[i : i + n]) == group:
+                out[i : i + n], counts[i : i + n] = [("+", group)], [sum(counts[i : i + n])]
+            i += 1
+    return tuple(out), tuple(counts)
 
 
 def plain(node) -> object:
@@ -166,68 +198,88 @@ def same(a, b) -> bool:
     return a == b
 
 
-def align(wrapper: tuple, stream: tuple) -> tuple:
-    """The wrapper that also holds this folded stream: tokens of one side only become optional."""
+def _key(node) -> object:
+    """Equal for nodes that are the same()."""
+    node = plain(node)
+    return node[1][0] if isinstance(node, tuple) and len(node[1]) == 1 and not isinstance(node[1][0], tuple) else node
+
+
+def steps(wrapper: tuple, stream: tuple) -> list[tuple[int | None, int | None]]:
+    """The longest common subsequence: places of wrapper and stream in order, None where only one side has a node."""
+    known: dict = {}
+    number = lambda nodes: [known.setdefault(_key(x), len(known)) for x in nodes]
+    w, s = number(wrapper), number(stream)
     head = 0
-    while head < min(len(wrapper), len(stream)) and same(wrapper[head], stream[head]):
+    while head < min(len(w), len(s)) and w[head] == s[head]:
         head += 1
     tail = 0
-    while tail < min(len(wrapper), len(stream)) - head and same(wrapper[-1 - tail], stream[-1 - tail]):
+    while tail < min(len(w), len(s)) - head and w[-1 - tail] == s[-1 - tail]:
         tail += 1
-    w, s = wrapper[head : len(wrapper) - tail], stream[head : len(stream) - tail]
-    n, m = len(w), len(s)
+    n, m = len(w) - head - tail, len(s) - head - tail
+    w, s = w[head : head + n], s[head : head + m]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
+        own, below, one = best[i], best[i + 1], w[i]
         for j in range(m - 1, -1, -1):
-            best[i][j] = 1 + best[i + 1][j + 1] if same(w[i], s[j]) else max(best[i + 1][j], best[i][j + 1])
-    optional = lambda x: x if isinstance(x, tuple) and x[0] == "?" else ("?", (x,))
-    merged = lambda a, b: a if isinstance(plain(a), tuple) or not isinstance(plain(b), tuple) else (("?", (plain(b),)) if a != plain(a) else b)
-    out = [merged(a, b) for a, b in zip(wrapper[:head], stream[:head])]
+            own[j] = 1 + below[j + 1] if one == s[j] else max(below[j], own[j + 1])
+    out: list[tuple[int | None, int | None]] = [(k, k) for k in range(head)]
     i = j = 0
     while i < n or j < m:
-        if i < n and j < m and same(w[i], s[j]):
-            out.append(merged(w[i], s[j]))
+        if i < n and j < m and w[i] == s[j]:
+            out.append((head + i, head + j))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(optional(w[i]))
+            out.append((head + i, None))
             i += 1
         else:
-            out.append(optional(s[j]))
+            out.append((None, head + j))
             j += 1
-    out += [merged(a, b) for a, b in zip(wrapper[len(wrapper) - tail :], stream[len(stream) - tail :])]
-    return tuple(out)
+    return out + [(head + n + k, head + m + k) for k in range(tail)]
 
 
-def infer(pages: list[Page]) -> tuple:
+def _joined(wrapper: tuple, stream: tuple, pairs: list[tuple[int | None, int | None]]) -> tuple:
+    optional = lambda x: x if isinstance(x, tuple) and x[0] == "?" else ("?", (x,))
+    merged = lambda a, b: a if isinstance(plain(a), tuple) or not isinstance(plain(b), tuple) else (("?", (plain(b),)) if a != plain(a) else b)
+    return tuple(optional(stream[j]) if i is None else optional(wrapper[i]) if j is None else merged(wrapper[i], stream[j]) for i, j in pairs)
+
+
+def align(wrapper: tuple, stream: tuple) -> tuple:
+    """The wrapper that also holds this folded stream: tokens of one side only become optional."""
+    return _joined(wrapper, stream, steps(wrapper, stream))
+
+
+class Wrapper(tuple):
+    """A wrapper's nodes, and for each text of each page the number of the node that it fills."""
+
+    filled: dict[Page, list[int]]
+
+
+def infer(pages: list[Page]) -> Wrapper:
     """The wrapper of all pages. Streams that fold alike are aligned once."""
+    plainly = [fold_and_count(page.stream()) for page in pages]
+    groups = list(dict.fromkeys(g for nodes, _ in dict.fromkeys(plainly) for g in groups_of(nodes)))
     wrapper: tuple | None = None
-    seen: set[tuple] = set()
-    for page in pages:
-        folded = fold(page.stream())
-        if folded not in seen:
-            seen.add(folded)
-            wrapper = folded if wrapper is None else align(wrapper, folded)
-    return wrapper or ()
-
-
-def slots(wrapper: tuple) -> set[tuple[str, ...]]:
-    """The paths of the wrapper's text slots."""
-    out: set[tuple[str, ...]] = set()
-    stack: list[str] = []
-
-    def walk(nodes: tuple) -> None:
-        for node in nodes:
-            if isinstance(node, tuple):
-                walk(node[1])
-            elif node == "#":
-                out.add(tuple(stack))
-            elif node.startswith("/"):
-                if node[1:] in stack:
-                    del stack[len(stack) - 1 - stack[::-1].index(node[1:]) :]
+    numbers: list[int] = []  # of the wrapper's nodes, which they keep
+    seen: dict[tuple, list[int]] = {}
+    filled: dict[Page, list[int]] = {}
+    done: dict[tuple, tuple] = {}
+    for page, folded in zip(pages, plainly):
+        if folded not in done:
+            done[folded] = single_groups(*folded, groups)
+        nodes, held = done[folded]
+        if nodes not in seen:
+            if wrapper is None:
+                wrapper, numbers = nodes, list(range(len(nodes)))
+                seen[nodes] = numbers
             else:
-                stack.append(node)
-
-    walk(wrapper)
+                pairs = steps(wrapper, nodes)
+                fresh = iter(range(len(numbers), len(numbers) + len(pairs)))
+                numbers = [next(fresh) if i is None else numbers[i] for i, _ in pairs]
+                wrapper = _joined(wrapper, nodes, pairs)
+                seen[nodes] = [k for k, (_, j) in zip(numbers, pairs) if j is not None]
+        filled[page] = [k for k, n in zip(seen[nodes], held) for _ in range(n)]
+    out = Wrapper(wrapper or ())
+    out.filled = filled
     return out
 
 
@@ -238,52 +290,67 @@ def _kind(element: str) -> tuple[bool, bool]:
     return name in MAIN_TAGS or (name in ("div", "section", "td") and not MAIN.isdisjoint(words)), bad
 
 
-def main_paths(wrapper: tuple, pages: list[Page]) -> set[tuple[str, ...]]:
-    """The paths whose texts are the article's."""
-    paths = slots(wrapper) | {b[0] for p in pages for b in p.blocks}
-    inside, allowed = set(), set()
-    for path in paths:
-        main = bad = False
-        for element in path:
-            is_main, is_bad = _kind(element)
-            header = element.split(".")[0] == "header" and not main
-            bad = bad or is_bad or header or element.split(".")[0] == "head"
-            main = main or is_main and not bad
-        if not bad:
-            allowed.add(path)
-            if main:
-                inside.add(path)
-    if inside:
-        return inside
+def _place(path: tuple[str, ...]) -> tuple[bool, bool, bool]:
+    """(may hold main text, under an article-like element, under an article or main element) by a path's elements."""
+    main = bad = tagged = False
+    for element in path:
+        is_main, is_bad = _kind(element)
+        name = element.split(".")[0]
+        bad = bad or is_bad or name == "head" or (name == "header" and not main)
+        main = main or is_main and not bad
+        tagged = tagged or name in MAIN_TAGS and not bad
+    return not bad, main and not bad, tagged and not bad
+
+
+def constant_slots(wrapper: Wrapper, pages: list[Page]) -> set[tuple]:
+    """Slots (node, path) that five or more different pages fill, mostly with the same text."""
+    distinct = {tuple(b[:2] for b in p.blocks): p for p in pages}
+    on: dict[tuple, dict[str, int]] = {}
+    filling: dict[tuple, int] = {}
+    for page in distinct.values():
+        own = {((node, path), text) for node, (path, text, _) in zip(wrapper.filled[page], page.blocks)}
+        for slot, text in own:
+            texts = on.setdefault(slot, {})
+            texts[text] = texts.get(text, 0) + 1
+        for slot in {slot for slot, _ in own}:
+            filling[slot] = filling.get(slot, 0) + 1
+    return {slot for slot, texts in on.items() if filling[slot] >= 5 and sum(n for n in texts.values() if n >= 0.8 * filling[slot]) >= 0.8 * sum(texts.values())}
+
+
+def main_paths(wrapper: Wrapper, pages: list[Page]) -> dict[Page, list[bool]]:
+    """For each page, which of its texts are the article's."""
+    places = {path: _place(path) for path in {b[0] for p in pages for b in p.blocks}}
+    constant = constant_slots(wrapper, pages)
+    named = {page for page in pages if any(places[path][1] for path, _, _ in page.blocks)}
+    named = set(pages) if named else named
     # no article-like element: the container with most text outside links, where texts differ between pages
+    rest = [(node, *block) for page in pages if page not in named for node, block in zip(wrapper.filled[page], page.blocks) if places[block[0]][0]]
+    varying = [x for x in rest if x[:2] not in constant]
+    weight_of = lambda blocks: sum(max(0, len(text) - 3 * linked) for _, _, text, linked in blocks)
     mass: dict[tuple[str, ...], float] = {}
-    for page in pages:
-        for path, text, linked in page.blocks:
-            if path in allowed:
-                weight = max(0, len(text) - 3 * linked)
-                for depth in range(len(path) + 1):
-                    mass[path[:depth]] = mass.get(path[:depth], 0.0) + weight
+    for _, path, text, linked in varying if 2 * weight_of(varying) >= weight_of(rest) else rest:
+        weight = max(0, len(text) - 3 * linked)
+        for depth in range(len(path) + 1):
+            mass[path[:depth]] = mass.get(path[:depth], 0.0) + weight
     at: tuple[str, ...] = ()
     while True:
         below = [(m, p) for p, m in mass.items() if len(p) == len(at) + 1 and p[: len(at)] == at]
         if not below or max(below)[0] < 0.8 * mass.get(at, 0.0) or max(below)[1][-1].split(".")[0] in ("p", "li", "td"):
             break
         at = max(below)[1]
-    often: dict[tuple, set[int]] = {}
-    distinct = {tuple(b[:2] for b in p.blocks): p for p in pages}
-    for i, page in enumerate(distinct.values()):
-        for path, text, linked in page.blocks:
-            often.setdefault((path, text), set()).add(i)
-    total: dict[tuple[str, ...], list[int]] = {}
-    for (path, _), on in often.items():
-        total.setdefault(path, [0, 0])[0] += len(on)
-        total[path][1] += len(on) if len(on) >= 0.8 * len(distinct) else 0
-    fixed = {path for path, (n, same_text) in total.items() if len(distinct) >= 5 and same_text >= 0.8 * n}
-    return {p for p in allowed if p[: len(at)] == at and p not in fixed}
-
-
-def read(page: Page, main: set[tuple[str, ...]]) -> str:
-    return "\n".join(text for path, text, _ in page.blocks if path in main)
+    out: dict[Page, list[bool]] = {}
+    for page in pages:
+        kept = [places[path][1] if page in named else places[path][0] and path[: len(at)] == at for path, _, _ in page.blocks]
+        fixed = [k and not places[path][2] and (node, path) in constant for k, node, (path, _, _) in zip(kept, wrapper.filled[page], page.blocks)]
+        size = lambda marks: sum(len(b[1]) for b, x in zip(page.blocks, marks) if x)
+        if 2 * size(fixed) <= size(kept):  # else the pages are copies, about, and constant text may be the article
+            kept = [k and not f for k, f in zip(kept, fixed)]
+        out[page] = kept
+    return out
+
+
+def read(page: Page, main: dict[Page, list[bool]]) -> str:
+    return "\n".join(text for (_, text, _), kept in zip(page.blocks, main[page]) if kept)
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
