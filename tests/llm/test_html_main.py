@@ -75,3 +75,12 @@ def test_copies_keep_their_text():
     pages = [h.Page(page(f"<div><p>{'the same words ' * 20}</p><h2>{i}</h2></div>")) for i in range(8)]
     main = h.main_paths(h.infer(pages), pages)
     assert [h.read(p, main) for p in pages] == [f"{('the same words ' * 20).strip()}\n{i}" for i in range(8)]
+
+
+def test_pages_without_an_article_beside_pages_with_one():
+    with_one = [h.Page(page(f"<article><p>{'article words ' * 9}{i}</p></article>")) for i in range(8)]
+    without = [h.Page(page(f'<div class="wrap"><p>{"plain words " * 9}{i}</p></div><div class="c2"><p>Follow us today</p></div>')) for i in range(8)]
+    pages = with_one + without
+    main = h.main_paths(h.infer(pages), pages)
+    assert [h.read(p, main) for p in with_one] == [f"{'article words ' * 9}{i}" for i in range(8)]
+    assert [h.read(p, main) for p in without] == [f"{'plain words ' * 9}{i}" for i in range(8)]

@@ -322,7 +322,6 @@ def main_paths(wrapper: Wrapper, pages: list[Page]) -> dict[Page, list[bool]]:
     places = {path: _place(path) for path in {b[0] for p in pages for b in p.blocks}}
     constant = constant_slots(wrapper, pages)
     named = {page for page in pages if any(places[path][1] for path, _, _ in page.blocks)}
-    named = set(pages) if named else named
     # no article-like element: the container with most text outside links, where texts differ between pages
     rest = [(node, *block) for page in pages if page not in named for node, block in zip(wrapper.filled[page], page.blocks) if places[block[0]][0]]
     varying = [x for x in rest if x[:2] not in constant]
