@@ -324,17 +324,20 @@ def spans_to_remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
         """Sorted lists of one anchor's strings, one list a shard: binary search in the list of all shards before."""
         for _, rows in common.groups(batches, 2):
             lists = [np.frombuffer(b, dtype=np.int64).reshape(5, -1) for b in rows.column(3).to_pylist()]
-            pool, hit = lists[0], [np.zeros(lists[0].shape[1], dtype=bool)]
+            pool, hit, found = lists[0], np.zeros(lists[0].shape[1], dtype=bool), []
             for more in lists[1:]:
                 key, seek = (np.rec.fromarrays([x[0].view(np.uint64), x[1].view(np.uint64)]) for x in (pool, more))
-                at = np.minimum(np.searchsorted(key, seek), max(0, len(key) - 1))
-                equal = key[at] == seek if len(key) else np.zeros(len(seek), dtype=bool)
-                hit[0][at[equal]] = True
-                both = np.concatenate([pool, more], axis=1)
-                marked = np.concatenate([hit[0], equal])
+                at = np.minimum(np.searchsorted(key, seek), len(key) - 1)
+                equal = key[at] == seek
+                # the same place of a text may lie in contexts of two shards: a string repeats if it has two places
+                other = equal & (pool[2:, at] != more[2:]).any(axis=0)
+                hit[at[other]] = True
+                found.append(more[2:, other])
+                both = np.concatenate([pool, more[:, ~equal]], axis=1)
+                marked = np.concatenate([hit, np.zeros(int((~equal).sum()), dtype=bool)])
                 order = np.lexsort((both[1].view(np.uint64), both[0].view(np.uint64)))
-                pool, hit[0] = both[:, order], marked[order]
-            marked = pool[2:, hit[0]]
+                pool, hit = both[:, order], marked[order]
+            marked = np.concatenate([pool[2:, hit], *found], axis=1)
             t1, t2, at = marked[:, np.lexsort(marked[::-1])]
             gap = np.ones(len(at), dtype=bool)  # strings of a text that touch are one run
             gap[1:] = (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]) | (at[1:] > at[:-1] + span)
