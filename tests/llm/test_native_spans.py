@@ -86,3 +86,10 @@ def test_empty_and_opposed_votes_train():
     assert pii.SpanClassifier({}).posterior("iban", (1, 0, 1, 1, 1)) > 0.9
     c = pii.SpanClassifier({"card:1,1,1,0,1": 50, "card2:1,-1,1,0,1": 60, "phone:1,0,1,1,1": 40, "card2:-1,-1,-1,0,-1": 90})
     assert c.posterior("card2", (-1, -1, -1, 0, -1)) < 0.05 < 0.9 < c.posterior("card", (1, 1, 1, 0, 1))
+
+
+def test_bigrams_are_counted_on_all_documents(spark):
+    rows = [(i, f"ab ab x{i % 10}yz password=qqqqqq{i % 3}") for i in range(5000)]
+    secret, ordinary, words = secrets._corpus_counts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert ordinary["a", "b"] == 10_000 and ordinary["y", "z"] == 5000 and ordinary["x", "0"] == 500
+    assert secret["q", "q"] == 25_000 and not words

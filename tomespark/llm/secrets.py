@@ -4,7 +4,7 @@ One model describes random strings, the other ordinary words and identifiers;
 a token is a secret if the log-likelihood ratio says so. Both are bigram tables
 over at most 66 symbols, trained from labelled samples: random strings drawn
 from a seeded generator and secrets that fixed patterns find, against ordinary
-tokens of a bounded sample of the documents and of source-like identifiers.
+tokens of all documents and of source-like identifiers.
 
 Defined cases: a null or empty text has no spans; a null or repeated document
 id keeps its rows; an empty table gives no rows; other columns are ignored.
@@ -28,11 +28,9 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ["assign", "access", "hex"]
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: Documents whose ordinary tokens train the model of words, about.
-SAMPLE_DOCUMENTS = 2000
 #: A token is a secret from this ratio on (natural logarithms), in all and for each character.
 LEAST_TOTAL, LEAST_MEAN = 7.0, 0.3
-#: Shapes of ordinary identifiers that texts seldom hold; words of the sample fill them.
+#: Shapes of ordinary identifiers that texts seldom hold; words of the documents fill them.
 IDENTIFIERS = ["get_{}_by_{}", "{}_{}_{}", "MAX_{}_{}", "/usr/{}/{}", "{}-{}-{}", "{}{}Handler", "is{}{}", "www_{}_{}_html", "{}/{}/{}_2024", "test_{}_{}_01", "{}_id=", "--{}--{}--", "====", "----", "____", "2023-01-02", "1234567890"]
 
 
@@ -65,21 +63,23 @@ def _bigrams(tokens: Column) -> Column:
 
 
 def _corpus_counts(docs: DataFrame) -> tuple[dict, dict, list[str]]:
-    """Bigram counts of base secrets and of ordinary tokens in the sample, and some of its words. At most 66 * 66 rows each."""
-    rows = docs.count()
-    share = min(1.0, SAMPLE_DOCUMENTS / max(1, rows))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    """Bigram counts of base secrets and of ordinary tokens, and the most frequent words. At most 66 * 66 rows each.
+
+    Bigrams are counted on distinct tokens, weighted by how often each occurs.
+    """
     base = F.transform(base_spans(F.col("text")), lambda x: F.regexp_replace(x["m"], "^.*[^A-Za-z0-9+/_=-]", ""))
     blank = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = F.filter(F.split(blank, "[^A-Za-z0-9+/_=-]+"), lambda t: F.length(t).between(2, 19) | t.rlike("^([A-Z]?[a-z]+|[A-Z]+)$"))
+    times = lambda tokens: tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    found = common.written(times(docs.select(F.explode(F.split(blank, "[^A-Za-z0-9+/_=-]+")).alias("t")).filter(F.length("t") >= 2)), "token-counts")
+    ordinary = found.filter(F.length("t").between(2, 19) | F.col("t").rlike("^([A-Z]?[a-z]+|[A-Z]+)$"))
 
-    def counted(tokens: Column) -> dict[tuple[str, str], int]:
-        pairs = sample.select(F.explode(F.flatten(F.transform(tokens, _bigrams))).alias("p"))
-        return {(r["p"][0], r["p"][1]): r["n"] for r in pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect() if len(r["p"]) == 2}
+    def counted(tokens: DataFrame) -> dict[tuple[str, str], int]:
+        pairs = tokens.select(F.explode(_bigrams(F.col("t"))).alias("p"), "n")
+        return {(r["p"][0], r["p"][1]): r["n"] for r in pairs.groupBy("p").agg(F.sum("n").alias("n")).collect() if len(r["p"]) == 2}
 
-    words = sample.select(F.explode(F.filter(F.split(F.lower(blank), "[^a-z]+"), lambda t: F.length(t).between(3, 9))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = found.select(F.explode(F.split(F.lower("t"), "[^a-z]+")).alias("w"), "n").filter(F.length("w").between(3, 9)).groupBy("w").agg(F.sum("n").alias("n"))
     frequent = [r["w"] for r in words.orderBy(F.desc("n"), "w").limit(200).collect()]
-    return counted(base), counted(ordinary), frequent
+    return counted(times(docs.select(F.explode(base).alias("t")))), counted(ordinary), frequent
 
 
 def train(docs: DataFrame) -> list[float]:
