@@ -93,3 +93,16 @@ def test_bigrams_are_counted_on_all_documents(spark):
     secret, ordinary, words = secrets._corpus_counts(spark.createDataFrame(rows, "doc_id long, text string"))
     assert ordinary["a", "b"] == 10_000 and ordinary["y", "z"] == 5000 and ordinary["x", "0"] == 500
     assert secret["q", "q"] == 25_000 and not words
+
+
+def test_tokens_of_letters_only_are_scored(spark):
+    rng = random.Random(78)
+    words = "reading station handle connection value other index stream table column window partition".split()
+    rows = []
+    for i in range(200):
+        rows.append((i, "see " + "".join(rng.choices(secrets.ALPHABET[:52], k=32)) + " here"))
+        rows.append((1000 + i, "the " + "".join(rng.sample(words, 4)) + " and " + "".join(w.capitalize() for w in rng.sample(words, 4)) + " and " + " ".join(rng.choices(words, k=30))))
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    hit = {r["doc_id"]: [s["k"] for s in r["spans"]] for r in found.collect()}
+    assert sum("token" in hit[i] for i in range(200)) >= 190
+    assert sum(bool(hit[1000 + i]) for i in range(200)) <= 2

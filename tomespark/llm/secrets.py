@@ -4,7 +4,9 @@ One model describes random strings, the other ordinary words and identifiers;
 a token is a secret if the log-likelihood ratio says so. Both are bigram tables
 over at most 66 symbols, trained from labelled samples: random strings drawn
 from a seeded generator and secrets that fixed patterns find, against ordinary
-tokens of all documents and of source-like identifiers.
+tokens of all documents and of source-like identifiers. The ratio is asked for
+all tokens of 20 characters or more that overlap no base span; shorter ones are
+not scored.
 
 Defined cases: a null or empty text has no spans; a null or repeated document
 id keeps its rows; an empty table gives no rows; other columns are ignored.
@@ -126,9 +128,8 @@ def all_spans(text: Column, table: list[float]) -> Column:
     base = base_spans(text)
     tokens = ns.matches(text, TOKEN, "token", 3)
     free = F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    mixed = F.filter(free, lambda t: t["m"].rlike("[0-9]") & t["m"].rlike("[A-Za-z]"))
     score = lambda t: token_score(t["m"], table)
-    added = F.filter(mixed, lambda t: (score(t) >= LEAST_TOTAL) & (score(t) >= LEAST_MEAN * F.length(t["m"])))
+    added = F.filter(free, lambda t: (score(t) >= LEAST_TOTAL) & (score(t) >= LEAST_MEAN * F.length(t["m"])))
     return ns.merged([base, added])
 
 
