@@ -58,3 +58,12 @@ def test_empty_tables(spark):
     assert d.find_items(docs.limit(0), items).count() == 0
     assert d.find_items(docs, items.limit(0)).count() == 0
     assert d.find_items(docs, items).count() == 1
+
+
+def test_items_of_one_or_two_shingles_are_found(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocab, k=5 + i % 2))) for i in range(20)]
+    docs = [(k, " ".join(rng.choices(vocab, k=rng.randint(20, 60)) + [items[k % 20][1]] + rng.choices(vocab, k=rng.randint(20, 60)))) for k in range(1500)]
+    got = d.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in got), key=str) == brute(docs, items, 0.8)

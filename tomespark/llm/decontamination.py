@@ -50,7 +50,7 @@ def normal(texts: list[str | None]) -> list[bytes]:
 
 def size_class(n: int) -> int:
     """Windows for items of n shingles step by this many shingles and are twice as long."""
-    step = 8
+    step = 1
     while step < n:
         step *= 2
     return step
@@ -87,15 +87,16 @@ class Items:
         if not self.steps or not len(full):
             return set()
         hit: set[tuple[int, int]] = set()
-        levels, n, at, step = [], np.diff(begins)[full], begins[:-1][full], 1
+        levels, n, at, step = [], np.diff(begins)[full], begins[:-1][full], 0
         while step < self.steps[-1]:
-            step = 8 if step == 1 else 2 * step
-            blocks = -(-n // (8 if step == 8 else 2))  # of each text at this level, from those of the level below
+            width = 2 if step else self.steps[0]  # the smallest blocks are those of the smallest items
+            step = width * max(1, step)
+            blocks = -(-n // width)  # of each text at this level, from those of the level below
             last = np.cumsum(blocks)
             first = last - blocks
             owner = np.repeat(np.arange(len(full)), blocks)
             inner = np.arange(last[-1]) - first[owner]
-            cuts = at[owner] + inner * (8 if step == 8 else 2)
+            cuts = at[owner] + inner * width
             single = (inner == blocks[owner] - 1) & (inner > 0)  # the last block has no next one: the window before holds it
             nxt = np.minimum(np.arange(last[-1]) + (inner < blocks[owner] - 1), last[-1] - 1)
             levels.append((step, cuts, nxt, ~single, full[owner]))
@@ -108,8 +109,10 @@ class Items:
                     continue
                 key, item, passes, shift = self.keys[step, j]
                 seek = np.minimum(low, low[nxt]) * _TAG[j]
-                for w in np.flatnonzero(passes[seek >> shift] & is_window):
-                    k = int(np.searchsorted(key, seek[w]))
+                maybe = np.flatnonzero(passes[seek >> shift] & is_window)
+                first = np.searchsorted(key, seek[maybe])
+                found_at = key[np.minimum(first, len(key) - 1)] == seek[maybe]
+                for w, k in zip(maybe[found_at].tolist(), first[found_at].tolist()):
                     while k < len(key) and key[k] == seek[w]:
                         hit.add((int(owner[w]), int(item[k])))
                         k += 1
