@@ -1,15 +1,18 @@
 """Packing documents into sequences by bin completion on the histogram of piece lengths.
 
 Lengths are at most the capacity, so the problem is its histogram, however
-many documents there are. The driver solves that bounded problem: around the
-longest piece left it looks for the filling that wastes least (branch and
-bound over undominated fillings, best fit as the first incumbent), and repeats
-the pattern found as often as the counts allow. Executors rank pieces within
-their length and look up their place by rank; no piece visits the driver.
+many documents there are. The driver solves that bounded problem: incumbents
+come from best fit and from completing each sequence around its longest piece
+with the filling that wastes least, repeated as often as the counts allow.
+Where they use more sequences than the sum of the pieces asks for, a branch and
+bound over undominated fillings revises the last sequences. It proves the
+optimum for cases of up to ``TAIL`` sequences within its budget; for larger ones
+the result may be above the sum's bound. Executors rank pieces within their
+length and look up their place by rank; no piece visits the driver.
 
 Defined cases: a null or empty text is its end id alone; only documents longer
-than the capacity are cut; repeated ids stay separate rows; an empty table
-gives no rows; other columns are ignored.
+than the capacity are cut, whatever their length; repeated ids stay separate
+rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +33,28 @@ from . import common, tokens
 PIECES = "part int, local_rank long, doc_id long, piece int, start long, length long, ids binary"
 #: Rows of the (part, length) rank table that are broadcast at most (16 bytes each); beyond, it's a shuffled join.
 BROADCAST_ROWS = 500_000
-#: Branches tried for a filling; afterwards the best filling so far is used.
+#: Branches tried for a filling before its least waste is found from sums instead.
 BRANCHES = 4_000
+#: Sequences at the end of a packing that are searched for a better one, and fillings that a search may look at.
+TAIL, SEARCHED = 64, 200_000
+
+
+def fullest(room: int, sizes: list[int], counts: dict[int, int]) -> list[int]:
+    """The pieces (longest first) that fill ``room`` with least waste, by the sums that the sizes so far can make."""
+    sums, steps = 1, []  # bit n: n can be made
+    for s in reversed(sizes):
+        have, each = (counts[s] if s <= room else 0), 1
+        while have > 0:
+            n = min(each, have)
+            steps.append((s, n, sums))
+            sums |= sums << s * n & (1 << room + 1) - 1
+            have, each = have - n, 2 * each
+    left, fill = sums.bit_length() - 1, []
+    for s, n, before in reversed(steps):
+        if not before >> left & 1:
+            left -= s * n
+            fill += [s] * n
+    return sorted(fill, reverse=True)
 
 
 def complete(room: int, sizes: list[int], counts: dict[int, int]) -> list[int]:
@@ -39,7 +62,9 @@ def complete(room: int, sizes: list[int], counts: dict[int, int]) -> list[int]:
 
     Fillings are enumerated with longer pieces first, so a filling comes before
     those it dominates (where a piece is replaced by shorter ones). A branch
-    ends when even the sizes left can't beat the incumbent's waste.
+    ends when even the sizes left can't beat the incumbent's waste. After
+    ``BRANCHES`` branches the least waste comes from fullest() instead, which
+    is exact, too, but doesn't prefer longer pieces.
     """
     best: list[int] = []
     left = room
@@ -85,31 +110,174 @@ def complete(room: int, sizes: list[int], counts: dict[int, int]) -> list[int]:
             taken[s] -= 1
 
     branch(room, room, [])
+    if waste and tried >= BRANCHES:
+        exact = fullest(room, sizes, counts)
+        if sum(exact) > room - waste:
+            return exact
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int], int]]:
-    """(first sequence, lengths in one sequence, repeats) until the histogram is used up."""
-    counts = {s: c for s, c in histogram.items() if c > 0}
-    if counts and (min(counts) < 1 or max(counts) > capacity):
-        raise ValueError("piece lengths must lie between 1 and the capacity")
-    sizes, out, sequence = sorted(counts), [], 0
+def completed(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """(lengths in one sequence, repeats): each sequence takes the longest piece left and its fullest filling."""
+    counts = dict(counts)
+    sizes, out = sorted(counts), []
     while sizes:
         longest = sizes[-1]
         counts[longest] -= 1
         fill = [longest, *complete(capacity - longest, sizes, counts)]
         counts[longest] += 1
-        need: dict[int, int] = {}
-        for s in fill:
-            need[s] = need.get(s, 0) + 1
-        repeats = min(counts[s] // n for s, n in need.items())
-        for s, n in need.items():
-            counts[s] -= n * repeats
-            if not counts[s]:
-                del counts[s]
-                sizes.remove(s)
-        out.append((sequence, fill, repeats))
-        sequence += repeats
+        out.append((fill, _use(fill, sizes, counts)))
+    return out
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """(lengths in one sequence, repeats): best fit decreasing, sequence by sequence."""
+    counts = dict(counts)
+    sizes, out = sorted(counts), []
+    while sizes:
+        fill, left, k = [], capacity, len(sizes)
+        taken: dict[int, int] = {}
+        while k and (k := min(k, bisect_right(sizes, left))):
+            s = sizes[k - 1]
+            n = min(left // s, counts[s])
+            fill += [s] * n
+            left -= s * n
+            taken[s] = n
+            k -= 1
+        out.append((fill, _use(fill, sizes, counts)))
+    return out
+
+
+def _use(fill: list[int], sizes: list[int], counts: dict[int, int]) -> int:
+    """Take the filling from the counts as often as they allow."""
+    need: dict[int, int] = {}
+    for s in fill:
+        need[s] = need.get(s, 0) + 1
+    repeats = min(counts[s] // n for s, n in need.items())
+    for s, n in need.items():
+        counts[s] -= n * repeats
+        if not counts[s]:
+            del counts[s]
+            sizes.remove(s)
+    return repeats
+
+
+def undominated(counts: dict[int, int], capacity: int, most: int) -> Iterator[list[int]]:
+    """Fillings around the longest piece that waste ``most`` at most, but those that another one dominates.
+
+    A filling is dominated if an unused piece fits beside it, or in the place
+    of one or two of its pieces that are as long together at most.
+    """
+    sizes = sorted(counts)
+    longest = sizes[-1]
+    counts = counts | {longest: counts[longest] - 1}
+    below = [0, *accumulate(s * counts[s] for s in sizes)]
+
+    def free(s: int, taken: dict[int, int]) -> bool:
+        return taken.get(s, 0) < counts[s]
+
+    def dominated(chosen: list[int], left: int, taken: dict[int, int]) -> bool:
+        rest = chosen[1:]
+        ones = {s: s + 1 for s in rest}
+        twos = {a + b: a + b for i, a in enumerate(rest) for b in rest[i + 1 :]}
+        for q, least in [(0, 1), *ones.items(), *twos.items()]:
+            for s in sizes[bisect_right(sizes, least - 1) : bisect_right(sizes, q + left)]:
+                if free(s, taken):
+                    return True
+        return False
+
+    def go(left: int, k: int, chosen: list[int], taken: dict[int, int]) -> Iterator[list[int]]:
+        if left <= most and not dominated(chosen, left, taken):
+            yield list(chosen)
+        k = min(k, bisect_right(sizes, left))
+        while k:
+            s = sizes[k - 1]
+            if left - below[k] > most:  # all that is left wastes too much
+                return
+            if free(s, taken):
+                taken[s] = taken.get(s, 0) + 1
+                chosen.append(s)
+                yield from go(left - s, k, chosen, taken)
+                chosen.pop()
+                taken[s] -= 1
+            k -= 1
+
+    yield from go(capacity - longest, len(sizes), [longest], {})
+
+
+def search(counts: dict[int, int], capacity: int, target: int, budget: int) -> list[list[int]] | None:
+    """Bin completion: ``target`` sequences for all pieces, or None if there are none (or none within the budget).
+
+    Each node fills the sequence around the longest piece left, least waste
+    first; a node ends when the waste so far is more than ``target`` allows.
+    """
+    spare = target * capacity - sum(s * c for s, c in counts.items())
+    if spare < 0:
+        return None
+    failed: set = set()
+
+    def go(counts: dict[int, int], spare: int, left: int) -> list[list[int]] | None:
+        nonlocal budget
+        if not counts:
+            return []
+        key = tuple(sorted(counts.items()))
+        if not left or key in failed:
+            return None
+        fills = []
+        for fill in undominated(counts, capacity, spare):
+            budget -= 1
+            if budget <= 0:
+                return None
+            fills.append(fill)
+        for fill in sorted(fills, key=lambda f: (-sum(f), len(f))):
+            rest = dict(counts)
+            for s in fill:
+                rest[s] -= 1
+                if not rest[s]:
+                    del rest[s]
+            found = go(rest, spare - capacity + sum(fill), left - 1)
+            if found is not None:
+                return [fill, *found]
+            if budget <= 0:
+                return None
+        failed.add(key)
+        return None
+
+    return go(counts, spare, target)
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int], int]]:
+    """(first sequence, lengths in one sequence, repeats) for all pieces.
+
+    The incumbent is the better of best fit and completion of one sequence
+    after the other. While it has more sequences than the pieces' sum asks for,
+    its last ``TAIL`` sequences (all of them, in small cases) are searched for a
+    packing with one sequence less.
+    """
+    counts = {s: c for s, c in histogram.items() if c > 0}
+    if counts and (min(counts) < 1 or max(counts) > capacity):
+        raise ValueError("piece lengths must lie between 1 and the capacity")
+    used = lambda packed: sum(n for _, n in packed)
+    packed = min(completed(counts, capacity), best_fit(counts, capacity), key=used)
+    bound = -(-sum(s * c for s, c in counts.items()) // capacity)
+    while used(packed) > bound:
+        tail: dict[int, int] = {}
+        kept, open_, room = [], 0, TAIL
+        for fill, n in reversed(packed):
+            free = min(n, room)
+            if n > free:
+                kept.append((fill, n - free))
+            for s in fill if free else ():
+                tail[s] = tail.get(s, 0) + free
+            open_, room = open_ + free, room - free
+        better = search(tail, capacity, open_ - 1, SEARCHED)
+        if better is None:
+            break
+        packed = kept[::-1] + [(fill, 1) for fill in better]
+    out, sequence = [], 0
+    for fill, n in packed:
+        out.append((sequence, fill, n))
+        sequence += n
     return out
 
 
@@ -136,28 +304,25 @@ def cut_pieces(docs: DataFrame, capacity: int, *, id_col: str, text_col: str, to
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc = TaskContext.get().partitionId(), tokens.encoder(file)
-        end, wide = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part_of = batch.slice(at, 500)
-                doc, piece, start, length, rank, data = [], [], [], [], [], []
-                for d, raw in zip(part_of.column(0).to_pylist(), enc.encode(part_of.column(1).to_pylist())):
-                    raw += end
-                    for k, begin in enumerate(range(0, len(raw), wide)):
-                        ids = raw[begin : begin + wide]
-                        n = len(ids) // 4
-                        doc.append(d)
-                        piece.append(k)
-                        start.append(begin // 4)
-                        length.append(n)
-                        rank.append(int(seen[n]))
-                        data.append(ids)
-                        seen[n] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(doc), pa.int32()), pa.array(rank, pa.int64()), pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary())],
-                    names=["part", "local_rank", "doc_id", "piece", "start", "length", "ids"],
-                )
+        for batch in common.sliced(batches, 1):
+            for lo, _, ids, begins in enc.encode(common.raw_texts(batch.column(1)), end_id):
+                size = np.diff(begins)
+                many = -(-size // capacity)
+                doc = np.repeat(np.arange(len(size)), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                length = np.minimum(capacity, size[doc] - start)
+                order = np.argsort(length, kind="stable")
+                ordered = length[order]
+                first = np.searchsorted(ordered, ordered)
+                rank = np.empty(len(doc), dtype=np.int64)
+                rank[order] = seen[ordered] + np.arange(len(doc)) - first
+                seen += np.bincount(length, minlength=capacity + 1)
+                offsets = np.concatenate([[0], 4 * np.cumsum(length)]).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4", copy=False))])
+                columns = [pa.array(np.full(len(doc), part, dtype=np.int32)), pa.array(rank), batch.column(0).take(pa.array(lo + doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "local_rank", "doc_id", "piece", "start", "length", "ids"])
 
     return common.id_and_text(docs, id_col, text_col).mapInArrow(cut, PIECES)
 

@@ -6,8 +6,9 @@ reads stripes in parallel and adds each document's global start;
 ``lookup_tokens`` prunes stripes and row groups by the index and the filter.
 
 Defined cases: a null or empty text has only the end id; a null document id
-sorts first; repeated ids stay separate rows, in no fixed order among
-themselves; an empty table gives no rows; other columns are ignored.
+sorts first; repeated ids stay separate rows, ordered among themselves by a
+hash of the text; a text of any length is one row, encoded on its own where it
+is longer than a chunk; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
+#: Files (16 bytes each) whose starts are broadcast at most.
+BROADCAST_PARTS = 500_000
 SCHEMA = "part int, row int, doc_id long, start_in_part long, n_tokens long, token_ids array<int>"
 
 
@@ -40,39 +43,38 @@ def write_tokens(
 ) -> None:
     """Write the ids of every whole text, each document closed by ``end_id``, in ascending id order.
 
-    The one shuffle deals rows into ranges of the id, so each file holds one
-    range and a hot source or a long text can't gather in one task.
+    The one shuffle deals rows into ranges of the id (and of a hash of the text
+    among equal or null ids), so each file holds one range and neither a hot
+    source nor an id that repeats can gather in one task.
     """
     file = tokenizer or tokens.tokenizer_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, start = TaskContext.get().partitionId(), 0, 0
-        enc, end = tokens.encoder(file), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                raw = [x + end for x in enc.encode(piece.column(1).to_pylist())]
-                n = np.fromiter((len(x) // 4 for x in raw), dtype=np.int64, count=len(raw))
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+        enc = tokens.encoder(file)
+        for batch in common.sliced(batches, 1):
+            for lo, hi, ids, begins in enc.encode(common.raw_texts(batch.column(1)), end_id):
+                lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids.view("<i4")))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(raw), part, dtype=np.int32)),
-                        pa.array(np.arange(row, row + len(raw), dtype=np.int32)),
-                        piece.column(0),
-                        pa.array(start + offsets[:-1]),
-                        pa.array(n),
-                        ids,
+                        pa.array(np.full(hi - lo, part, dtype=np.int32)),
+                        pa.array(np.arange(row, row + hi - lo, dtype=np.int32)),
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.array(start + begins[:-1]),
+                        pa.array(np.diff(begins)),
+                        lists,
                     ],
                     names=["part", "row", "doc_id", "start_in_part", "n_tokens", "token_ids"],
                 )
-                row += len(raw)
-                start += int(offsets[-1])
+                row += hi - lo
+                start += int(begins[-1])
 
     (
         common.id_and_text(docs, id_col, text_col)
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+        .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+        .select("doc_id", "text")
         .mapInArrow(encode, SCHEMA)
         .write.option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", row_index_stride)
@@ -88,12 +90,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     The totals of the parts come from two integer columns of the files; there
     are as many rows of them as files, so the window over them stays small.
+    They are broadcast up to ``BROADCAST_PARTS`` files; beyond, it's a shuffled join.
     """
     files = spark.read.schema(SCHEMA).orc(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     starts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("part_start"))
-    return files.join(F.broadcast(starts), "part").select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "n_tokens", "token_ids")
+    if totals.count() <= BROADCAST_PARTS:
+        starts = F.broadcast(starts)
+    return files.join(starts, "part").select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "n_tokens", "token_ids")
 
 
 def lookup_tokens(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
