@@ -18,7 +18,7 @@ rows; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -35,8 +35,8 @@ PIECES = "part int, local_rank long, doc_id long, piece int, start long, length
 BROADCAST_ROWS = 500_000
 #: Branches tried for a filling before its least waste is found from sums instead.
 BRANCHES = 4_000
-#: Sequences at the end of a packing that are searched for a better one, and fillings that a search may look at.
-TAIL, SEARCHED = 64, 200_000
+#: Sequences at the end of a packing that are searched for a better one, and partial fillings that a search may look at.
+TAIL, SEARCHED = 64, 100_000
 
 
 def fullest(room: int, sizes: list[int], counts: dict[int, int]) -> list[int]:
@@ -162,11 +162,12 @@ def _use(fill: list[int], sizes: list[int], counts: dict[int, int]) -> int:
     return repeats
 
 
-def undominated(counts: dict[int, int], capacity: int, most: int) -> Iterator[list[int]]:
+def undominated(counts: dict[int, int], capacity: int, most: int, spend: Callable[[], None]) -> Iterator[list[int]]:
     """Fillings around the longest piece that waste ``most`` at most, but those that another one dominates.
 
     A filling is dominated if an unused piece fits beside it, or in the place
-    of one or two of its pieces that are as long together at most.
+    of one or two of its pieces that are as long together at most. ``spend`` is
+    called for each partial filling and each comparison.
     """
     sizes = sorted(counts)
     longest = sizes[-1]
@@ -181,12 +182,14 @@ def undominated(counts: dict[int, int], capacity: int, most: int) -> Iterator[li
         ones = {s: s + 1 for s in rest}
         twos = {a + b: a + b for i, a in enumerate(rest) for b in rest[i + 1 :]}
         for q, least in [(0, 1), *ones.items(), *twos.items()]:
-            for s in sizes[bisect_right(sizes, least - 1) : bisect_right(sizes, q + left)]:
-                if free(s, taken):
+            for k in range(bisect_right(sizes, least - 1), bisect_right(sizes, q + left)):
+                spend()
+                if free(sizes[k], taken):
                     return True
         return False
 
     def go(left: int, k: int, chosen: list[int], taken: dict[int, int]) -> Iterator[list[int]]:
+        spend()
         if left <= most and not dominated(chosen, left, taken):
             yield list(chosen)
         k = min(k, bisect_right(sizes, left))
@@ -205,6 +208,10 @@ def undominated(counts: dict[int, int], capacity: int, most: int) -> Iterator[li
     yield from go(capacity - longest, len(sizes), [longest], {})
 
 
+class _Spent(Exception):
+    """A search used up its budget."""
+
+
 def search(counts: dict[int, int], capacity: int, target: int, budget: int) -> list[list[int]] | None:
     """Bin completion: ``target`` sequences for all pieces, or None if there are none (or none within the budget).
 
@@ -216,20 +223,19 @@ def search(counts: dict[int, int], capacity: int, target: int, budget: int) -> l
         return None
     failed: set = set()
 
-    def go(counts: dict[int, int], spare: int, left: int) -> list[list[int]] | None:
+    def spend() -> None:
         nonlocal budget
+        budget -= 1
+        if budget < 0:
+            raise _Spent
+
+    def go(counts: dict[int, int], spare: int, left: int) -> list[list[int]] | None:
         if not counts:
             return []
         key = tuple(sorted(counts.items()))
         if not left or key in failed:
             return None
-        fills = []
-        for fill in undominated(counts, capacity, spare):
-            budget -= 1
-            if budget <= 0:
-                return None
-            fills.append(fill)
-        for fill in sorted(fills, key=lambda f: (-sum(f), len(f))):
+        for fill in sorted(undominated(counts, capacity, spare, spend), key=lambda f: (-sum(f), len(f))):
             rest = dict(counts)
             for s in fill:
                 rest[s] -= 1
@@ -238,12 +244,13 @@ def search(counts: dict[int, int], capacity: int, target: int, budget: int) -> l
             found = go(rest, spare - capacity + sum(fill), left - 1)
             if found is not None:
                 return [fill, *found]
-            if budget <= 0:
-                return None
         failed.add(key)
         return None
 
-    return go(counts, spare, target)
+    try:
+        return go(counts, spare, target)
+    except _Spent:
+        return None
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int], int]]:
