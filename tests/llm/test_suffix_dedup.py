@@ -58,11 +58,11 @@ def test_a_hot_line_twice_in_otherwise_unique_texts(spark, monkeypatch):
     monkeypatch.setattr(d, "SPLIT", 5)
     rng = random.Random(6)
     word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
-    lines = [word(40) for _ in range(2000)]
+    lines = [word(72) for _ in range(2000)]
     line = min(lines, key=lambda x: d.Prints(np.frombuffer(x.encode(), np.uint8)).all(d.GRAM).min())  # its gram is the anchor of most strings
-    texts = [word(180) + line + word(20) + line + word(180) for _ in range(40)]
+    texts = [word(180) + line + word(12) + line + word(180) for _ in range(40)]
     tail = word(100)  # and one string that repeats in three texts
-    texts += [word(180) + line + word(20) + line + tail + line + tail + word(70) for _ in range(3)]
+    texts += [word(180) + line + word(12) + line + tail + line + tail + word(70) for _ in range(3)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = sorted((r["doc_id"], r["n_bytes"], [(s["start"], s["end"]) for s in r["removed"]], bytes(r["kept"])) for r in d.remove_repeats(frame).collect())
     want = [(i, *x) for i, x in enumerate(brute(texts, 200))]

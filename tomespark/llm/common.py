@@ -57,8 +57,8 @@ def with_counts(rows: DataFrame, counts: DataFrame, keys: Sequence[str], salt: C
     limit = max(1000, int(total * HOT_SHARE))
     hot = counts.filter(F.col(n) > limit).select(*keys, F.lit(True).alias("__hot"))
     salted = rows.join(F.broadcast(hot), list(keys), "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(salt), F.lit(replicas))).otherwise(F.lit(0)).cast("long")).drop("__hot")
-    each = F.when(F.col(n) > limit, F.sequence(F.lit(0), F.lit(replicas - 1))).otherwise(F.array(F.lit(0)))
-    many = counts.withColumn("__salt", F.explode(each).cast("long"))
+    each = F.when(F.col(n) > limit, F.sequence(F.lit(0).cast("long"), F.lit(replicas - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    many = counts.withColumn("__salt", F.explode(each))
     return salted.join(many, [*keys, "__salt"], how).drop("__salt")
 
 
@@ -93,12 +93,6 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches small, so that a Python worker's memory doesn't follow the length of texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def groups(batches, keys: int):
     """(key, rows as one RecordBatch) for runs of equal values in the first ``keys`` columns of sorted batches."""
     import numpy as np

@@ -1,11 +1,12 @@
 """Removal of repeated 200-byte strings with suffix arrays.
 
 A string of ``span`` bytes that starts at two places has the same anchor at
-both: the rightmost smallest hash of its 32-byte grams. So only strings around
+both: the rightmost smallest hash of its 64-byte grams. So only strings around
 anchors that occur twice can repeat, and no other is looked at:
 
-1. each text's anchors are found in numpy, with a hash of their context, the
-   up to 2 * span - 32 bytes that strings around the anchor lie in;
+1. each text's anchors are found in numpy. Neighbouring strings mostly have the
+   same one; a run of starts and the bytes of their strings are its context, so
+   every string lies in just one context of its text. Contexts are hashed;
 2. anchors that occur once are dropped. Contexts that occur twice are removed
    as they stand, and go on once; so do the other contexts of their anchors;
 3. contexts are dealt by anchor into shards of bounded size (an anchor with
@@ -18,11 +19,13 @@ anchors that occur twice can repeat, and no other is looked at:
 
 Texts with equal bytes are one text until step 5; equal means two 64-bit
 hashes and the length, and strings across shards are compared by 128 bits.
+Joins on anchors, contexts and texts deal the rows of hot ones among many tasks.
 
 Defined cases: null texts are empty; strings never cross texts; texts shorter
-than ``span`` bytes lose nothing; rows that repeat are copies of each other
-even with the same id; a null id keeps its row; an empty table gives no rows;
-other columns are ignored.
+than ``span`` bytes lose nothing; a text of any length is looked at as a whole,
+in a buffer of its own; rows that repeat are copies of each other even with the
+same id; a null id keeps its row; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +39,9 @@ from pyspark.sql import functions as F
 
 from . import common, shingles
 
-SPAN, GRAM = 200, 32
+SPAN, GRAM = 200, 64
 #: Contexts of a shard, about, and of one anchor in a shard at most, about.
-SHARD, SPLIT = 3000, 3000
+SHARD, SPLIT = 4000, 4000
 #: Rows of a table (some tens of bytes each) that are broadcast at most; beyond, it's a shuffled join.
 BROADCAST_ROWS = 300_000
 _BITS = 30  # of a place in a buffer, in keys that order grams by 34 bits of their hash and then by place
@@ -62,8 +65,8 @@ class Prints:
         return shingles.mix((self.total[n:] - self.total[:m]) * self.down[:m])
 
 
-def anchors(texts: list[bytes], span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, anchor hashes, context hashes, places) of each text with an anchor."""
+def anchors(texts: list[bytes], span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, anchor hashes, context hashes, starts and ends of contexts) of each text with an anchor."""
     for lo, hi in shingles.buffers(texts):
         buf = np.frombuffer(b"".join(texts[lo:hi]), dtype=np.uint8)
         if len(buf) < span:
@@ -83,21 +86,18 @@ def anchors(texts: list[bytes], span: int) -> Iterator[tuple[int, np.ndarray, np
         chosen = (np.uint64((1 << _BITS) - 1) - (key & np.uint64((1 << _BITS) - 1))).astype(np.int64)
         first = np.arange(len(chosen))
         owner = np.searchsorted(ends, first, side="right")
-        chosen, owner = (x[first + span <= ends[owner]] for x in (chosen, owner))
+        whole = first + span <= ends[owner]
+        chosen, owner, first = chosen[whole], owner[whole], first[whole]
         new = np.ones(len(chosen), dtype=bool)
         new[1:] = (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])
-        chosen, owner = chosen[new], owner[new]
-        left = np.maximum(begins[owner], chosen - (span - GRAM))
-        right = np.minimum(ends[owner], chosen + span)
+        lead = np.flatnonzero(new)
+        left, right = first[lead], first[np.append(lead[1:], len(first)) - 1] + span
+        chosen, owner = chosen[lead], owner[lead]
         context = shingles.mix(prints.of(left, right) ^ ((chosen - left).astype(np.uint64) * np.uint64(4096) + (right - left).astype(np.uint64)) * _SEED)
         cuts = np.searchsorted(owner, np.arange(hi - lo + 1))
         for i in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[i], cuts[i + 1]
-            yield lo + int(i), grams[chosen[a:b]], context[a:b], chosen[a:b] - begins[i]
-
-
-def _bytes(texts: list[str | None]) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+            yield lo + int(i), grams[chosen[a:b]], context[a:b], left[a:b] - begins[i], right[a:b] - begins[i]
 
 
 def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
@@ -110,14 +110,15 @@ def find_anchors(docs: DataFrame, span: int) -> DataFrame:
     none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches, 3):
             n = batch.num_rows
-            a, c, p = [none] * n, [none] * n, [none] * n
-            for i, grams, context, place in anchors(_bytes(batch.column(3).to_pylist()), span):
-                a[i], c[i], p[i] = grams.view(np.int64), context.view(np.int64), place
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(a, pa.int64()), _lists(c, pa.int64()), _lists(p, pa.int32())], names=["t1", "t2", "n_bytes", "a", "c", "p"])
+            a, c, s, e = [none] * n, [none] * n, [none] * n, [none] * n
+            for i, grams, context, start, end in anchors(common.raw_texts(batch.column(3)), span):
+                a[i], c[i], s[i], e[i] = grams.view(np.int64), context.view(np.int64), start, end
+            lists = [_lists(a, pa.int64()), _lists(c, pa.int64()), _lists(s, pa.int32()), _lists(e, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *lists], names=["t1", "t2", "n_bytes", "a", "c", "s", "e"])
 
-    return docs.select("t1", "t2", "n_bytes", "text").mapInArrow(run, "t1 long, t2 long, n_bytes long, a array<long>, c array<long>, p array<int>")
+    return docs.select("t1", "t2", "n_bytes", "text").mapInArrow(run, "t1 long, t2 long, n_bytes long, a array<long>, c array<long>, s array<int>, e array<int>")
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -130,7 +131,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     wide = np.concatenate([text, np.zeros(8, np.uint8)])
     first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, 8)[:n]).view(">u8").ravel().astype(np.uint64)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     rank = np.zeros(n, dtype=np.int64)  # of a group: the place of its first member
     edge = np.ones(n, dtype=bool)
     edge[1:] = first[order][1:] != first[order][:-1]
@@ -198,34 +199,29 @@ class Shard:
 
     def __init__(self, contexts: list[bytes], text_of: np.ndarray, start_of: np.ndarray, span: int) -> None:
         self.span = span
-        self.lengths = np.array([len(c) for c in contexts], dtype=np.int64)
-        self.begins = np.cumsum(self.lengths) - self.lengths
+        lengths = np.array([len(c) for c in contexts], dtype=np.int64)
+        begins = np.cumsum(lengths) - lengths
         self.buf = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-        self.counts = np.maximum(self.lengths - span + 1, 0)
-        own = np.repeat(np.arange(len(contexts)), self.counts)
-        step = np.arange(len(own)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        counts = np.maximum(lengths - span + 1, 0)
+        own = np.repeat(np.arange(len(contexts)), counts)
+        step = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
         self.own, self.step = own, step
-        self.place = self.begins[own] + step  # of every whole string in the buffer
+        self.place = begins[own] + step  # of every whole string in the buffer
         self.text, self.at = text_of[own], start_of[own] + step  # and in its text
         order = suffix_array(self.buf)
-        shared = common_prefixes(self.buf, order, self.begins, self.lengths, span)
+        shared = common_prefixes(self.buf, order, begins, lengths, span)
         string = np.full(len(self.buf), -1, dtype=np.int64)
         string[self.place] = np.arange(len(self.place))
         run = np.cumsum(shared[order] < span)  # suffixes of a run have span bytes in common
         which = string[order]
-        self.sorted = which[which >= 0]
-        self.run = run[which >= 0]
-        # the same place of a text may lie in two contexts: a run repeats if it has two places
-        size = self.run.max() + 1 if len(self.run) else 0
-        text, at = self.text[self.sorted], self.at[self.sorted]
-        lead = np.ones(len(text), dtype=bool)
-        lead[1:] = self.run[1:] != self.run[:-1]
-        first = np.maximum.accumulate(np.where(lead, np.arange(len(text)), 0))
-        two = np.zeros(size, dtype=bool)
-        two[self.run[(text != text[first]) | (at != at[first])]] = True
+        ordered, run = which[which >= 0], run[which >= 0]
+        # no place of a text lies in two contexts, so a run repeats if it has two strings
+        lead = np.ones(len(run), dtype=bool)
+        lead[1:] = run[1:] != run[:-1]
+        alone = lead & np.append(lead[1:], True)
         self.repeats = np.zeros(len(self.place), dtype=bool)
-        self.repeats[self.sorted] = two[self.run]
-        self.distinct = self.sorted[lead]  # one string of each run, in the order of the suffix array
+        self.repeats[ordered] = ~alone
+        self.distinct = ordered[lead]  # one string of each run, in the order of the suffix array
 
     def runs(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, start, end) of the runs of marked strings, context by context."""
@@ -243,49 +239,49 @@ def _two_prints(buf: np.ndarray, place: np.ndarray, span: int) -> np.ndarray:
     return np.stack([one.of(place, place + span), shingles.mix(two.of(place, place + span) + _SEED)])
 
 
-def spans_to_remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """t1, t2, start, end: runs of repeated strings of each distinct text, in parts that may overlap.
+def spans_to_remove(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
+    """t1, t2, start, end: runs of repeated strings of each distinct text, in parts that may overlap; and t1, t2, copies.
 
     docs: t1, t2, n_bytes, text.
     """
-    spark = docs.sparkSession
     found = common.written(find_anchors(docs, span), "anchors")
-    texts = found.groupBy("t1", "t2", "n_bytes").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("a", "c", "p")).alias("x"))
+    texts = found.groupBy("t1", "t2", "n_bytes").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("a", "c", "s", "e")).alias("x"))
     texts = common.written(texts.select("t1", "t2", "n_bytes", "copies", "x.*"), "anchored-texts")
+    common.released(found)
     whole = texts.filter(f"copies > 1 and n_bytes >= {span}").select("t1", "t2", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
 
-    places = texts.select("t1", "t2", "n_bytes", F.explode(F.arrays_zip("a", "c", "p")).alias("x")).select("t1", "t2", "n_bytes", "x.a", "x.c", "x.p")
-    twice = places.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
-    repeated = common.written(places.join(twice, "a"), "repeated-anchors")
-    ends = [F.greatest(F.col("p") - (span - GRAM), F.lit(0)).cast("long").alias("start"), F.least(F.col("p").cast("long") + span, F.col("n_bytes")).alias("end")]
-    contexts = repeated.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", *ends)).alias("x"))
+    places = texts.select("t1", "t2", F.explode(F.arrays_zip("a", "c", "s", "e")).alias("x")).select("t1", "t2", "x.a", "x.c", F.col("x.s").cast("long").alias("start"), F.col("x.e").cast("long").alias("end"))
+    twice = common.written(places.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-anchors")
+    n_twice = twice.agg(F.sum("n")).first()[0] or 0
+    salt = F.xxhash64("t1", "start")
+    repeated = common.written(common.with_counts(places, twice, ["a"], salt, n_twice).drop("n"), "anchor-places")
+    common.released(twice)
+    contexts = repeated.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "start", "end")).alias("x"))
     contexts = common.written(contexts.select("a", "c", "n", "x.*"), "contexts")
-    again = contexts.filter("n > 1").select("a", "c")
-    as_they_stand = repeated.join(again, ["a", "c"]).select("t1", "t2", *ends)
+    again = contexts.filter("n > 1").select("a", "c", "n")
+    as_they_stand = common.with_counts(repeated, again, ["a", "c"], salt, n_twice).select("t1", "t2", "start", "end")
 
     # contexts of anchors that have two of them, one of which isn't known to repeat as a whole
     open_anchors = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("a", "m")
-    asked = common.written(contexts.join(open_anchors, "a").select("a", "m", "t1", "t2", "start", "end"), "open-contexts")
-    n_open = asked.count()
+    asked = common.written(common.with_counts(contexts.drop("n"), open_anchors, ["a"], F.col("c"), n_twice, n="m").select("a", "m", "t1", "t2", "start", "end"), "open-contexts")
+    n_open, few = asked.agg(F.count(F.lit(1)), F.approx_count_distinct("t1")).first()
     shards = max(1, -(-n_open // SHARD))
     cut = asked.groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "m", "start", "end")).alias("cuts"))  # as many as a text has anchors
-    wanted = asked.select("t1").distinct()
-    few = wanted.count()
-    sources = docs.join(F.broadcast(wanted), "t1", "left_semi") if few <= 1_000_000 else docs
-    one = sources.select("t1", "t2", "text").join(cut, ["t1", "t2"])
+    sources = docs.join(F.broadcast(asked.select("t1").distinct()), "t1", "left_semi") if few <= 900_000 else docs
+    # copies of a text are folded within each task before they are shuffled
+    one = sources.select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).join(cut, ["t1", "t2"])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches, 2):
             cols: list[list] = [[], [], [], [], [], []]
-            for t1, t2, text, cuts in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                raw = (text or "").encode("utf-8", "surrogatepass")
+            for t1, t2, raw, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.raw_texts(batch.column(2)), batch.column(3).to_pylist()):
                 for x in cuts:
                     for col, v in zip(cols, (x["a"], x["m"], t1, t2, x["start"], raw[x["start"] : x["end"]])):
                         col.append(v)
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "m", "t1", "t2", "start", "context"])
 
-    bodies = one.dropDuplicates(["t1", "t2"]).mapInArrow(take, "a long, m long, t1 long, t2 long, start long, context binary")
+    bodies = one.mapInArrow(take, "a long, m long, t1 long, t2 long, start long, context binary")
     split = F.col("m") > SPLIT
     salt = F.when(split, F.pmod(F.xxhash64("t1", "start"), F.ceil(F.col("m") / SPLIT))).otherwise(F.lit(0))
     shard = F.when(split, F.xxhash64("a")).otherwise(F.pmod(F.xxhash64("a"), F.lit(shards)))
@@ -321,22 +317,22 @@ def spans_to_remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
     across = built.filter("strings is not null").select("a", "bucket", "salt", "strings").repartition("a", "bucket").sortWithinPartitions("a", "bucket", "salt")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted lists of one anchor's strings, one list a shard: binary search in the list of all shards before."""
+        """Sorted lists of one anchor's strings, one list a shard: pairs of lists are merged by binary search."""
         for _, rows in common.groups(batches, 2):
-            lists = [np.frombuffer(b, dtype=np.int64).reshape(5, -1) for b in rows.column(3).to_pylist()]
-            pool, hit, found = lists[0], np.zeros(lists[0].shape[1], dtype=bool), []
-            for more in lists[1:]:
-                key, seek = (np.rec.fromarrays([x[0].view(np.uint64), x[1].view(np.uint64)]) for x in (pool, more))
-                at = np.minimum(np.searchsorted(key, seek), len(key) - 1)
-                equal = key[at] == seek
-                # the same place of a text may lie in contexts of two shards: a string repeats if it has two places
-                other = equal & (pool[2:, at] != more[2:]).any(axis=0)
-                hit[at[other]] = True
-                found.append(more[2:, other])
-                both = np.concatenate([pool, more[:, ~equal]], axis=1)
-                marked = np.concatenate([hit, np.zeros(int((~equal).sum()), dtype=bool)])
-                order = np.lexsort((both[1].view(np.uint64), both[0].view(np.uint64)))
-                pool, hit = both[:, order], marked[order]
+            lists = [(x, np.zeros(x.shape[1], dtype=bool)) for x in (np.frombuffer(b, dtype=np.int64).reshape(5, -1) for b in rows.column(3).to_pylist())]
+            found = []
+            while len(lists) > 1:
+                merged = []
+                for (pool, hit), (more, more_hit) in zip(lists[0::2], lists[1::2]):
+                    at = np.minimum(np.searchsorted(pool[0].view(np.uint64), more[0].view(np.uint64)), pool.shape[1] - 1)
+                    equal = (pool[:2, at] == more[:2]).all(axis=0)
+                    hit[at[equal]] = True
+                    found.append(more[2:, equal])
+                    both, marked = np.concatenate([pool, more[:, ~equal]], axis=1), np.concatenate([hit, more_hit[~equal]])
+                    order = np.argsort(both[0].view(np.uint64), kind="stable")
+                    merged.append((both[:, order], marked[order]))
+                lists = merged + lists[len(lists) & ~1 :]
+            pool, hit = lists[0]
             marked = np.concatenate([pool[2:, hit], *found], axis=1)
             t1, t2, at = marked[:, np.lexsort(marked[::-1])]
             gap = np.ones(len(at), dtype=bool)  # strings of a text that touch are one run
@@ -347,7 +343,7 @@ def spans_to_remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     merged = across.mapInArrow(merge, "t1 long, t2 long, start long, end long")
     inside = built.filter("strings is null").select("t1", "t2", "start", "end")
-    return whole.unionByName(as_they_stand.filter(F.col("end") - F.col("start") >= span)).unionByName(inside).unionByName(merged)
+    return whole.unionByName(as_they_stand).unionByName(inside).unionByName(merged), texts.select("t1", "t2", "copies")
 
 
 def _unite(cuts: list) -> list[tuple[int, int]]:
@@ -362,20 +358,21 @@ def _unite(cuts: list) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, *, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, removed (array of start, end; maximal runs), kept (the bytes that stay) for every row of docs."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
     named = common.id_and_text(docs, id_col, text_col)
     hashed = named.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    spans = spans_to_remove(hashed, span)
-    by_text = common.written(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("cuts")), "removed")  # as many as a text has anchors
-    total = by_text.agg(F.sum(F.size("cuts"))).first()[0] or 0
-    joined = hashed.join(F.broadcast(by_text) if total <= BROADCAST_ROWS else by_text, ["t1", "t2"], "left")
+    spans, copies = spans_to_remove(hashed, span)
+    by_text = common.written(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("cuts")).join(copies, ["t1", "t2"]), "removed")  # as many as a text has anchors
+    total, rows = by_text.agg(F.sum(F.size("cuts")), F.sum("copies")).first()
+    if (total or 0) <= BROADCAST_ROWS:
+        joined = hashed.join(F.broadcast(by_text.drop("copies")), ["t1", "t2"], "left")
+    else:
+        joined = common.with_counts(hashed, by_text, ["t1", "t2"], F.col("doc_id"), rows, n="copies", how="left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches, 2):
             removed, kept = [], []
-            for text, cuts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                raw, runs = (text or "").encode("utf-8", "surrogatepass"), _unite(cuts)
+            for raw, cuts in zip(common.raw_texts(batch.column(2)), batch.column(3).to_pylist()):
+                runs = _unite(cuts)
                 edges = [0, *(x for run in runs for x in run), len(raw)]
                 removed.append([{"start": a, "end": b} for a, b in runs])
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2])))
