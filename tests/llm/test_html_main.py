@@ -84,3 +84,52 @@ def test_pages_without_an_article_beside_pages_with_one():
     main = h.main_paths(h.infer(pages), pages)
     assert [h.read(p, main) for p in with_one] == [f"{'article words ' * 9}{i}" for i in range(8)]
     assert [h.read(p, main) for p in without] == [f"{'plain words ' * 9}{i}" for i in range(8)]
+
+
+def texts_of(bodies):
+    pages = [h.Page(page(b)) for b in bodies]
+    wrapper = h.infer(pages)
+    main = h.main_paths(wrapper, pages)
+    return pages, [h.read(p, main) for p in pages]
+
+
+def test_doubtful_words_drop_nothing_that_varies():
+    _, got = texts_of([f'<article><p>Text {i}</p><section class="post related-work"><p>Related work {i}</p></section><table class="form"><tr><td>cell {i}</td></tr></table></article>' for i in range(7)])
+    assert got == [f"Text {i}\nRelated work {i}\ncell {i}" for i in range(7)]
+    _, got = texts_of([f'<div class="post-content"><p>Text {i}</p><div class="search-results"><p>result {i}</p></div></div>' for i in range(7)])
+    assert got == [f"Text {i}\nresult {i}" for i in range(7)]
+
+
+def test_doubtful_words_drop_what_the_wrapper_finds_constant_or_linked():
+    body = lambda i: f'<article><p>Text {i}</p><div class="share"><p>Share this page</p></div><ul class="related"><li><a href="/{i}">Other text {i}</a></li></ul><p>End</p></article>'
+    pages, got = texts_of([body(i) for i in range(7)])
+    assert got == [f"Text {i}\nEnd" for i in range(7)]
+    nothing = h.main_paths(h.Wrapper(), pages)
+    assert [h.read(p, nothing) for p in pages] == [""] * 7
+    alone, got = texts_of([body(1)])  # one page has no constant slots
+    assert got == ["Text 1\nShare this page\nEnd"]
+
+
+def test_breaks_and_images_stay_inside_a_block():
+    _, got = texts_of(["<article><p>a <img src=x> b<br>c<wbr>d <button>no</button> e<p>f<hr>g</article>"])
+    assert got == ["a b cd e\nf\ng"]
+
+
+def test_long_groups_fold():
+    group = [f"t{i}" for i in range(40)]
+    assert h.fold(["a", *group * 5, "z"]) == ("a", ("+", tuple(group)), "z")
+    rng = random.Random(2)
+
+    def unfold(nodes):
+        return [y for x in nodes for y in (unfold(x[1]) if isinstance(x, tuple) else [x])]
+
+    for _ in range(300):
+        stream = rng.choices("abc", k=rng.randint(0, 30))
+        nodes, held = h.fold_and_count(stream + ["#"])
+        assert sum(held) == 1 and set(unfold(nodes)) == set(stream + ["#"])
+
+
+def test_query_returns_the_contract_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "http://a/1", page("<article><h1>Ä</h1><p>x  y</article>")), (2, None, None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in h.op9_html(spark, str(tmp_path)).collect()}
+    assert got == {1: ("http://a/1", "Ä\nx y", 5), 2: (None, "", 0)}

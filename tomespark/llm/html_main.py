@@ -5,19 +5,24 @@ regular expressions over such tokens: folding a stream turns runs of repeated
 token groups into one repeated group; aligning it with the wrapper so far
 turns tokens that only one side has into optional ones, and texts into slots.
 Aligning also says which node of the wrapper each text of a page fills; texts
-of one repeated group fill the same slots. A slot is constant if the pages that
-fill it mostly have the same text there, and else varies. A page's text is read
-off its own stream: the slots under its article and main elements as they stand,
-and else those that vary, under elements named like articles or, where there are
-none, in the container in which most running text varies.
+of one repeated group fill the same slots. A page's text is read off the slots
+that its texts fill, and of nothing else. A slot is judged by what all pages of
+its block put there: whether they mostly have the same text, how much of it is
+links, and the elements around it. Elements and words that always mean something
+else than an article (menus, adverts, comments) rule a slot out; words that may
+(``related``, ``form``, ``search``) do so only for a constant or a linked slot.
+Pages without an article or main element are read from the container in which
+most running text varies.
 
 A host's pages are dealt into blocks of about ``BLOCK`` pages by the hash of
 page id and url, so a host with any number of pages never gathers in a task,
 and every page takes part in its block's wrapper.
 
 Defined cases: null and empty html give an empty text; a null url is a host of
-its own kind; repeated rows give a row each; broken markup (unclosed or stray
-tags, cut entities) is read as browsers do, about; other columns are ignored.
+its own kind; repeated rows give a row each; line breaks and images inside a
+paragraph don't end its block; broken markup (unclosed or stray tags, cut
+entities) is read as browsers do, about; a page of any length is read as a
+whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_LABEL = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_LABEL = re.compile(r"\b(?:class|id|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -53,17 +58,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that an opening tag of the same kind or of another block closes, as HTML has it.
 CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 NOT_MAIN_TAGS = frozenset("nav footer aside form head menu dialog fieldset".split())
+NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MAIN_TAGS = frozenset("article main".split())
+#: Words of classes and ids that always mean something beside the article, and those that may.
 NOT_MAIN = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer form header hidden login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus masthead nav navbar navigation newsletter pager pagination popup promo promotion replies sidebar sponsor sponsored".split()
 )
+MAY_BE = frozenset("banner copyright footer form header hidden login menu modal notice notices recommended related reply search share sharing signup social subscribe subscription tags toolbar widget".split())
 MAIN = frozenset("article articlebody content entry main post story".split())
+_ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-zA-Z]+)", re.I)
 
 
 def _words(attrs: str) -> frozenset[str]:
     if not attrs:
         return frozenset()
-    return frozenset(w.lower() for m in _LABEL.finditer(attrs) for w in _WORD.findall(m[1] or m[2] or m[3] or ""))
+    words = frozenset(w.lower() for m in _LABEL.finditer(attrs) for w in _WORD.findall(m[1] or m[2] or m[3] or ""))
+    role = _ROLE.search(attrs)
+    return words | {"role=" + role[1].lower()} if role and role[1].lower() in NOT_MAIN_ROLES else words
 
 
 class Page:
@@ -94,7 +105,7 @@ class Page:
                 continue
             name = m["name"] or m["name2"]
             if name is None:
-                if m["raw"] and m["raw"].lower() in ("title", "textarea", "select", "button", "iframe", "object"):
+                if m["raw"] and m["raw"].lower() == "title":
                     flush()
                 continue
             name = name.lower()
@@ -102,6 +113,10 @@ class Page:
                 if name == "a":
                     links = 0 if m["close"] or m["close2"] else 1
                 continue
+            if name in VOID and name != "hr":
+                if name == "br":
+                    parts.append(" ")
+                continue
             flush()
             links = 0
             if m["close"] or m["close2"]:
@@ -136,30 +151,50 @@ class Page:
         return out + ["/" + x for x in reversed(last)]
 
 
-def fold_and_count(stream: list, longest: int = 12) -> tuple[tuple, tuple]:
+def _alike(out: list, at: int, n: int) -> bool:
+    """Whether the n tokens before ``at`` and the last n are the same, looked at from the end."""
+    return all(out[at - k] == out[-k] for k in range(1, n + 1))
+
+
+def fold_and_count(stream: list) -> tuple[tuple, tuple]:
     """fold(), and how many texts each of its nodes stands for."""
     out: list = []
     held: list[int] = []
+    seen: dict = {}  # places of a token, some of which may be folded by now
     for token in stream:
         out.append(token)
         held.append(int(token == "#"))
-        for n in range(1, min(longest, len(out) // 2) + 1):
-            if out[-n:] == out[-2 * n : -n]:
-                out[-2 * n :] = [("+", tuple(out[-n:]))]
-                held[-2 * n :] = [sum(held[-2 * n :])]
+        repeats, places = [], seen.setdefault(token, [])
+        last = len(out)
+        for k in range(len(places) - 1, -1, -1):  # the nearest place where this token stood is the shortest group
+            n = last - 1 - places[k]
+            if 2 * n > last:
                 break
-        for n in range(1, min(longest, len(out) - 1) + 1):
-            before = out[-n - 1]
-            if isinstance(before, tuple) and before[0] == "+" and before[1] == tuple(out[-n:]):
-                held[-n - 1 :] = [sum(held[-n - 1 :])]
-                del out[-n:]
+            if places[k] < last - 1 and out[places[k]] == token and _alike(out, last - n, n):
+                repeats.append(n)
                 break
+        if repeats:
+            n = repeats[0]
+            out[-2 * n :] = [("+", tuple(out[-n:]))]
+            held[-2 * n :] = [sum(held[-2 * n :])]
+        for at in range(len(out) - 2, -1, -1):  # a group before that these tokens are another round of
+            before = out[at]
+            if isinstance(before, tuple) and before[0] == "+":
+                n = len(out) - 1 - at
+                if len(before[1]) == n and before[1] == tuple(out[-n:]):
+                    held[at:] = [sum(held[at:])]
+                    del out[at + 1 :]
+                break
+        while places and (places[-1] >= len(out) or out[places[-1]] != token):
+            places.pop()
+        if out[-1] == token:
+            places.append(len(out) - 1)
     return tuple(out), tuple(held)
 
 
-def fold(stream: list, longest: int = 12) -> tuple:
-    """The stream with every run of a repeated group of tokens as one ("+", group)."""
-    return fold_and_count(stream, longest)[0]
+def fold(stream: list) -> tuple:
+    """The stream with every run of a repeated group of tokens as one ("+", group), however long."""
+    return fold_and_count(stream)[0]
 
 
 def groups_of(nodes: tuple) -> Iterator[tuple]:
@@ -251,7 +286,10 @@ def align(wrapper: tuple, stream: tuple) -> tuple:
 class Wrapper(tuple):
     """A wrapper's nodes, and for each text of each page the number of the node that it fills."""
 
-    filled: dict[Page, list[int]]
+    def __new__(cls, nodes: tuple = (), filled: dict[Page, list[int]] | None = None) -> Wrapper:
+        out = super().__new__(cls, nodes)
+        out.filled = filled or {}
+        return out
 
 
 def infer(pages: list[Page]) -> Wrapper:
@@ -278,56 +316,80 @@ def infer(pages: list[Page]) -> Wrapper:
                 wrapper = _joined(wrapper, nodes, pairs)
                 seen[nodes] = [k for k, (_, j) in zip(numbers, pairs) if j is not None]
         filled[page] = [k for k, n in zip(seen[nodes], held) for _ in range(n)]
-    out = Wrapper(wrapper or ())
-    out.filled = filled
-    return out
-
-
-def _kind(element: str) -> tuple[bool, bool]:
-    """(main, not main) by an element's name and words."""
-    name, *words = element.split(".")
-    bad = name in NOT_MAIN_TAGS or (name not in MAIN_TAGS and name != "body" and not NOT_MAIN.isdisjoint(words))
-    return name in MAIN_TAGS or (name in ("div", "section", "td") and not MAIN.isdisjoint(words)), bad
-
-
-def _place(path: tuple[str, ...]) -> tuple[bool, bool, bool]:
-    """(may hold main text, under an article-like element, under an article or main element) by a path's elements."""
-    main = bad = tagged = False
-    for element in path:
-        is_main, is_bad = _kind(element)
-        name = element.split(".")[0]
-        bad = bad or is_bad or name == "head" or (name == "header" and not main)
-        main = main or is_main and not bad
-        tagged = tagged or name in MAIN_TAGS and not bad
-    return not bad, main and not bad, tagged and not bad
+    return Wrapper(wrapper or (), filled)
+
+
+class Place:
+    """What the elements around a slot say."""
+
+    def __init__(self, path: tuple[str, ...]) -> None:
+        self.out = self.main = self.tagged = self.doubted = False
+        for element in path:
+            name, *words = element.split(".")
+            self.out = self.out or name in NOT_MAIN_TAGS or (name == "header" and not self.main) or any(w.startswith("role=") for w in words)
+            if name not in MAIN_TAGS and name != "body":
+                self.out = self.out or not NOT_MAIN.isdisjoint(words)
+                self.doubted = self.doubted or not MAY_BE.isdisjoint(words)
+            elif name != "body" and not NOT_MAIN.isdisjoint(words):  # such as comments, each of which is an article of its own
+                self.out = True
+            self.main = self.main or (not self.out and (name in MAIN_TAGS or (name in ("div", "section", "td") and not MAIN.isdisjoint(words) and not self.doubted)))
+            self.tagged = self.tagged or (not self.out and name in MAIN_TAGS)
+
+
+class Slots:
+    """What all pages of a block put into each slot (node, path) of their wrapper."""
+
+    def __init__(self, wrapper: Wrapper, pages: list[Page]) -> None:
+        self.of = {p: [(node, path) for node, (path, _, _) in zip(wrapper.filled.get(p, ()), p.blocks)] for p in pages}
+        self.chars: dict[tuple, int] = {}
+        self.linked: dict[tuple, int] = {}
+        on: dict[tuple, dict[str, int]] = {}
+        filling: dict[tuple, int] = {}
+        for page in {tuple(b[:2] for b in p.blocks): p for p in pages}.values():
+            own = set()
+            for slot, (_, text, linked) in zip(self.of[page], page.blocks):
+                own.add((slot, text))
+                self.chars[slot] = self.chars.get(slot, 0) + len(text)
+                self.linked[slot] = self.linked.get(slot, 0) + linked
+            for slot, text in own:
+                texts = on.setdefault(slot, {})
+                texts[text] = texts.get(text, 0) + 1
+            for slot in {slot for slot, _ in own}:
+                filling[slot] = filling.get(slot, 0) + 1
+        #: slot -> the texts that most of five or more different pages have there, where little else stands there
+        self.constant: dict[tuple, set[str]] = {}
+        for slot, texts in on.items():
+            often = {t for t, n in texts.items() if filling[slot] >= 5 and n >= 0.8 * filling[slot]}
+            if sum(texts[t] for t in often) >= 0.8 * sum(texts.values()):
+                self.constant[slot] = often
+
+    def fixed(self, slot: tuple, text: str) -> bool:
+        return text in self.constant.get(slot, ())
 
 
 def constant_slots(wrapper: Wrapper, pages: list[Page]) -> set[tuple]:
     """Slots (node, path) that five or more different pages fill, mostly with the same text."""
-    distinct = {tuple(b[:2] for b in p.blocks): p for p in pages}
-    on: dict[tuple, dict[str, int]] = {}
-    filling: dict[tuple, int] = {}
-    for page in distinct.values():
-        own = {((node, path), text) for node, (path, text, _) in zip(wrapper.filled[page], page.blocks)}
-        for slot, text in own:
-            texts = on.setdefault(slot, {})
-            texts[text] = texts.get(text, 0) + 1
-        for slot in {slot for slot, _ in own}:
-            filling[slot] = filling.get(slot, 0) + 1
-    return {slot for slot, texts in on.items() if filling[slot] >= 5 and sum(n for n in texts.values() if n >= 0.8 * filling[slot]) >= 0.8 * sum(texts.values())}
+    return {slot for slot, texts in Slots(wrapper, pages).constant.items() if texts}
 
 
 def main_paths(wrapper: Wrapper, pages: list[Page]) -> dict[Page, list[bool]]:
-    """For each page, which of its texts are the article's."""
-    places = {path: _place(path) for path in {b[0] for p in pages for b in p.blocks}}
-    constant = constant_slots(wrapper, pages)
-    named = {page for page in pages if any(places[path][1] for path, _, _ in page.blocks)}
+    """For each page, which of its texts are the article's, by the slots that they fill."""
+    slots = Slots(wrapper, pages)
+    places = {path: Place(path) for path in {b[0] for p in pages for b in p.blocks}}
+
+    def inside(slot: tuple, text: str) -> bool:
+        place = places[slot[1]]
+        beside = place.doubted and (slots.fixed(slot, text) or 2 * slots.linked[slot] > slots.chars[slot])
+        return place.main and not place.out and not beside
+
+    named = {page for page in pages if any(inside(slot, b[1]) for slot, b in zip(slots.of[page], page.blocks))}
     # no article-like element: the container with most text outside links, where texts differ between pages
-    rest = [(node, *block) for page in pages if page not in named for node, block in zip(wrapper.filled[page], page.blocks) if places[block[0]][0]]
-    varying = [x for x in rest if x[:2] not in constant]
-    weight_of = lambda blocks: sum(max(0, len(text) - 3 * linked) for _, _, text, linked in blocks)
+    open_ = lambda slot: not places[slot[1]].out and not places[slot[1]].doubted
+    rest = [(slot, text, linked) for page in pages if page not in named for slot, (_, text, linked) in zip(slots.of[page], page.blocks) if open_(slot)]
+    varying = [x for x in rest if not slots.fixed(x[0], x[1])]
+    weight_of = lambda blocks: sum(max(0, len(text) - 3 * linked) for _, text, linked in blocks)
     mass: dict[tuple[str, ...], float] = {}
-    for _, path, text, linked in varying if 2 * weight_of(varying) >= weight_of(rest) else rest:
+    for (_, path), text, linked in varying if 2 * weight_of(varying) >= weight_of(rest) else rest:
         weight = max(0, len(text) - 3 * linked)
         for depth in range(len(path) + 1):
             mass[path[:depth]] = mass.get(path[:depth], 0.0) + weight
@@ -339,9 +401,10 @@ def main_paths(wrapper: Wrapper, pages: list[Page]) -> dict[Page, list[bool]]:
         at = max(below)[1]
     out: dict[Page, list[bool]] = {}
     for page in pages:
-        kept = [places[path][1] if page in named else places[path][0] and path[: len(at)] == at for path, _, _ in page.blocks]
-        fixed = [k and not places[path][2] and (node, path) in constant for k, node, (path, _, _) in zip(kept, wrapper.filled[page], page.blocks)]
-        size = lambda marks: sum(len(b[1]) for b, x in zip(page.blocks, marks) if x)
+        own = list(zip(slots.of[page], page.blocks))
+        kept = [inside(slot, b[1]) if page in named else open_(slot) and slot[1][: len(at)] == at for slot, b in own]
+        fixed = [k and not places[slot[1]].tagged and slots.fixed(slot, b[1]) for k, (slot, b) in zip(kept, own)]
+        size = lambda marks: sum(len(b[1]) for (_, b), x in zip(own, marks) if x)
         if 2 * size(fixed) <= size(kept):  # else the pages are copies, about, and constant text may be the article
             kept = [k and not f for k, f in zip(kept, fixed)]
         out[page] = kept
@@ -354,8 +417,6 @@ def read(page: Page, main: dict[Page, list[bool]]) -> str:
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text for every row of pages."""
-    spark = pages.sparkSession
-    common.bounded_batches(spark, 500)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
     sizes = common.written(rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).filter("blocks > 1"), "large-hosts")
