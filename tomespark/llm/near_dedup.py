@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, words: int, t: int) -> DataFrame:
     tag = rng.integers(1, 2**63, 2 * t, dtype=np.uint64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches, 1):
             texts = shingles.ascii_lower(batch.column(1).to_pylist())
             for lo, hi in shingles.buffers(texts):
                 found, begins = shingles.shingle_hashes(texts[lo:hi], words)
@@ -174,7 +174,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, words: int, similarity: floa
     texts = docs.join(F.broadcast(chosen) if placed.count() <= BROADCAST_IDS else chosen, "doc_id")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches, 5):
             own = shingles.ascii_lower(batch.column(5).to_pylist())
             for lo, hi in shingles.buffers(own):
                 found, begins = shingles.shingle_hashes(own[lo:hi], words)
@@ -210,7 +210,6 @@ def exact_links(docs: DataFrame, groups: DataFrame, words: int, similarity: floa
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; similarity counts in whole hundredths."""
-    common.bounded_batches(docs.sparkSession)
     docs = common.id_and_text(docs, id_col, text_col)
     t = sketches(similarity)
     signed = common.written(signatures(docs, words, t), "signatures")
