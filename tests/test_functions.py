@@ -28,3 +28,24 @@ def test_stream_of_files(spark, tmp_path):
     assert run() == 3
     (folder / "two.HLP").write_bytes(made(pages=4)[0])
     assert run() == 7
+
+
+def test_inlined_sql_functions_equal_the_columns(spark):
+    from pyspark.sql import functions as F
+
+    from tomespark.functions import codecs, native
+    from tomespark.functions.register import register
+
+    register(spark)
+    links = ["", None, "my%20file", "f/topics", "f/index", "f/index/a+b%20c", "f/topic-12", "f/topic-x", "f/topic- -7y", "bad%zz/other", "/topic-3", "a/b/c"]
+    rows = spark.createDataFrame([(x,) for x in links], "link string")
+    for name in ("file", "page", "topic", "query"):
+        got = rows.select(F.expr(f"parse_fragment(link).{name}").alias("a"), native.fragment(F.col("link"))[name].alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got], name
+    texts = spark.createDataFrame([(x,) for x in ("Topic_1.0", "", "é-9Z", None, "zzzzzzzzzz")], "t string")
+    assert [r["h"] for r in texts.selectExpr("hash43(t) h").collect()] == [None if x is None else codecs.hash43(x) for x in ("Topic_1.0", "", "é-9Z", None, "zzzzzzzzzz")]
+    sets = spark.range(0, 300).selectExpr("cast(id as int) charset", "cast(id % 70 as int) lcid")
+    assert sets.filter(F.expr("charset_name(charset, lcid)") != native.charset_name(F.col("charset"), F.col("lcid"))).count() == 0
+    fonts = spark.range(0, 200).selectExpr("if(id % 5 = 0, null, concat('F', id)) face", "cast(id as int) half_points", "400 weight", "id % 2 = 0 italic", "id % 3 = 0 underline", "id % 5 = 0 strikeout", "id % 7 = 0 small_caps", "cast(id % 8 as int) family", "id * 70000 fg")
+    css = F.expr("font_css(face, half_points, weight, italic, underline, strikeout, small_caps, family, fg)")
+    assert fonts.filter(css != native.font_css(F.struct("*"))).count() == 0 and fonts.filter(css.isNull()).count() == 0

@@ -83,3 +83,48 @@ def page_numbers(rows: DataFrame, by: list[str], order: list[str], starts_page:
     """How many rows that start a page stand at or before each row."""
     window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(out, F.sum(F.when(starts_page, 1).otherwise(0)).over(window))
+
+
+def anchor(asked: DataFrame, paragraphs: DataFrame, on: list[str], at: str, para_at: str, out: str = "anchor") -> DataFrame:
+    """The paragraph of each key that an offset means: the one at it, else the last one below it, else the key's first.
+
+    An exact one is the last one at or below, too, so one floor lookup gives both.
+    """
+    found = floor_lookup(asked, paragraphs, on, at, para_at, [F.col(para_at)], F.col(para_at), out)
+    first = paragraphs.groupBy(*on).agg(F.min(para_at).alias("__least"))
+    return found.join(first, on, "left").withColumn(out, F.coalesce(out, "__least")).drop("__least")
+
+
+def topic_titles(asked: DataFrame, pages: DataFrame, on: list[str], at: str = "topic_offset", out: str = "title") -> DataFrame:
+    """The title of the page at or below each offset; "Topic at N" where there is no page or it has no title."""
+    found = floor_lookup(asked, pages, on, at, "topic_offset", [F.col("page_idx")], F.coalesce(F.col("title"), F.lit("")), out)
+    return found.withColumn(out, F.when(F.coalesce(F.col(out), F.lit("")) != "", F.col(out)).otherwise(F.concat(F.lit("Topic at "), F.col(at).cast("string"))))
+
+
+def region(ref: Column, scroll_ref: Column) -> Column:
+    """Whether a record lies in a page's fixed part, before the reference where it starts to scroll, or in the rest."""
+    return F.when(ref < scroll_ref, "fixed").otherwise("scrolling")
+
+
+def browse_neighbours(rows: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
+    """``rows`` with the values of the neighbours one place before and after, null where the chain breaks."""
+    before = rows.select(*by, (F.col(at) + 1).alias(at), F.col(value).alias(f"prev_{value}"))
+    after = rows.select(*by, (F.col(at) - 1).alias(at), F.col(value).alias(f"next_{value}"))
+    return rows.join(before, [*by, at], "left").join(after, [*by, at], "left")
+
+
+def offsets_of(rows: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """The values of each key in stored order, as an array."""
+    held = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__value"))))
+    return rows.groupBy(*by).agg(held.alias("__held")).select(*by, F.transform("__held", lambda x: x["__value"]).alias(out))
+
+
+def sizes(rows: DataFrame, by: list[str], distinct: str) -> DataFrame:
+    """Rows and distinct values of each key."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(distinct).alias(f"n_{distinct}"))
+
+
+def index_order(entries: DataFrame, on: list[str]) -> DataFrame:
+    """Entries with their position in their file's index: by sort key, keywords before titles, each in stored order."""
+    window = Window.partitionBy(*on).orderBy("sort_key", "source", "seq")
+    return entries.withColumn("position", F.row_number().over(window))

@@ -88,3 +88,24 @@ def cache_files(cached: DataFrame, opened: DataFrame) -> DataFrame:
 
 def cached_names(cached: DataFrame) -> DataFrame:
     return cached.select("file_key", "name", "last_hash").orderBy(F.lower("name"), "file_key")
+
+
+def read_cached(cached: DataFrame, asked: DataFrame) -> DataFrame:
+    """The cached files whose keys are asked for."""
+    return cached.join(asked.select("file_key").distinct(), "file_key", "left_semi")
+
+
+def clear_cached(cached: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """The cache without some files, or without any."""
+    return cached.limit(0) if gone is None else cached.join(gone.select("file_key").distinct(), "file_key", "left_anti")
+
+
+def settings_put(settings: DataFrame, new: DataFrame, at: str) -> DataFrame:
+    """Settings (name, value) after new ones were put, in the order of ``at``: the last one of a name stays."""
+    last = new.groupBy("name").agg(F.max_by("value", at).alias("__value"))
+    return settings.join(last, "name", "full_outer").select("name", F.coalesce("__value", "value").alias("value"))
+
+
+def settings_get(settings: DataFrame, asked: DataFrame, default: str | None = None) -> DataFrame:
+    """``asked`` (name) with value, or the default."""
+    return asked.join(settings.select("name", "value"), "name", "left").withColumn("value", F.coalesce("value", F.lit(default)))

@@ -151,11 +151,11 @@ _DOCS = "select doc_id, text from documents"
 _PHRASES = [b"the ", b"tion", b"and ", b"er", b"en", b"de ", b"on"]
 
 
-def _phrase3(raw: bytes) -> bytes:
+def _phrase3(raw: bytes, phrases: list[bytes] = _PHRASES) -> bytes:
     """The older phrase code of a text whose bytes are 16 or more or blank-like: others can't be written."""
     out, i = bytearray(), 0
     while i < len(raw):
-        for k, p in enumerate(_PHRASES):
+        for k, p in enumerate(phrases):
             if raw.startswith(p, i):
                 spaced = raw[i + len(p) : i + len(p) + 1] == b" "
                 out += bytes([1, 2 * k + spaced])
@@ -163,22 +163,22 @@ def _phrase3(raw: bytes) -> bytes:
                 break
         else:
             one = raw[i]
-            out += bytes([1, 2 * (len(_PHRASES) + one)]) if 1 <= one <= 15 else bytes([one])
+            out += bytes([1, 2 * (len(phrases) + one)]) if 1 <= one <= 15 else bytes([one])
             i += 1
     return bytes(out)
 
 
-def _phrase4(raw: bytes) -> bytes:
+def _phrase4(raw: bytes, phrases: list[bytes] = _PHRASES) -> bytes:
     out, i = bytearray(), 0
     while i < len(raw):
-        for k, p in enumerate(_PHRASES):
+        for k, p in enumerate(phrases):
             if raw.startswith(p, i):
                 out.append(2 * k)
                 i += len(p)
                 break
         else:
             n = 1
-            while n < 32 and i + n < len(raw) and not any(raw.startswith(p, i + n) for p in _PHRASES):
+            while n < 32 and i + n < len(raw) and not any(raw.startswith(p, i + n) for p in phrases):
                 n += 1
             out += bytes([(n - 1) * 8 + 3]) + raw[i : i + n]
             i += n

@@ -96,20 +96,18 @@ select d.doc_id, coalesce((select max(anchor) from a where a.page = d.doc_id //
 from documents d left join f on f.page = d.doc_id // 100""")
 def anchor_lookup(t):
     docs = t("documents").select("doc_id", F.floor(F.col("doc_id") / 100).alias("page"))
-    anchors = docs.filter("doc_id % 7 = 0 and doc_id % 100 <> 0").withColumnRenamed("doc_id", "anchor")
-    first = anchors.groupBy("page").agg(F.min("anchor").alias("first_anchor"))
-    found = ops.floor_lookup(docs, anchors, ["page"], "doc_id", "anchor", [F.col("anchor")], F.col("anchor"), "anchor")
-    return found.join(first, "page", "left").select("doc_id", F.coalesce("anchor", "first_anchor").alias("anchor"))
+    anchors = docs.filter("doc_id % 7 = 0 and doc_id % 100 <> 0").withColumnRenamed("doc_id", "place")
+    return ops.anchor(docs, anchors, ["page"], "doc_id", "place").select("doc_id", "anchor")
 
 
 @_query("""
 select l_partkey, n_offsets, first_order, last_order from (
  select l_partkey, count(*) n_offsets, min(l_orderkey) first_order, max(l_orderkey) last_order from (
-  select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) rn from lineitem) where rn <= 20 group by l_partkey)""")
+  select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) rn from lineitem) where rn <= 64 group by l_partkey)""")
 def keyword_search(t):
     lines = t("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     asked = lines.select("l_partkey").distinct()
-    found = ops.keyword_offsets(asked, lines, ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"], most=20)
+    found = ops.keyword_offsets(asked, lines, ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"])
     return found.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_offsets"), F.min("l_orderkey").alias("first_order"), F.max("l_orderkey").alias("last_order"))
 
 
@@ -151,10 +149,7 @@ def page_assignment(t):
 select c.conv_id, c.turn, c.role, p.role prev_role, n.role next_role from conversations c
 left join conversations p on p.conv_id = c.conv_id and p.turn = c.turn - 1 left join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1""")
 def browse_chain(t):
-    turns = t("conversations").select("conv_id", "turn", "role")
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("prev_role"))
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"))
-    return turns.join(before, ["conv_id", "turn"], "left").join(after, ["conv_id", "turn"], "left")
+    return ops.browse_neighbours(t("conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
 
 
 @_query("""
@@ -207,16 +202,16 @@ def font_css(t):
     return t("part").withColumn("font", font).select("p_partkey", fn.font_css(F.col("font")).alias("css"))
 
 
-def _case(value: str, table: dict[int, str]) -> str:
-    return f"case {value} " + " ".join(f"when {k} then '{v}'" for k, v in table.items()) + " end"
-
-
 _CODES = [0, 1, 128, 129, 134, 136, 161, 162, 177, 178, 186, 204, 238, 77]
 _CHARSET = f"list_extract([{', '.join(map(str, _CODES))}], (p_partkey % 14)::int + 1)"
 
 
 @_query(f"""
-select p_partkey, coalesce(case when p_partkey % 14 in (0, 1) and p_size <> 0 then {_case('(p_size & 255)', fn.LANGUAGES)} end, {_case(_CHARSET, fn.CHARSETS)}, 'windows-1252') encoding,
+select p_partkey, coalesce(case when p_partkey % 14 in (0, 1) and p_size <> 0 then
+  case p_size & 255 when 1 then 'windows-1256' when 5 then 'windows-1250' when 8 then 'windows-1253' when 13 then 'windows-1255' when 17 then 'shift_jis' when 18 then 'euc-kr' when 25 then 'windows-1251'
+   when 26 then 'windows-1250' when 30 then 'windows-874' when 31 then 'windows-1254' when 36 then 'windows-1250' when 42 then 'windows-1258' when 66 then 'windows-1257' end end,
+  case {_CHARSET} when 128 then 'shift_jis' when 129 then 'euc-kr' when 134 then 'gb2312' when 136 then 'big5' when 161 then 'windows-1253' when 162 then 'windows-1254'
+   when 177 then 'windows-1255' when 178 then 'windows-1256' when 186 then 'windows-1257' when 204 then 'windows-1251' when 238 then 'windows-1250' end, 'windows-1252') encoding,
  ({_CHARSET} in (177, 178) or p_size & 255 in (1, 13, 32, 41)) rtl from part""")
 def charset_map(t):
     charset = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("p_partkey") % 14 + 1).cast("int"))
@@ -225,16 +220,16 @@ def charset_map(t):
 
 @_query("select event_id, case when event_id < (user_id * 37) % 1000 then 'fixed' else 'scrolling' end region from events where event_type in ('click', 'view')")
 def region_split(t):
-    scroll = (F.col("user_id") * 37) % 1000
-    return t("events").filter(F.col("event_type").isin("click", "view")).select("event_id", F.when(F.col("event_id") < scroll, "fixed").otherwise("scrolling").alias("region"))
+    events = t("events").filter(F.col("event_type").isin("click", "view"))
+    return events.select("event_id", ops.region(F.col("event_id"), (F.col("user_id") * 37) % 1000).alias("region"))
 
 
-@_query("select event_type, count(*) n, count(distinct user_id) n_users from events group by event_type")
+@_query("select event_type, count(*) n, count(distinct user_id) n_user_id from events group by event_type")
 def counts(t):
-    return t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"))
+    return ops.sizes(t("events"), ["event_type"], "user_id")
 
 
 @_query("select l_partkey, string_agg(l_orderkey::varchar, ',' order by l_orderkey, l_linenumber) orders from lineitem group by l_partkey")
 def collect_offsets(t):
-    items = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber")))
-    return t("lineitem").groupBy("l_partkey").agg(F.array_join(F.transform(items, lambda x: x["l_orderkey"].cast("string")), ",").alias("orders"))
+    held = ops.offsets_of(t("lineitem"), ["l_partkey"], ["l_orderkey", "l_linenumber"], "l_orderkey", "offsets")
+    return held.select("l_partkey", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("orders"))

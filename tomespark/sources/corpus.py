@@ -35,7 +35,7 @@ def _ops(f: HelpFile) -> Iterator[dict]:
 
 WMF_COLUMNS = (
     "op string, rect array<int>, points array<struct<x:int,y:int>>, sizes array<int>, style int, pen_width int, color long, hatch int, mode int, rop long, width int, height int, "
-    "rgba binary, text binary, font_height int, weight int, italic int, angle int, charset int"
+    "rgba binary, text binary, said string, font_height int, weight int, italic int, angle int, charset int"
 )
 
 #: name -> (columns beside file_key, rows of a file)

@@ -15,6 +15,9 @@ from dataclasses import dataclass, field
 from tomespark.functions import codecs
 
 STACK, POINTS = 32, struct.Struct("<hh")
+#: Character sets of fonts in metafiles, which know two more than those of pages; others are Western.
+ENCODINGS = {128: "cp932", 129: "cp949", 134: "gbk", 136: "big5", 161: "cp1253", 162: "cp1254", 163: "cp1258", 177: "cp1255", 178: "cp1256", 186: "cp1257", 204: "cp1251", 222: "cp874", 238: "cp1250"}
+
 #: Record functions of the format.
 END = 0x0000
 PLACEHOLDERS = (0x00F7, 0x01F9, 0x0142, 0x06FF)
@@ -127,6 +130,10 @@ class Player:
         rgba = codecs.dib_rgba(dib[head + 4 * colors :], width, height, bpp, dib[head : head + 4 * colors])
         self.ops.append({"op": "DIB_BLIT", "rop": rop, "rect": [x, y, w, h], "width": width, "height": height, "rgba": rgba})
 
+    def decoded(self, text: bytes) -> str:
+        """A text in the character set of the font that holds."""
+        return text.decode(ENCODINGS.get((self.state.font or {}).get("charset"), "cp1252"), "replace")
+
     # records
 
     def window(self, r: Reader, part: str) -> None:
@@ -230,7 +237,7 @@ class Player:
             return
         text = r.raw(n + n % 2)[:n]
         y, x = r.shorts(2)
-        self.draw("TEXT", "fc", points=[{"x": x, "y": y}], text=text)
+        self.draw("TEXT", "fc", points=[{"x": x, "y": y}], text=text, said=self.decoded(text))
 
     def ext_text_out(self, r: Reader) -> None:
         y, x = r.shorts(2)
@@ -238,7 +245,7 @@ class Player:
         if options & 0x06:
             r.at += 8
         text = r.raw(n)
-        self.draw("TEXT", "fc", points=[{"x": x, "y": y}], text=text)
+        self.draw("TEXT", "fc", points=[{"x": x, "y": y}], text=text, said=self.decoded(text))
 
     def clip(self, r: Reader) -> None:
         self.draw("CLIP_INTERSECT", sizes=[4], points=_corners(r.box()))

@@ -214,16 +214,26 @@ def image_numbers(file: HelpFile) -> list[int]:
 def images(file: HelpFile) -> Iterator[dict]:
     from tomespark.functions import codecs
 
+    from .metafile import BadMetafile, operations
+
     for number in image_numbers(file):
         p = _picture(file, number)
         if p is None:
             continue
         pixels = body = None
+        width, height = p["width"], p["height"]
         if "data" in p and p["size"] <= 1 << 28:
             body = codecs.gfx_unpack(p["data"], p["packing"], p["size"])
         if body is not None and p["type"] in (5, 6) and p["width"] and p["height"]:
             pixels = codecs.dib_rgba(body, p["width"], p["height"], p["bpp"], p["palette"])
-        yield {"bm_index": number, "type": p["type"], "packing": p["packing"], "width": p["width"], "height": p["height"], "bpp": p["bpp"], "rgba": pixels, "png": codecs.png(pixels, p["width"], p["height"]) if pixels else None, "metafile": body if p["type"] == 8 else None}
+        if body is not None and p["type"] == 8:
+            try:  # the pixels of a metafile are those of the first bitmap in it
+                first = next((o for o in operations(body) if o["op"] == "DIB_BLIT"), None)
+            except BadMetafile:
+                first = None
+            if first:
+                pixels, width, height = first["rgba"], first["width"], first["height"]
+        yield {"bm_index": number, "type": p["type"], "packing": p["packing"], "width": p["width"], "height": p["height"], "bpp": p["bpp"], "rgba": pixels, "png": codecs.png(pixels, width, height) if pixels else None, "metafile": body if p["type"] == 8 else None}
 
 
 def hotspots(file: HelpFile, number: int) -> Iterator[dict]:

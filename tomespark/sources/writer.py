@@ -106,10 +106,9 @@ def topic(records, version=21, flags=0):
     return out, [ref(a) for a in refs]
 
 
-def header(title, version=21, scroll=None):
-    head = struct.pack("<IIIII", 0, 0xFFFFFFFF, 0xFFFFFFFF, 0, 0)
-    head = head[:4] + struct.pack("<II", 0xFFFFFFFF, 0xFFFFFFFF) + bytes(8) + struct.pack("<I", 0xFFFFFFFF if scroll is None else scroll) + bytes(4)
-    return record(2, head[: 0x2D - 0x15 + 4], title)
+def header(title, version=21, scroll=None, backward=None, forward=None):
+    word = lambda x: 0xFFFFFFFF if x is None else x
+    return record(2, struct.pack("<III", 0, word(backward), word(forward)) + bytes(8) + struct.pack("<I", word(scroll)) + bytes(4), title)
 
 
 def paragraph(pieces):
@@ -118,3 +117,96 @@ def paragraph(pieces):
     codes = b"".join(c for _, c in pieces) + b"\xff"
     head = wide_signed(0) + narrow(min(len(text), 16000)) + bytes(4) + struct.pack("<H", 0) + codes
     return record(0x20, head, text + b"\0")
+
+
+def small_signed(x):
+    """A signed number of one or two bytes, always in two."""
+    return struct.pack("<H", 0x8000 + (2 * x + 1 if x >= 0 else 2 * x - 1))
+
+
+def layout(sizes=(), border=None, tabs=(), align=0):
+    """The flags and numbers of a paragraph: space before, after and between lines, indents left, right and first."""
+    flags = align | (0x100 if border else 0) | (0x200 if tabs else 0) | (0x7E if sizes else 0)
+    out = struct.pack("<H", flags) + b"".join(small_signed(x) for x in sizes)
+    if border:
+        out += struct.pack("<Bh", *border)
+    if tabs:
+        out += small_signed(len(tabs)) + b"".join(narrow(t) for t in tabs)
+    return bytes(4) + out
+
+
+def formatted(pieces, own=None):
+    """A paragraph with its layout; pieces as in paragraph()."""
+    text = b"".join(t + b"\0" for t, _ in pieces)
+    codes = b"".join(c for _, c in pieces) + b"\xff"
+    return record(0x20, wide_signed(0) + narrow(min(len(text), 16000)) + (layout() if own is None else own) + codes, text + b"\0")
+
+
+def table(kind, width, columns, cells):
+    """columns: (gap, width); cells: (column, text)."""
+    head = bytes([len(columns), kind]) + (struct.pack("<h", width) if kind in (0, 2) else b"") + b"".join(struct.pack("<hh", *c) for c in columns)
+    text = b"".join(t + b"\0" for _, t in cells)
+    body = b"".join(struct.pack("<h", c) + bytes(3) + layout() + b"\xff" for c, _ in cells) + struct.pack("<h", -1)
+    return record(0x23, wide_signed(0) + narrow(min(len(text), 16000)) + head + body, text + b"\0")
+
+
+def fonts(faces, styles):
+    """The older font table; styles: (attributes, half points, family, face, foreground, background)."""
+    at = 8 + 20 * len(faces)
+    body = b"".join(f.ljust(20, b"\0") for f in faces)
+    for attributes, half, family, face, fg, bg in styles:
+        body += struct.pack("<BBBH", attributes, half, family, face) + fg.to_bytes(3, "little") + bg.to_bytes(3, "little")
+    return struct.pack("<HHHH", len(faces), len(styles), 8, at) + body
+
+
+def phrase_table(phrases):
+    table, cuts = b"".join(phrases), [2 * len(phrases) + 2]
+    for p in phrases:
+        cuts.append(cuts[-1] + len(p))
+    return struct.pack("<HHI", len(phrases), 0, len(table)) + struct.pack(f"<{len(cuts)}H", *cuts) + codecs.lz77_pack(table)
+
+
+def phrase_index(phrases, low_bits=2):
+    """The newer phrase table as its two subfiles."""
+    bits = []
+    for p in phrases:
+        n = len(p) - 1
+        bits += [1] * (n >> low_bits) + [0] + [n >> k & 1 for k in range(low_bits)]
+    stream = bytes(sum(b << k for k, b in enumerate(bits[i : i + 8])) for i in range(0, len(bits), 8))
+    image = b"".join(phrases)
+    packed = codecs.lz77_pack(image)
+    head = struct.pack("<IIIiiIHH", 1, len(phrases), 0, len(image), len(packed), 0, low_bits, 0)
+    if len(packed) == len(image):  # equal sizes mean a table as it stands
+        packed = image
+    return head + stream, packed
+
+
+def spots(entries):
+    """entries: (code, x, y, w, h, name)."""
+    places = b"".join(struct.pack("<BHHHHHI", c, 0, x, y, w, h, 0) for c, x, y, w, h, _ in entries)
+    return struct.pack("<BHI", 1, len(entries), 0) + places + b"".join(b"n\0" + name + b"\0" for *_, name in entries)
+
+
+def dib_image(rows, width, packing=0, hotspots=b""):
+    """A bitmap of 24 bits a pixel; rows from the bottom up, each padded."""
+    raw = b"".join(rows)
+    pack = {0: lambda b: b, 1: codecs.rle_pack, 2: codecs.lz77_pack, 3: lambda b: codecs.lz77_pack(codecs.rle_pack(b))}[packing]
+    body, wide = pack(raw), lambda x: struct.pack("<H", 2 * x)
+    head = bytes([6, packing]) + wide(0) * 2 + bytes([2, 48]) + wide(width) + wide(len(rows)) + wide(0) * 2 + wide(len(body)) + wide(len(hotspots))
+    at = len(head) + 8
+    return struct.pack("<HHI", 0x506C, 1, 8) + head + struct.pack("<II", at, at + len(body)) + body + hotspots
+
+
+def metafile_image(raw, width, height):
+    wide = lambda x: struct.pack("<H", 2 * x)
+    head = bytes([8, 0, 2]) + struct.pack("<HH", width, height) + wide(len(raw)) * 2 + wide(0)
+    return struct.pack("<HHI", 0x506C, 1, 8) + head + struct.pack("<II", len(head) + 8, 0) + raw
+
+
+def metafile(records, objects=4):
+    """records: (function, body)."""
+    out = struct.pack("<HHHIHIH", 1, 9, 0x300, 0, objects, 0, 0)
+    for function, body in [*records, (0, b"")]:
+        body += b"\0" * (len(body) % 2)
+        out += struct.pack("<IH", 3 + len(body) // 2, function) + body
+    return out
