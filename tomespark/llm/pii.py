@@ -8,9 +8,14 @@ however large the table) estimates each labeler's reliability; a logistic span
 classifier is then trained on the posterior labels and decides on the loose
 candidates. Base spans stay whatever it says.
 
-Defined cases: a null or empty text has no spans; a null or repeated document
-id keeps its rows; an empty table gives no rows and the labelers' prior
-reliabilities decide; other columns are ignored.
+Each text is searched once: its candidates and their votes are written, for
+training and deciding read that table only. A text's spans depend on nothing
+but the text, so masking joins them back by two hashes of the text.
+
+Defined cases: a null or empty text has no spans; a text of any length is
+searched as a whole; a null or repeated document id keeps its rows; an empty
+table gives no rows and the labelers' prior reliabilities decide; other columns
+are ignored (masking keeps them).
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from . import common
 from . import native_spans as ns
 
 KINDS = ["email", "ip", "card", "phone"]
-LOOSE = ["email2", "card2", "phone2", "iban", "ssn"]
+LOOSE = ["email2", "card2", "phone2", "iban", "ssn", "name"]
 ALL_KINDS = KINDS + LOOSE
 
 # Possessive forms match what the plain ones do, without backtracking into long runs.
@@ -34,10 +39,13 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 EMAIL2 = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++"
 CARD2 = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,}+"
-PHONE2 = r"(?<![0-9+(.-])(?:\([0-9]{2,4}\)|[0-9]{3})[\x20.-][0-9]{3,4}[.-][0-9]{4}(?![0-9.-])"
+PHONE2 = r"(?<![0-9+(./-])(?:(?:\([0-9]{2,4}\)|[0-9]{3})[\x20.-][0-9]{3,4}[\x20.-][0-9]{4}|0[0-9]{2,4}[\x20/-][0-9]{3,4}[\x20-]?[0-9]{2,5})(?![0-9./-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
+NAME = r"(?<=\b(?:Dear|Mr|Mr\.|Mrs|Mrs\.|Ms|Ms\.|Dr|Dr\.|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr\.|Sra\.)\x20)\p{Lu}[\p{L}'’-]+(?:\x20\p{Lu}[\p{L}'’-]+)?"
+TITLE = r"\b(?:Dear|Mrs?|Ms|Dr|Herr|Frau|Monsieur|Madame|Señora?|Sra?\.)\x20"
+
 #: Gazetteers and words around personal data, in the languages of the corpus.
 DOMAINS = "com|org|net|edu|gov|io|info|eu|uk|us|ca|au|de|at|ch|fr|be|es|it|nl|pt|mx|ar|co"
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|6"
@@ -46,6 +54,8 @@ CALLING = "1|2[0-9]|3[0-9]|4[0-9]|5[0-9]|6[0-6]|7|8[1246]|9[0-58]"
 FOR = r"(?i)(e-?mail|mail|contact|write|tel|telephone|telefon|tel[eé]fono|t[eé]l[eé]phone|phone|call|fax|mobile|handy|card|visa|mastercard|karte|carte|tarjeta|ip|host|server|address|adresse|direcci[oó]n|iban|konto|compte|cuenta|account|ssn|social security)[^A-Za-z0-9]{0,4}(\w{1,8}[^A-Za-z0-9]{0,3})?$"
 AGAINST = r"(?i)(version|section|figure|isbn|issn|order|invoice|serial|chapter|page|seite|kapitel|artikel|doi|rfc|build|release)[^A-Za-z0-9]{0,4}$"
 LABELERS = 5
+#: Spans (some 60 bytes each) that are broadcast for masking at most; beyond, it's a shuffled join.
+BROADCAST_SPANS = 300_000
 
 
 def base_spans(text: Column) -> Column:
@@ -59,15 +69,16 @@ def base_spans(text: Column) -> Column:
 
 
 def loose_spans(text: Column, base: Column) -> Column:
-    """Candidates beyond the base ones; none overlaps a base span or, with a later kind, another."""
+    """Candidates beyond the base ones, the narrowest pattern first; none overlaps a base span or one of a narrower pattern."""
     at = F.contains(text, F.lit("at]")) | F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at )")) | F.contains(text, F.lit("at ]"))
     n = lambda x: F.length(ns.digits(x["m"]))
     found = [
         ns.matches(text, EMAIL2, "email2", 4, at),
-        F.filter(ns.matches(text, CARD2, "card2", 5), lambda x: n(x) <= 19),
-        ns.matches(text, PHONE2, "phone2", 6),
         ns.matches(text, IBAN, "iban", 7),
         ns.matches(text, SSN, "ssn", 8),
+        ns.matches(text, PHONE2, "phone2", 6),
+        F.filter(ns.matches(text, CARD2, "card2", 5), lambda x: n(x) <= 19),
+        ns.matches(text, NAME, "name", 9, text.rlike(TITLE)),
     ]
     free = lambda spans, taken: F.filter(spans, lambda x: ~F.exists(taken, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     out = ns.no_spans()
@@ -99,6 +110,7 @@ def votes(text: Column, x: Column) -> Column:
         .when(k == "ip", yes(~m.rlike(r"^(0|127|255)\.")))
         .when(k == "iban", yes(m.rlike(rf"^({COUNTRIES})")))
         .when(k == "ssn", yes(~m.rlike("^(000|666|9)")))
+        .when(k == "name", yes(~m.rlike("^(Sir|Madam|Customer|Reader|Editor|Kunde|Client|Cliente)\\b")))
         .otherwise(0)
     )
     context = F.when(left.rlike(FOR), 1).when(left.rlike(AGAINST), -1).otherwise(0)
@@ -158,47 +170,64 @@ class SpanClassifier:
         """Whether the classifier holds a candidate for personal data; ``vote``: as votes() gives it."""
         w = self.weights
         kind = F.substring_index(vote, ":", 1)
-        score = F.lit(w["bias"])
         by_kind = F.lit(0.0)
         for k in ALL_KINDS:
             by_kind = F.when(kind == k, F.lit(w[k])).otherwise(by_kind)
-        score = score + by_kind
+        score = F.lit(w["bias"]) + by_kind
         each = F.split(F.substring_index(vote, ":", -1), ",")
         for j in range(LABELERS):
-            score = score + F.when(F.element_at(each, j + 1) == "1", F.lit(w[f"{j}:1"])).when(F.element_at(each, j + 1) == "-1", F.lit(w[f"{j}:-1"])).otherwise(F.lit(0.0))
+            v = F.element_at(each, j + 1)
+            score = score + F.when(v == "1", F.lit(w[f"{j}:1"])).when(v == "-1", F.lit(w[f"{j}:-1"])).otherwise(F.lit(0.0))
         return score > 0
 
 
-def train(docs: DataFrame) -> SpanClassifier:
-    """From the votes on every candidate of all documents (doc_id, text)."""
-    base = base_spans(F.col("text"))
-    spans = docs.select("text", base.alias("base")).select("text", F.concat("base", loose_spans(F.col("text"), F.col("base"))).alias("spans"))
-    patterns = spans.filter(F.size("spans") > 0).select(F.explode(F.transform("spans", lambda x: votes(F.col("text"), x))).alias("p"))
+def candidates(docs: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` of docs and all candidates of ``text``, each with its kind, its place and its votes."""
+    found = docs.select(*keys, "text", base_spans(F.col("text")).alias("base"))
+    found = found.select(*keys, "text", F.concat("base", loose_spans(F.col("text"), F.col("base"))).alias("spans"))
+    with_votes = lambda x: F.struct(x["s"].alias("s"), x["o"].alias("o"), x["e"].alias("e"), x["k"].alias("k"), votes(F.col("text"), x).alias("v"))
+    return found.select(*keys, F.transform("spans", with_votes).alias("spans"))
+
+
+def train(found: DataFrame) -> SpanClassifier:
+    """From the votes on every candidate of all documents, as candidates() gives them."""
+    patterns = found.filter(F.size("spans") > 0).select(F.explode(F.transform("spans", lambda x: x["v"])).alias("p"))
     return SpanClassifier({r["p"]: r["n"] for r in patterns.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()})
 
 
-def with_spans(docs: DataFrame, text_col: str, classifier: SpanClassifier, out: str = "spans") -> DataFrame:
-    """``docs`` and a column of all spans: base ones and the accepted loose ones."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn(out, base_spans(text))
-    loose = F.filter(loose_spans(text, F.col(out)), lambda x: classifier.accepts(votes(text, x)))
-    return found.withColumn(out, F.array_sort(F.concat(F.col(out), loose)))
+def decided(classifier: SpanClassifier) -> Column:
+    """The base candidates and the accepted loose ones, in order."""
+    return F.array_sort(F.filter("spans", lambda x: (x["o"] < len(KINDS)) | classifier.accepts(x["v"])))
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its spans, an array of structs."""
-    docs = common.id_and_text(docs, id_col, text_col)
-    return with_spans(docs, "text", train(docs)).select("doc_id", "spans")
+    found = common.written(candidates(common.id_and_text(docs, id_col, text_col), "doc_id"), "candidates")
+    return found.select("doc_id", decided(train(found)).alias("spans"))
 
 
-def mask_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mask_personal_data(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; a null text stays null."""
-    found = with_spans(docs, text_col, train(common.id_and_text(docs, id_col, text_col)), "__spans")
+    keys = [F.xxhash64(text_col).alias("__t1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("__t2")]
+    found = candidates(docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("text")), "__t1", "__t2").filter(F.size("spans") > 0)
+    # copies of a text have the same spans: one row and their number
+    found = common.written(found.groupBy("__t1", "__t2").agg(F.first("spans").alias("spans"), F.count(F.lit(1)).alias("n")), "candidates")
+    # training counts the candidates of every copy
+    patterns = found.select(F.explode(F.transform("spans", lambda x: x["v"])).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
+    classifier = SpanClassifier({r["p"]: r["n"] for r in patterns.collect()})
+    spans = found.select("__t1", "__t2", decided(classifier).alias("__spans"), "n")
+    total, held = found.agg(F.sum("n"), F.sum(F.size("spans"))).first()
+    keyed = docs.select("*", *keys)
+    if (held or 0) <= BROADCAST_SPANS:
+        joined = keyed.join(F.broadcast(spans.drop("n")), ["__t1", "__t2"], "left")
+    else:
+        joined = common.with_counts(keyed, spans, ["__t1", "__t2"], F.monotonically_increasing_id(), total, how="left")
     label = lambda x: F.concat(F.lit("<"), F.regexp_replace(F.upper(x["k"]), "2$", ""), F.lit(">"))
-    return found.withColumn(text_col, ns.masked(F.col(text_col), F.col("__spans"), label)).drop("__spans")
+    kept = [ns.masked(F.col(text_col), F.coalesce("__spans", F.array().cast(joined.schema["__spans"].dataType)), label).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return joined.select(*kept)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_personal_data(common.table(spark, sf_dir, "documents"))
+    found = find_personal_data(common.spread(common.table(spark, sf_dir, "documents")))
     base = F.filter("spans", lambda x: x["o"] < len(KINDS))
     return found.select("doc_id", *(ns.count(F.col("spans"), k).alias(f"n_{k}") for k in KINDS), F.sha2(ns.listed(base), 256).alias("base_sha256"), ns.listed(F.col("spans")).alias("spans"))
