@@ -90,7 +90,8 @@ def test_empty_and_opposed_votes_train():
 
 def test_bigrams_are_counted_on_all_documents(spark):
     rows = [(i, f"ab ab x{i % 10}yz password=qqqqqq{i % 3}") for i in range(5000)]
-    secret, ordinary, words = secrets._corpus_counts(spark.createDataFrame(rows, "doc_id long, text string"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    secret, ordinary, words = secrets._corpus_counts(docs, secrets.candidates(docs))
     assert ordinary["a", "b"] == 10_000 and ordinary["y", "z"] == 5000 and ordinary["x", "0"] == 500
     assert secret["q", "q"] == 25_000 and not words
 
@@ -106,3 +107,51 @@ def test_tokens_of_letters_only_are_scored(spark):
     hit = {r["doc_id"]: [s["k"] for s in r["spans"]] for r in found.collect()}
     assert sum("token" in hit[i] for i in range(200)) >= 190
     assert sum(bool(hit[1000 + i]) for i in range(200)) <= 2
+
+
+def test_short_tokens_that_mix_letters_and_digits_are_scored(spark):
+    rng = random.Random(79)
+    words = "reading station handle connection value other index stream table column window partition".split()
+    rows = []
+    for i in range(200):
+        rows.append((i, "see " + "".join(rng.choices(secrets.ALPHABET[:62], k=15)) + "7 here"))
+        rows.append((1000 + i, f"the {rng.choice(words)}_{rng.choice(words)}_{rng.randint(1, 12):02d} and {rng.choice(words)}2024 on 2024-01-{rng.randint(10, 28)} and " + " ".join(rng.choices(words, k=30))))
+    hit = {r["doc_id"]: [s["k"] for s in r["spans"]] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("token" in hit[i] for i in range(200)) >= 170
+    assert sum(bool(hit[1000 + i]) for i in range(200)) <= 4
+
+
+def test_planted_personal_data_is_found_and_the_rest_left_alone(spark):
+    rng = random.Random(80)
+    words = "the station with over after reading of and a table more than before".split()
+    fill = lambda k: " ".join(rng.choices(words, k=k))
+    planted = [
+        ("name", lambda: f"Dear {rng.choice(['Anna', 'Otto', 'Émile'])} {rng.choice(['Huber', 'Lopez'])}"),
+        ("phone2", lambda: f"call (0{rng.randint(10, 99)}) {rng.randint(200, 999)} {rng.randint(1000, 9999)}"),
+        ("phone2", lambda: f"tel. 0{rng.randint(100, 999)} {rng.randint(1000, 9999)}{rng.randint(10, 99)}"),
+        ("email2", lambda: f"mail user{rng.randint(1, 99)} [at] example [dot] com"),
+        ("iban", lambda: f"iban DE{rng.randint(10, 99)} 3702 0016 0532 0130 00"),
+        ("ssn", lambda: f"ssn {rng.randint(100, 600)}-45-{rng.randint(1000, 9999)}"),
+    ]
+    innocent = [lambda: f"version {rng.randint(1, 9)}.{rng.randint(1, 9)}", lambda: f"invoice {rng.randint(10**13, 10**14)}", lambda: f"in {rng.randint(1900, 2024)}", lambda: f"isbn 978-3-16-{rng.randint(100000, 999999)}-0", lambda: "Dear reader"]
+    rows, truth = [], {}
+    for i in range(400):
+        kind, make = rng.choice(planted) if i % 2 else (None, rng.choice(innocent))
+        rows.append((i, f"{fill(9)} {make()}, {fill(9)}"))
+        truth[i] = kind
+    got = {r["doc_id"]: {s["k"] for s in r["spans"]} for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(k in got[i] for i, k in truth.items() if k)
+    wrong = sum(bool(got[i] - {"card"}) for i, k in truth.items() if not k)
+    assert found >= 190 and wrong <= 4, (found, wrong)
+
+
+def test_queries_return_the_contract_columns(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(texts(11, 60))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for kind, module, query in (("pii", pii, pii.op6_pii), ("secrets", secrets, secrets.op10_secret_scan)):
+        for r in query(spark, str(tmp_path)).collect():
+            base = base_of(kind, rows[r["doc_id"]][1] or "")
+            assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+            assert {k: r[f"n_{k}"] for k in module.KINDS} == {k: sum(x.startswith(k + ":") for x in base) for k in module.KINDS}
+            every = r["spans"].split(",") if r["spans"] else []
+            assert set(base) <= set(every) and [int(x.split(":")[1]) for x in every] == sorted(int(x.split(":")[1]) for x in every)

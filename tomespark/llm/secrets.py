@@ -5,11 +5,14 @@ a token is a secret if the log-likelihood ratio says so. Both are bigram tables
 over at most 66 symbols, trained from labelled samples: random strings drawn
 from a seeded generator and secrets that fixed patterns find, against ordinary
 tokens of all documents and of source-like identifiers. The ratio is asked for
-all tokens of 20 characters or more that overlap no base span; shorter ones are
-not scored.
-
-Defined cases: a null or empty text has no spans; a null or repeated document
-id keeps its rows; an empty table gives no rows; other columns are ignored.
+tokens that overlap no base span: for all of 20 characters or more, and for
+those of 12 to 19 that mix letters and digits (shorter ones, and short ones of
+letters alone, hold too little to tell). Texts are searched once, the candidates
+are written, and training and deciding read that table.
+
+Defined cases: a null or empty text has no spans; a text of any length is
+searched as a whole; a null or repeated document id keeps its rows; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from . import native_spans as ns
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}+"  # maximal runs, as [0-9a-f]+ finds them, where long enough
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_=-]{20,}+|(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{12,19}+)"
 KINDS = ["assign", "access", "hex"]
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -64,29 +67,30 @@ def _bigrams(tokens: Column) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(1), F.length(tokens)), lambda i: i < F.length(tokens)), lambda i: F.substring(tokens, i, F.lit(2)))
 
 
-def _corpus_counts(docs: DataFrame) -> tuple[dict, dict, list[str]]:
-    """Bigram counts of base secrets and of ordinary tokens, and the most frequent words. At most 66 * 66 rows each.
+def _corpus_counts(docs: DataFrame, found: DataFrame) -> tuple[dict, dict, list[str]]:
+    """``found``: as candidates() gives it. Bigram counts of base secrets and of ordinary tokens, and the most frequent words. At most 66 * 66 rows each.
 
     Bigrams are counted on distinct tokens, weighted by how often each occurs.
     """
-    base = F.transform(base_spans(F.col("text")), lambda x: F.regexp_replace(x["m"], "^.*[^A-Za-z0-9+/_=-]", ""))
+    base = F.transform(F.filter("spans", lambda x: x["o"] < len(KINDS)), lambda x: F.regexp_replace(x["m"], "^.*[^A-Za-z0-9+/_=-]", ""))
     blank = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    times = lambda tokens: tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    found = common.written(times(docs.select(F.explode(F.split(blank, "[^A-Za-z0-9+/_=-]+")).alias("t")).filter(F.length("t") >= 2)), "token-counts")
-    ordinary = found.filter(F.length("t").between(2, 19) | F.col("t").rlike("^([A-Z]?[a-z]+|[A-Z]+)$"))
+    times = lambda rows: rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    tokens = common.written(times(docs.select(F.explode(F.split(blank, "[^A-Za-z0-9+/_=-]+")).alias("t")).filter(F.length("t") >= 2)), "token-counts")
+    mixed = (F.length("t") >= 12) & F.col("t").rlike("[0-9]") & F.col("t").rlike("[A-Za-z]")  # those may be secrets themselves
+    ordinary = tokens.filter((F.length("t").between(2, 19) & ~mixed) | F.col("t").rlike("^([A-Z]?[a-z]+|[A-Z]+)$"))
 
     def counted(tokens: DataFrame) -> dict[tuple[str, str], int]:
         pairs = tokens.select(F.explode(_bigrams(F.col("t"))).alias("p"), "n")
         return {(r["p"][0], r["p"][1]): r["n"] for r in pairs.groupBy("p").agg(F.sum("n").alias("n")).collect() if len(r["p"]) == 2}
 
-    words = found.select(F.explode(F.split(F.lower("t"), "[^a-z]+")).alias("w"), "n").filter(F.length("w").between(3, 9)).groupBy("w").agg(F.sum("n").alias("n"))
+    words = tokens.select(F.explode(F.split(F.lower("t"), "[^a-z]+")).alias("w"), "n").filter(F.length("w").between(3, 9)).groupBy("w").agg(F.sum("n").alias("n"))
     frequent = [r["w"] for r in words.orderBy(F.desc("n"), "w").limit(200).collect()]
-    return counted(times(docs.select(F.explode(base).alias("t")))), counted(ordinary), frequent
+    return counted(times(found.select(F.explode(base).alias("t")))), counted(ordinary), frequent
 
 
-def train(docs: DataFrame) -> list[float]:
+def train(docs: DataFrame, found: DataFrame | None = None) -> list[float]:
     """The log-likelihood ratio of every pair of symbols, row by row."""
-    secret, ordinary, words = _corpus_counts(docs)
+    secret, ordinary, words = _corpus_counts(docs, candidates(docs) if found is None else found)
     rng = random.Random(23)
     words = words or ["name", "file", "value", "index"]
     fill = lambda shape: shape.format(*(rng.choice([str.lower, str.upper, str.capitalize])(rng.choice(words)) for _ in range(3)))
@@ -123,24 +127,27 @@ def token_score(token: Column, table: list[float]) -> Column:
     )
 
 
-def all_spans(text: Column, table: list[float]) -> Column:
-    """Base spans, and tokens that overlap none of them and that the models hold for random."""
-    base = base_spans(text)
-    tokens = ns.matches(text, TOKEN, "token", 3)
-    free = F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    score = lambda t: token_score(t["m"], table)
-    added = F.filter(free, lambda t: (score(t) >= LEAST_TOTAL) & (score(t) >= LEAST_MEAN * F.length(t["m"])))
-    return ns.merged([base, added])
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, and base spans and tokens that overlap none of them."""
+    found = docs.select("doc_id", base_spans(F.col("text")).alias("base"), ns.matches(F.col("text"), TOKEN, "token", 3).alias("tokens"))
+    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    return found.select("doc_id", F.concat("base", free).alias("spans"))
+
+
+def decided(table: list[float]) -> Column:
+    """The base spans, and the tokens that the models hold for random, in order."""
+    least = lambda t: F.greatest(F.lit(LEAST_TOTAL), LEAST_MEAN * F.length(t["m"]))
+    return F.array_sort(F.filter("spans", lambda t: (t["o"] < len(KINDS)) | (token_score(t["m"], table) >= least(t))))
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", table: list[float] | None = None) -> DataFrame:
     """doc_id and its spans, an array of structs; ``table``: from train(), else trained here."""
     docs = common.id_and_text(docs, id_col, text_col)
-    table = table or train(docs)
-    return docs.select("doc_id", all_spans(F.col("text"), table).alias("spans"))
+    found = common.written(candidates(docs), "secret-candidates")
+    return found.select("doc_id", decided(table or train(docs, found)).alias("spans"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(common.table(spark, sf_dir, "documents"))
+    found = find_secrets(common.spread(common.table(spark, sf_dir, "documents")))
     base = F.filter("spans", lambda x: x["o"] < len(KINDS))
     return found.select("doc_id", *(ns.count(F.col("spans"), k).alias(f"n_{k}") for k in KINDS), F.sha2(ns.listed(base), 256).alias("base_sha256"), ns.listed(F.col("spans")).alias("spans"))
