@@ -104,3 +104,13 @@ def test_shingles_of_short_and_long_texts():
     sets = [set(found[begins[i] : begins[i + 1]].tolist()) for i in range(len(texts))]
     assert [len(s) for s in sets] == [0, 1, 1, 1, 2, 1, 1, 1]
     assert sets[3] == sets[6] and sets[3] < sets[4] and not sets[2] & sets[5]
+
+
+def test_query_returns_the_contract_columns(spark, tmp_path):
+    rows = [r for r in made(6) if r[0] is not None]
+    rows.append((9001, "long " * 60_000 + " ".join(f"w{i}" for i in range(3000))))
+    rows.append((9002, "long " * 60_000 + " ".join(f"w{i}" for i in range(2990))))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.op8_near_dedup(spark, str(tmp_path)).collect())
+    assert got == [(d, n, c, d == c) for d, n, c in brute(rows, 3, 85)]
+    assert (9002, 9001) in {(d, c) for d, _, c, _ in got}

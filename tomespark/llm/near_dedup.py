@@ -19,13 +19,14 @@ No block's pairs are ever emitted, none is capped. A pair at the threshold is
 missed by the keys with a chance under 1e-4, by the agreement under 1e-5.
 
 Defined cases: null, empty or blank texts have no shingles and are linked with
-nothing; rows that share a document id are one node, and each keeps its own
-row; a null id is linked with nothing and kept; other columns are ignored.
+nothing; a text of any length takes part with its full set; rows that share a
+document id are one node, and each keeps its own row; a null id is linked with
+nothing and kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -110,23 +111,24 @@ def _blocks(members: DataFrame, group: str, blocks: str) -> DataFrame:
     )
 
 
-def _near(sig: np.ndarray, n: np.ndarray, side: np.ndarray | None, least: int, similarity: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, later rows that may be similar enough, agreeing minhashes), within a block or between two."""
+def _forest(sig: np.ndarray, n: np.ndarray, side: np.ndarray | None, least: int, similarity: float, linked: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs that agree well enough (and are ``linked``), within a block or between two.
+
+    Rows that are connected already aren't compared again, so a block of copies
+    of one text takes one look at each row.
+    """
+    label = np.arange(len(n))
     for i in range(len(n) - 1):
-        agree = (sig[i + 1 :] == sig[i]).sum(axis=1)
-        ok = (agree >= least) & (np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]) - 1e-6)
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         if side is not None:
-            ok &= side[i + 1 :] != side[i]
-        if ok.any():
-            at = np.flatnonzero(ok)
-            yield i, at + i + 1, agree[at]
-
-
-def _find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+            rest = rest[side[rest] != side[i]]
+        rest = rest[np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]) - 1e-6]
+        agree = (sig[rest] == sig[i]).sum(axis=1)
+        rest, agree = rest[agree >= least], agree[agree >= least]
+        for j in rest[np.argsort(-agree, kind="stable")].tolist():
+            if label[j] != label[i] and (linked is None or linked(i, j)):
+                label[label == label[j]] = label[i]
+                yield i, j
 
 
 def _emit(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -149,13 +151,7 @@ def candidate_edges(classes: DataFrame, similarity: float, t: int) -> DataFrame:
             ids, n = rows.column(3).to_numpy(), rows.column(4).to_numpy()
             sig = np.frombuffer(b"".join(rows.column(5).to_pylist()), dtype="<u2").reshape(len(ids), -1)
             side = rows.column(6).to_numpy() if x != y else None
-            parent = list(range(len(ids)))
-            for i, later, _ in _near(sig, n, side, least, similarity):
-                for j in later.tolist():
-                    p, q = _find(parent, i), _find(parent, j)
-                    if p != q:
-                        parent[q] = p
-                        edges.append((ids[i], ids[j]))
+            edges += [(ids[i], ids[j]) for i, j in _forest(sig, n, side, least, similarity)]
             if len(edges) > 5000:
                 yield _emit(edges)
                 edges = []
@@ -190,15 +186,12 @@ def exact_links(docs: DataFrame, groups: DataFrame, words: int, similarity: floa
             sig = np.frombuffer(b"".join(rows.column(5).to_pylist()), dtype="<u2").reshape(len(ids), -1)
             own = [np.frombuffer(b, dtype=np.uint64) for b in rows.column(7).to_pylist()]
             n = np.array([len(s) for s in own], dtype=np.int64)
-            parent = list(range(len(ids)))
-            for i, later, agree in _near(sig, n, rows.column(6).to_numpy() if x != y else None, least, similarity):
-                for j in later[np.argsort(-agree, kind="stable")].tolist():
-                    p, q = _find(parent, i), _find(parent, j)
-                    if p != q:
-                        both = len(np.intersect1d(own[i], own[j], assume_unique=True))
-                        if 100 * both >= percent * (len(own[i]) + len(own[j]) - both):
-                            parent[q] = p
-                            edges.append((ids[i], ids[j]))
+
+            def linked(i: int, j: int, own: list = own) -> bool:
+                both = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                return 100 * both >= percent * (len(own[i]) + len(own[j]) - both)
+
+            edges += [(ids[i], ids[j]) for i, j in _forest(sig, n, rows.column(6).to_numpy() if x != y else None, least, similarity, linked)]
             if len(edges) > 5000:
                 yield _emit(edges)
                 edges = []
@@ -227,4 +220,4 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"), words=3, similarity=0.85)
+    return near_duplicates(common.spread(common.table(spark, sf_dir, "documents")), words=3, similarity=0.85)
