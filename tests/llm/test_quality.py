@@ -59,3 +59,27 @@ def test_no_labels_and_empty_tables(tables):
     assert {r["score"] for r in quality.score_documents(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.keep_good(docs, labels.limit(0)).count() == docs.count()
     assert quality.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_query_returns_the_contract_columns(spark, tables, tmp_path):
+    import zlib
+
+    docs, labels, _ = tables
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = quality.op4_quality(spark, str(tmp_path)).select("doc_id", "held_out", "score", "predicted").collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_sums_over_all_rows_equal_plain_ones(spark, tables):
+    docs, labels, _ = tables
+    model = quality.train(docs, labels)
+    texts = [t or "" for (t,) in docs.select("text").collect()]
+    rows = spark.createDataFrame([(i % 3 == 0, t) for i, t in enumerate(texts)], "p boolean, text string").repartition(5)
+    got = quality.whole_sums(rows, model)
+    x = ((quality.features([t.encode() for t in texts]) - model.mean) / model.scale).astype(np.float32)
+    want = quality.sums(x[::3], x, model.weights.astype(np.float32), model.bias)
+    assert (got.n_p, got.n_u) == (want.n_p, want.n_u) and np.allclose(got.packed(), want.packed(), rtol=1e-4, atol=1e-2)

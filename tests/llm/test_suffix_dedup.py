@@ -88,3 +88,10 @@ def test_suffix_array_and_prefixes():
             while n < 50 and max(a, b) + n < len(text) and text[a + n] == text[b + n]:
                 n += 1
             assert shared[b] == n
+
+
+def test_query_returns_the_contract_columns(spark, tmp_path):
+    texts = made(5)[:90]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in d.op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (n, sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest()) for i, (n, runs, kept) in enumerate(brute(texts, 200))}

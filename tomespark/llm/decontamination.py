@@ -15,7 +15,8 @@ go to every task, so what is sent is bounded, and each block reads the
 documents once.
 
 Defined cases: null, empty or word-less items and texts match nothing; a text
-or item of one to four words is one shingle, its whole sequence; repeated rows
+or item of one to four words is one shingle, its whole sequence; a text of any
+length is searched as a whole, in a buffer of its own; repeated rows
 give a row each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -172,4 +173,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_items(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return find_items(common.spread(common.table(spark, sf_dir, "documents")), common.table(spark, sf_dir, "benchmark"))

@@ -434,4 +434,4 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text(common.table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return main_text(common.spread(common.table(spark, sf_dir, "pages"))).withColumn("n_chars", F.length("text").cast("long"))

@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Vectors in a query block and in a candidate block, on average.
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 16384
+QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 16384
+#: Candidates that a query block meets at once: products of 8192 x 256 take some 50 MB.
+BATCH = 256
 #: Pairs that are recomputed at once.
 PAIRS = 200_000
 
@@ -141,8 +143,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str =
                 elif asked or tile is not None:
                     if tile is None:
                         tile, asked = Tile(np.concatenate([i for i, _ in asked]), np.concatenate([v for _, v in asked]), k), []
-                    for c in range(0, hi - lo, 1024):
-                        tile.add(ids[c : c + 1024], x[c : c + 1024])
+                    for c in range(0, hi - lo, BATCH):
+                        tile.add(ids[c : c + BATCH], x[c : c + BATCH])
         if tile is not None:
             yield tile.rows()
 

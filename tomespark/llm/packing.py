@@ -373,4 +373,4 @@ def digest(packed: DataFrame) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pack(common.table(spark, sf_dir, "documents")))
+    return digest(pack(common.spread(common.table(spark, sf_dir, "documents"))))

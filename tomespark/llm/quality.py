@@ -259,4 +259,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return score_documents(common.spread(common.table(spark, sf_dir, "documents")), common.table(spark, sf_dir, "labels"))

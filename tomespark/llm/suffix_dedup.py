@@ -383,6 +383,6 @@ def remove_repeats(docs: DataFrame, *, span: int = SPAN, id_col: str = "doc_id",
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(common.table(spark, sf_dir, "documents"))
+    out = remove_repeats(common.spread(common.table(spark, sf_dir, "documents")))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
