@@ -89,8 +89,8 @@ def lz77_pack(data: bytes) -> bytes:
             at = last.get(key, -1) if len(key) == 3 else -1
             length = 0
             if at >= 0 and i - at <= 4096:
-                while length < 18 and i + length < len(data) and data[at + length] == data[i + length]:
-                    length += 1
+                here, there = data[i : i + 18], data[at : at + 18]
+                length = len(here) if here == there else next(k for k, (a, b) in enumerate(zip(here, there)) if a != b)
             step = length if length >= 3 else 1
             if length >= 3:
                 flags |= 1 << bit

@@ -188,8 +188,14 @@ def _phrase4(raw: bytes, phrases: list[bytes] = _PHRASES) -> bytes:
 _LOW = [*_PHRASES, *(bytes([k]) for k in range(16))]
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Byte codecs take long for their input: a table of fewer splits than there are cores is dealt among the cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _tripped(expand):
-    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", _round_trip(expand)("text").alias("text"))
+    return lambda spark, sf_dir: _spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", _round_trip(expand)("text").alias("text"))
 
 
 for _name, _expand in {
