@@ -10,9 +10,11 @@ with a chance under 5e-5 for each occurrence, and an item scattered over a
 document meets many windows. Candidates are verified by the share of the
 item's shingles that the whole document's set holds.
 
-Items are searched in blocks of ``ITEM_BLOCK``; a block's sketches and shingles
-go to every task, so what is sent is bounded, and each block reads the
-documents once.
+Items are searched in blocks of ``ITEM_BLOCK`` items or ``BLOCK_CHARS`` characters;
+a block goes to every task, where each worker builds its sketches once, so what
+is sent is bounded. Each block reads the documents once, and where there are
+several, their results are written one after the other, so the driver holds one
+block at a time.
 
 Defined cases: null, empty or word-less items and texts match nothing; a text
 or item of one to four words is one shingle, its whole sequence; a text of any
@@ -22,6 +24,7 @@ give a row each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +38,8 @@ WORDS, SHARE = 5, 0.8
 #: Minhashes of an item and of a window. With windows of at most four times the item's shingles, an 80 % contained
 #: item has a similarity of 0.8 / 4.2 = 0.19 at least, and (1 - 0.19) ** 48 < 5e-5.
 HASHES = 48
-#: Items that are searched in one pass.
-ITEM_BLOCK = 20_000
+#: Items, and characters of items, that are searched in one pass, about; a longer item is a block of its own.
+ITEM_BLOCK, BLOCK_CHARS = 20_000, 32 << 20
 _TABLE = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 _RNG = np.random.default_rng(11)
@@ -120,18 +123,29 @@ class Items:
         return hit
 
 
+_BLOCKS: dict[str, Items] = {}
+
+
+def _items(name: str, ids: list[int], texts: list[str | None]) -> Items:
+    """The block of that name, built once in each worker, which keeps the last one."""
+    if name not in _BLOCKS:
+        _BLOCKS.clear()
+        _BLOCKS[name] = Items(ids, texts)
+    return _BLOCKS[name]
+
+
 def find_items(docs: DataFrame, items: DataFrame, *, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment for every item of which a document holds ``share`` or more."""
     docs = common.id_and_text(docs, id_col, text_col)
     schema = "doc_id long, item_id long, n_item long, n_shared long"
     asked = common.id_and_text(items, item_id, item_text).filter("doc_id is not null").orderBy("doc_id", "text")
-    out, block = [], []
+    out, block, chars = [], [], 0
 
     def search(block: list) -> DataFrame:
-        ids, texts = [r[0] for r in block], [r[1] for r in block]
+        ids, texts, name = [r[0] for r in block], [r[1] for r in block], uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Items(ids, texts)
+            known = _items(name, ids, texts)
             for batch in common.sliced(batches, 1):
                 rows = []
                 docs_of = batch.column(0).to_pylist()
@@ -152,10 +166,11 @@ def find_items(docs: DataFrame, items: DataFrame, *, share: float = SHARE, id_co
         return docs.mapInArrow(run, schema)
 
     for row in asked.toLocalIterator():
+        if block and (len(block) == ITEM_BLOCK or chars + len(row["text"]) > BLOCK_CHARS):
+            out.append(common.written(search(block), "found-items"))
+            block, chars = [], 0
         block.append((row["doc_id"], row["text"]))
-        if len(block) == ITEM_BLOCK:
-            out.append(search(block))
-            block = []
+        chars += len(row["text"])
     if block or not out:
         out.append(search(block))
     all_rows = out[0]
