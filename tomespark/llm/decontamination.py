@@ -189,3 +189,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(common.spread(common.table(spark, sf_dir, "documents")), common.table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL = r"""
+with w as (
+  select kind, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') words
+  from (select 'd' kind, row_number() over () id, text from documents union all select 'i', item_id, text from benchmark)),
+s as (
+  select distinct kind, id, array_to_string(words[i : least(i + 4, len(words))], ' ') shingle
+  from w, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) r(i)),
+n as (select id, count(*) n from s where kind = 'i' group by id),
+b as (select d.id row_id, i.id item_id, count(*) both_n from s d join s i on d.kind = 'd' and i.kind = 'i' and d.shingle = i.shingle group by d.id, i.id),
+docs as (select row_number() over () id, doc_id from documents)
+select doc_id, item_id, n n_item, both_n n_shared, both_n / n containment
+from b join n on n.id = b.item_id join docs on docs.id = row_id where both_n >= 0.8 * n - 1e-9
+"""

@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_nearest": nearest.ORACLE_SQL}
+    return {
+        "op1_decontamination": decontamination.ORACLE_SQL,
+        "op5_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op7_nearest": nearest.ORACLE_SQL,
+        "op8_near_dedup": near_dedup.ORACLE_SQL,
+    }

@@ -221,3 +221,24 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.spread(common.table(spark, sf_dir, "documents")), words=3, similarity=0.85)
+
+
+ORACLE_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') words from documents),
+s as (
+  select distinct doc_id, hash(array_to_string(words[i : least(i + 2, len(words))], ' ')) shingle
+  from d, unnest(range(1, greatest(len(words) - 2, least(len(words), 1)) + 1)) r(i)),
+n as (select doc_id, count(*) n from s group by doc_id),
+c as (select min(n.doc_id) doc_id, n.n, x from n join (select doc_id, bit_xor(hash(shingle)) x from s group by doc_id) h on h.doc_id = n.doc_id group by n.n, x),
+m as (select n.doc_id, c.doc_id as rep from n join (select doc_id, bit_xor(hash(shingle)) x from s group by doc_id) h on h.doc_id = n.doc_id join c on c.n = n.n and c.x = h.x),
+r as (select s.* from s join c on c.doc_id = s.doc_id),
+shared as (select * from r where shingle in (select shingle from r group by shingle having count(*) > 1)),
+p as (select a.doc_id a, b.doc_id b, count(*) both_n from shared a join shared b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both_n >= 85 * (x.n + y.n - both_n)),
+e2 as (select a, b from e union all select b, a from e),
+reach as (select doc_id id, doc_id as label from c union select e2.b, reach.label from reach join e2 on e2.a = reach.id),
+least_of as (select id, min(label) as label from reach group by id)
+select documents.doc_id, coalesce(n.n, 0) n_shingles, coalesce(l.label, documents.doc_id) component_id, coalesce(l.label, documents.doc_id) = documents.doc_id kept
+from documents left join n on n.doc_id = documents.doc_id left join m on m.doc_id = documents.doc_id left join least_of l on l.id = m.rep
+"""

@@ -117,15 +117,30 @@ def complete(room: int, sizes: list[int], counts: dict[int, int]) -> list[int]:
     return best
 
 
-def completed(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths in one sequence, repeats): each sequence takes the longest piece left and its fullest filling."""
+def completed(counts: dict[int, int], capacity: int, spend_abundant: bool = False) -> list[tuple[list[int], int]]:
+    """(lengths in one sequence, repeats): each sequence takes the longest piece left and its fullest filling.
+
+    With ``spend_abundant`` a filling holds as many pieces of the length that
+    has most tokens left as an even filling allows, so that what is left in the
+    end has many lengths; else a length of many copies may be all that is left.
+    """
     counts = dict(counts)
     sizes, out = sorted(counts), []
     while sizes:
         longest = sizes[-1]
         counts[longest] -= 1
-        fill = [longest, *complete(capacity - longest, sizes, counts)]
+        room = capacity - longest
+        common_length = max((s for s in sizes[: bisect_right(sizes, room)] if counts[s]), key=lambda s: (counts[s] * s, s), default=0) if spend_abundant else 0
+        best: list[int] = []
+        for n in range(min(room // common_length, counts[common_length]) if common_length else 0, -1, -1):
+            rest = counts | {common_length: counts[common_length] - n} if n else counts
+            fill = [common_length] * n + complete(room - n * common_length, sizes, rest)
+            if sum(fill) > sum(best):
+                best = fill
+            if sum(best) == room:
+                break
         counts[longest] += 1
+        fill = [longest, *sorted(best, reverse=True)]
         out.append((fill, _use(fill, sizes, counts)))
     return out
 
@@ -256,8 +271,8 @@ def search(counts: dict[int, int], capacity: int, target: int, budget: int) -> l
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int], int]]:
     """(first sequence, lengths in one sequence, repeats) for all pieces.
 
-    The incumbent is the better of best fit and completion of one sequence
-    after the other. While it has more sequences than the pieces' sum asks for,
+    The incumbent is the best of best fit and of both ways to complete one
+    sequence after the other. While it has more sequences than the pieces' sum asks for,
     its last ``TAIL`` sequences (all of them, in small cases) are searched for a
     packing with one sequence less.
     """
@@ -265,7 +280,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int],
     if counts and (min(counts) < 1 or max(counts) > capacity):
         raise ValueError("piece lengths must lie between 1 and the capacity")
     used = lambda packed: sum(n for _, n in packed)
-    packed = min(completed(counts, capacity), best_fit(counts, capacity), key=used)
+    packed = min(completed(counts, capacity), completed(counts, capacity, True), best_fit(counts, capacity), key=used)
     bound = -(-sum(s * c for s, c in counts.items()) // capacity)
     while used(packed) > bound:
         tail: dict[int, int] = {}

@@ -386,3 +386,17 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(common.spread(common.table(spark, sf_dir, "documents")))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select doc_id, i, hash(h[2 * i + 1 : 2 * i + 400]) k from d, unnest(range(0, greatest(0, len(h) // 2 - 199))) r(i)),
+t as (select doc_id, i from w where k in (select k from w group by k having count(*) > 1)),
+g as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 200 then 0 else 1 end fresh from t),
+q as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) run from g),
+runs as (select doc_id, run, min(i) a, max(i) + 200 b from q group by doc_id, run),
+per as (select doc_id, sum(b - a) n_removed, count(*) n_spans, list_prepend(0, list(b order by a)) kept_from, list_append(list(a order by a), null) kept_to from runs group by doc_id)
+select d.doc_id, len(h) // 2 n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0) n_spans,
+ sha256(unhex(case when n_spans is null then h else array_to_string(list_transform(list_zip(kept_from, kept_to), lambda z: h[2 * z[1] + 1 : coalesce(2 * z[2], len(h))]), '') end)) kept_sha256
+from d left join per on per.doc_id = d.doc_id
+"""
