@@ -80,11 +80,9 @@ def loose_spans(text: Column, base: Column) -> Column:
         F.filter(ns.matches(text, CARD2, "card2", 5), lambda x: n(x) <= 19),
         ns.matches(text, NAME, "name", 9, text.rlike(TITLE)),
     ]
-    free = lambda spans, taken: F.filter(spans, lambda x: ~F.exists(taken, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    out = ns.no_spans()
-    for spans in found:
-        out = F.concat(out, free(free(spans, base), out))
-    return F.array_sort(out)
+    overlaps = lambda spans, x: F.exists(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    add = lambda acc, x: F.when(overlaps(base, x) | overlaps(acc, x), acc).otherwise(F.concat(acc, F.array(x)))
+    return F.array_sort(F.aggregate(F.concat(*found), ns.no_spans(), add))
 
 
 def votes(text: Column, x: Column) -> Column:
