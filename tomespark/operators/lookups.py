@@ -17,7 +17,9 @@ def floor_lookup(asked: DataFrame, rows: DataFrame, on: list[str], at: str, row_
     """The value of the last row at or below each asked place, by a union and one window per key: no range join.
 
     ``order`` breaks ties between rows at the same place; the window sees rows
-    of one key in order and holds only the last value.
+    of one key in order and holds only the last value. All rows of a key are one
+    task's, which suits files; keys that can hold a large share of all rows
+    should be made finer.
     """
     keys = [F.col(k) for k in on]
     n = len(order)
@@ -126,5 +128,9 @@ def sizes(rows: DataFrame, by: list[str], distinct: str) -> DataFrame:
 
 def index_order(entries: DataFrame, on: list[str]) -> DataFrame:
     """Entries with their position in their file's index: by sort key, keywords before titles, each in stored order."""
-    window = Window.partitionBy(*on).orderBy("sort_key", "source", "seq")
-    return entries.withColumn("position", F.row_number().over(window))
+    return ranked(entries, on, ["sort_key", "source", "seq"], "position")
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """Rows with their place within their key, from 1."""
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -94,7 +94,7 @@ def rich_file(rows: pd.DataFrame) -> bytes:
     named["|FONT"] = writer.fonts([brand.encode() for _, _, brand, _, _ in parts], [(p % 64, s, p % 6, k, p % 4096, s) for k, (p, _, _, _, s) in enumerate(parts)])
     offsets = [p["topic_offset"] for p in HelpFile(writer.container(named)).pages]
     context = sorted((codecs.hash43(f"part_{p}"), o) for (p, *_), o in zip(parts, offsets))
-    named["|CONTEXT"] = writer.tree([(struct.pack("<i", h), struct.pack("<ii", h, o)) for h, o in context], 64)
+    named["CONTEXT" if newer else "|CONTEXT"] = writer.tree([(struct.pack("<i", h), struct.pack("<ii", h, o)) for h, o in context], 64)
     for tree, column in (("K", 2), ("A", 3)):
         words: dict[bytes, list[int]] = {}
         for part, o in zip(parts, offsets):
@@ -316,6 +316,59 @@ def hlp_render(spark, sf_dir):
     return rendered.groupBy("file_key", "page_idx").agg(F.max(F.when(F.col("op") == "PAGE_START", F.col("text"))).alias("title"), F.count(F.when(F.col("file") == "other.hlp", 1)).alias("n_links"))
 
 
+@_query(f"""
+with f as (select file_key, count(*) pages from {_P} group by file_key)
+select file_key, name, case when name = '|FONT' then (8 + 31 * pages)::bigint end n_bytes
+from f, (values ('|FONT'), ('|SYSTEX')) v(name)""")
+def hlp_subfile_lookup(spark, sf_dir):
+    """Subfiles by name; a name that isn't there has no payload."""
+    c = corpus(spark, sf_dir)
+    asked = c.files.select("file_key", F.explode(F.array(F.lit("|FONT"), F.lit("|SYSTEX"))).alias("name"))
+    return c.subfile(asked).select("file_key", "name", F.length("payload").cast("long").alias("n_bytes"))
+
+
+@_query(f"select distinct file_key, p // 10 % 2 = 1 bare, true as found from {_P}")
+def hlp_bare_names(spark, sf_dir):
+    """A directory may hold a name without its leading bar; it's found all the same."""
+    c = corpus(spark, sf_dir)
+    found = c.subfile(c.files.select("file_key", F.lit("|CONTEXT").alias("name"))).select("file_key", F.col("payload").isNotNull().alias("found"))
+    bare = c.subfiles.filter("name like '%CONTEXT'").select("file_key", (~F.col("name").startswith("|")).alias("bare"))
+    return bare.join(found, "file_key")
+
+
+@_query(f"select file_key, k asked, unnest([{{'by': 'same', page_idx: k}}, {{'by': 'after', page_idx: k}}, {{'by': 'before', page_idx: case when k > 0 then k - 1 end}}], recursive := true) from {_P}")
+def hlp_page_by_ref(spark, sf_dir):
+    """The page of a record reference: its own, one inside the page, one before it."""
+    c = corpus(spark, sf_dir)
+    refs = c.pages.select("file_key", F.col("page_idx").alias("asked"), F.explode(F.array(*(F.struct(F.lit(by).alias("by"), (F.col("ref") + d).alias("ref")) for by, d in (("same", 0), ("after", 1), ("before", -1))))).alias("r")).select("file_key", "asked", "r.*")
+    return c.page_of_ref(refs).select("file_key", "asked", "by", "page_idx")
+
+
+@_query("select page_id, page_id % 3 = 0 may_open from pages")
+def open_addresses(spark, sf_dir):
+    """Only web addresses in lower case may be opened by a macro."""
+    url = F.concat(F.element_at(F.array(F.lit("https://"), F.lit("HTTPS://"), F.lit("file://")), (F.col("page_id") % 3 + 1).cast("int")), F.lit("host/"), F.col("page_id").cast("string"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", navigation.may_open(url).alias("may_open"))
+
+
+@_query("""
+select 'f' || p_partkey file_key, p_brand as name, (row_number() over (partition by p_size order by lower(p_brand), 'f' || p_partkey))::int as position from part where p_partkey % 4 = 1""")
+def cached_order(spark, sf_dir):
+    """The cache's files by name, whatever the case, here for each part size; only those asked for."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file_key"), F.col("p_brand").alias("name"), F.lit("").alias("last_hash"), "p_partkey", "p_size")
+    asked = part.filter("p_partkey % 4 = 1").select("file_key")
+    return lookups.ranked(navigation.read_cached(part, asked).withColumn("lower", F.lower("name")), ["p_size"], ["lower", "file_key"], "position").select("file_key", "name", "position")
+
+
+@_query(f"select file_key, k page_idx, 2::bigint n_popups, p_name title from {_P}")
+def hlp_popups(spark, sf_dir):
+    """The pages that popup links open, by hash, with how many links open each: one in the text, one on an image or on it again."""
+    c = corpus(spark, sf_dir)
+    text = c.links.filter("kind = 'popup' and source = 'text'").select("file_key", F.col("target_offset").alias("topic_offset"))
+    opened = c.render(text.unionByName(text))
+    return opened.filter("op = 'PAGE_START'").groupBy("file_key", "page_idx").agg(F.count(F.lit(1)).alias("n_popups"), F.max("text").alias("title"))
+
+
 @_query(f"select file_key, p_type keyword, count(*) n_offsets, min(k)::int first_page from {_P} group by all")
 def hlp_associations(spark, sf_dir):
     """The other keyword tree: associative words and the first page of each."""

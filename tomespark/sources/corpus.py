@@ -148,6 +148,19 @@ class Corpus:
     def table_defs(self) -> DataFrame:
         return self.page_ops.filter("op = 'TABLE_START'").select("file_key", "page_idx", "seq", "ncols", F.col("table_type").alias("type"), "min_width", "trleft", "trgaph", "cols")
 
+    def subfile(self, asked: DataFrame) -> DataFrame:
+        """``asked`` (file_key, name) with the payload of that subfile; where there is none, of the name without its leading bar."""
+        held = self.subfiles.select("file_key", F.col("name").alias("__name"), "payload")
+        bare = F.when(F.col("name").startswith("|"), F.substring("name", 2, 1 << 20))
+        both = asked.join(held.withColumnRenamed("__name", "name"), ["file_key", "name"], "left").withColumn("__name", bare)
+        short = both.withColumnRenamed("payload", "__payload").join(held, ["file_key", "__name"], "left")
+        return short.select(*asked.columns, F.coalesce("__payload", "payload").alias("payload"))
+
+    def page_of_ref(self, asked: DataFrame, at: str = "ref") -> DataFrame:
+        """page_idx and topic_offset of the page whose record is the last one at or below each reference."""
+        found = lookups.floor_lookup(asked, self.pages, ["file_key"], at, "ref", [F.col("page_idx")], F.struct("page_idx", "topic_offset"), "__page")
+        return found.select(*asked.columns, "__page.page_idx", "__page.topic_offset")
+
     def resolve_hash(self, asked: DataFrame, keep_raw: bool = False) -> DataFrame:
         first = lookups.first_of(self.context, ["file_key", "hash"], ["topic_offset"])
         return lookups.resolve_hash(asked, first, ["file_key"], keep_raw)
