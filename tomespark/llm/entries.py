@@ -30,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op7_nearest": nearest.ORACLE_SQL,
         "op8_near_dedup": near_dedup.ORACLE_SQL,
+        "op9_html": html_main.ORACLE_SQL,
     }

@@ -435,3 +435,17 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(common.spread(common.table(spark, sf_dir, "pages"))).withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: The same rows for pages with one article element that holds blocks and inline tags only, as all pages of the standard tables do.
+ORACLE_SQL = r"""
+with a as (
+  select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) inner_html from pages),
+b as (
+  select page_id, url, list_transform(
+    regexp_split_to_array(regexp_replace(regexp_replace(inner_html, '</?(a|b|i|em|strong|span)(\s[^>]*)?>', '', 'g'), '<br\s*/?>', ' ', 'g'), '<[^>]*>'),
+    lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;?', '''', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) blocks
+  from a),
+c as (select page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) as text from b)
+select page_id, url, text, length(text) n_chars from c
+"""

@@ -132,7 +132,8 @@ def completed(counts: dict[int, int], capacity: int, spend_abundant: bool = Fals
         room = capacity - longest
         common_length = max((s for s in sizes[: bisect_right(sizes, room)] if counts[s]), key=lambda s: (counts[s] * s, s), default=0) if spend_abundant else 0
         best: list[int] = []
-        for n in range(min(room // common_length, counts[common_length]) if common_length else 0, -1, -1):
+        most = min(room // common_length, counts[common_length]) if common_length else 0
+        for n in [*range(most, max(0, most - 64), -1), 0]:
             rest = counts | {common_length: counts[common_length] - n} if n else counts
             fill = [common_length] * n + complete(room - n * common_length, sizes, rest)
             if sum(fill) > sum(best):
