@@ -163,7 +163,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, whole: Calla
         if every.n_p and every.n_u:
             one, own = every.means(), sums(p, u, w, b).means()
             by = Sums.unpacked(one.packed() - own.packed())
-            w, b = descend(p, u, prior, w, b, STEPS // 4, RATE / 10, by)
+            w, b = descend(p, u, prior, w, b, STEPS // 2, RATE, by)
     return Model(mean, scale, w.astype(np.float64), b, prior)
 
 
