@@ -90,7 +90,7 @@ def lz77_pack(data: bytes) -> bytes:
             length = 0
             if at >= 0 and i - at <= 4096:
                 here, there = data[i : i + 18], data[at : at + 18]
-                length = len(here) if here == there else next(k for k, (a, b) in enumerate(zip(here, there)) if a != b)
+                length = next((k for k, (a, b) in enumerate(zip(here, there)) if a != b), len(here))
             step = length if length >= 3 else 1
             if length >= 3:
                 flags |= 1 << bit
