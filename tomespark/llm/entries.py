@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_main, near_dedup, nearest, packing, pii, quality, secrets, suffix_dedup, token_output
+from . import decontamination, html_main, near_dedup, nearest, packing, phrases, pii, quality, quality_rules, secrets, suffix_dedup, token_output, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_html": html_main.op9_html,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "op11_quality_rules": quality_rules.op11_quality_rules,
+        "op12_collocations": phrases.op12_collocations,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
@@ -31,4 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_nearest": nearest.ORACLE_SQL,
         "op8_near_dedup": near_dedup.ORACLE_SQL,
         "op9_html": html_main.ORACLE_SQL,
+        "op11_quality_rules": quality_rules.ORACLE_SQL,
+        "op12_collocations": phrases.ORACLE_SQL,
     }

@@ -61,6 +61,14 @@ def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, begins
 
 
+def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of runs of bytes of a buffer (from ``starts`` to before ``ends``; no run begins at byte 0); other seeds, other hashes."""
+    codes = mix(_BYTE + np.uint64(seed)) if seed else _BYTE
+    _POWERS.grow(len(buf))
+    total = np.cumsum(codes[buf] * _POWERS.up[: len(buf)], dtype=np.uint64)
+    return mix((total[ends - 1] - total[starts - 1]) * _POWERS.down[starts])
+
+
 def shingle_hashes(texts: Sequence[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """All k-word shingles of each text in order, repeats included, and where each text's begin.
 
