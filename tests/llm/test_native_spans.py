@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +156,40 @@ def test_queries_return_the_contract_columns(spark, tmp_path):
             assert {k: r[f"n_{k}"] for k in module.KINDS} == {k: sum(x.startswith(k + ":") for x in base) for k in module.KINDS}
             every = r["spans"].split(",") if r["spans"] else []
             assert set(base) <= set(every) and [int(x.split(":")[1]) for x in every] == sorted(int(x.split(":")[1]) for x in every)
+
+
+def test_texts_of_very_many_matches(spark):
+    n = 40_000  # growth with the square of the matches would take many minutes
+    emails = " ".join(f"u{i}@m{i % 7}.org" for i in range(n))
+    keyed = " ".join(f"token=q{i:06d}" for i in range(n // 2)) + " " + " ".join(f"Zx{i:06d}kQ9vT{i:06d}" for i in range(n // 2))
+    docs = spark.createDataFrame([(1, emails), (2, keyed)], "doc_id long, text string").repartition(2)
+    for kind, module, found in (("pii", pii, pii.candidates(docs, "doc_id")), ("secrets", secrets, secrets.candidates(docs))):
+        began = time.time()
+        base = ns.listed(F.sort_array(F.filter("spans", lambda x: x["o"] < len(module.KINDS))))  # noqa: B023
+        got = {r["doc_id"]: r for r in found.select("doc_id", base.alias("base"), F.size("spans").alias("n")).collect()}
+        assert time.time() - began < 60
+        for i, text in ((1, emails), (2, keyed)):
+            assert got[i]["base"] == ",".join(base_of(kind, text))
+        assert kind == "pii" or got[2]["n"] == n
+    masked = docs.filter("doc_id = 1").select(ns.masked(F.col("text"), pii.base_spans(F.col("text")), lambda x: F.lit("<E>")).alias("t"))
+    assert masked.first()["t"] == " ".join(["<E>"] * n)
+
+
+def test_free_spans_and_masks_match_plain_code(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choices("ab 𝒳é\n", k=rng.choice([0, 3, 40, 700])))
+        cut = lambda k: sorted((s, rng.randint(0, 2), min(len(text), s + rng.randint(1, 9)), "k", "m") for s in [rng.randrange(max(1, len(text))) for _ in range(rng.randint(0, k))] if text)  # noqa: E731, B023
+        rows.append((i, text, cut(8), cut(4)))
+    docs = spark.createDataFrame(rows, f"i int, text string, a {ns.SPANS}, b {ns.SPANS}")
+    label = lambda x: F.concat(F.lit("<"), x["o"].cast("string"), F.lit(">"))
+    for r in docs.select("i", ns.free(F.col("a"), F.col("b")).alias("free"), ns.masked(F.col("text"), F.col("a"), label).alias("masked")).collect():
+        _, text, a, b = rows[r["i"]]
+        assert sorted(tuple(x) for x in r["free"]) == [x for x in a if not any(y[0] < x[2] and x[0] < y[2] for y in b)]
+        out, at = "", 0
+        for x in a:
+            if x[0] >= at:
+                out += text[at : x[0]] + f"<{x[1]}>"
+            at = max(at, x[2])
+        assert r["masked"] == out + text[at:]

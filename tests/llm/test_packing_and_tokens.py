@@ -191,3 +191,46 @@ def test_queries_return_the_contract_columns(spark, tmp_path):
             r, own = pieces.pop((i, k)), ids[start : start + 2048]
             assert (r["start"], r["length"], r["ids_crc32"]) == (start, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
     assert not pieces
+
+
+def check_plan(histogram, capacity):
+    packed = packing.plan(histogram, capacity)
+    placed, sequence = {}, 0
+    for first, fill, n in packed:
+        assert first == sequence and n > 0 and sum(fill) <= capacity
+        sequence += n
+        for s in fill:
+            placed[s] = placed.get(s, 0) + n
+    assert placed == {s: c for s, c in histogram.items() if c}
+    bound = packing.lower_bound(histogram, capacity)
+    assert sequence >= bound >= -(-sum(s * c for s, c in histogram.items()) // capacity)
+    return sequence, bound
+
+
+@pytest.mark.parametrize("histogram", [{2: 1500, 3: 1}, {2: 5000, 5: 7}, {2: 3000, 3: 2, 7: 5, 40: 3}, {2: 3000, 9: 1, 1500: 2}, {1: 10**6, 2048: 3}, {}])
+def test_plan_of_many_short_pieces(histogram):
+    used, bound = check_plan(histogram, 2048)
+    assert used == bound
+
+
+def test_plan_places_every_piece_of_random_histograms():
+    rng, above = random.Random(31), 0
+    for _ in range(400):
+        short = {s: int(10 ** rng.uniform(0, 6)) for s in rng.sample(range(1, 6), rng.randint(1, 5))}
+        long = {rng.randint(6, 2048): rng.randint(1, 30) for _ in range(rng.choice([0, 0, 1, 3]))}
+        used, bound = check_plan(short | long, 2048)
+        above += used - bound
+    assert above <= 40  # of some 10**5 sequences
+    for _ in range(300):
+        check_plan({s: rng.randint(1, 9) for s in rng.sample(range(1, 41), rng.randint(1, 12))}, 40)
+
+
+def test_lower_bound_never_passes_the_optimum():
+    rng = random.Random(32)
+    for _ in range(150):
+        pieces = [rng.randint(1, 20) for _ in range(rng.randint(1, 8))]
+        histogram = {s: pieces.count(s) for s in pieces}
+        bound = packing.lower_bound(histogram, 20)
+        if bound > 1:  # no packing has one sequence less than the bound
+            assert packing.search(histogram, 20, bound - 1, 10**7) is None
+    assert packing.lower_bound({11: 10}, 20) == 10 and packing.lower_bound({5: 8}, 9) == 8

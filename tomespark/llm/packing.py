@@ -4,10 +4,10 @@ Lengths are at most the capacity, so the problem is its histogram, however
 many documents there are. The driver solves that bounded problem: incumbents
 come from best fit and from completing each sequence around its longest piece
 with the filling that wastes least, repeated as often as the counts allow.
-Where they use more sequences than the sum of the pieces asks for, a branch and
+Where they use more sequences than a lower bound asks for, a branch and
 bound over undominated fillings revises the last sequences. It proves the
 optimum for cases of up to ``TAIL`` sequences within its budget; for larger ones
-the result may be above the sum's bound. Executors rank pieces within their
+the result may be above the bound. Executors rank pieces within their
 length and look up their place by rank; no piece visits the driver.
 
 Defined cases: a null or empty text is its end id alone; only documents longer
@@ -34,7 +34,7 @@ PIECES = "part int, local_rank long, doc_id long, piece int, start long, length
 #: Rows of the (part, length) rank table that are broadcast at most (16 bytes each); beyond, it's a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Branches tried for a filling before its least waste is found from sums instead.
-BRANCHES = 4_000
+BRANCHES = 1_000
 #: Sequences at the end of a packing that are searched for a better one, and partial fillings that a search may look at.
 TAIL, SEARCHED = 64, 100_000
 
@@ -84,32 +84,35 @@ def complete(room: int, sizes: list[int], counts: dict[int, int]) -> list[int]:
         return best
     least = sizes[0] if sizes else room + 1
     below = [0, *accumulate(s * counts[s] for s in sizes[: bisect_right(sizes, room)])]
-    taken: dict[int, int] = {}
-
-    def branch(left: int, top: int, chosen: list[int]) -> None:
-        nonlocal best, waste, tried
-        if left < waste:
-            best, waste = list(chosen), left
-        k = bisect_right(sizes, min(left, top))
-        if k and least <= left:
-            s = sizes[bisect_right(sizes, left) - 1]
-            if s == left and s <= top and taken.get(s, 0) < counts[s]:
-                best, waste = [*chosen, s], 0
+    chosen: list[tuple[int, int]] = []
+    found: list[tuple[int, int]] = []
+
+    def branch(left: int, top: int) -> None:
+        """Take copies of one of the ``top`` shortest lengths, then of shorter ones; as deep as a filling has lengths."""
+        nonlocal found, waste, tried
+        k = min(top, bisect_right(sizes, left))
+        if not k or least > left:
+            return
+        if sizes[k - 1] == left and counts[left]:
+            found, waste = [*chosen, (left, 1)], 0
         while k and waste and tried < BRANCHES:
             s = sizes[k - 1]
+            if left - below[k] >= waste:  # all that is left of these sizes and shorter ones wastes as much
+                return
             k -= 1
-            if taken.get(s, 0) >= counts[s]:
-                continue
-            if left - below[k + 1] >= waste:  # all that is left of these sizes and shorter ones wastes as much
-                break
-            tried += 1
-            taken[s] = taken.get(s, 0) + 1
-            chosen.append(s)
-            branch(left - s, s, chosen)
-            chosen.pop()
-            taken[s] -= 1
-
-    branch(room, room, [])
+            for n in range(min(left // s, counts[s]), 0, -1):
+                if not waste or tried >= BRANCHES:
+                    return
+                tried += 1
+                chosen.append((s, n))
+                if left - s * n < waste:
+                    found, waste = list(chosen), left - s * n
+                branch(left - s * n, k)
+                chosen.pop()
+
+    branch(room, len(below) - 1)
+    if found:
+        best = [s for s, n in found for _ in range(n)]
     if waste and tried >= BRANCHES:
         exact = fullest(room, sizes, counts)
         if sum(exact) > room - waste:
@@ -133,12 +136,14 @@ def completed(counts: dict[int, int], capacity: int, spend_abundant: bool = Fals
         common_length = max((s for s in sizes[: bisect_right(sizes, room)] if counts[s]), key=lambda s: (counts[s] * s, s), default=0) if spend_abundant else 0
         best: list[int] = []
         most = min(room // common_length, counts[common_length]) if common_length else 0
+        goal = 0  # the fullest filling of all, once the first one leaves a gap
         for n in [*range(most, max(0, most - 64), -1), 0]:
             rest = counts | {common_length: counts[common_length] - n} if n else counts
             fill = [common_length] * n + complete(room - n * common_length, sizes, rest)
             if sum(fill) > sum(best):
                 best = fill
-            if sum(best) == room:
+            goal = goal or (room if sum(best) == room else sum(fullest(room, sizes, counts)))
+            if sum(best) == goal:
                 break
         counts[longest] += 1
         fill = [longest, *sorted(best, reverse=True)]
@@ -193,10 +198,10 @@ def undominated(counts: dict[int, int], capacity: int, most: int, spend: Callabl
     def free(s: int, taken: dict[int, int]) -> bool:
         return taken.get(s, 0) < counts[s]
 
-    def dominated(chosen: list[int], left: int, taken: dict[int, int]) -> bool:
-        rest = chosen[1:]
+    def dominated(left: int, taken: dict[int, int]) -> bool:
+        rest = [s for s, n in taken.items() if n]
         ones = {s: s + 1 for s in rest}
-        twos = {a + b: a + b for i, a in enumerate(rest) for b in rest[i + 1 :]}
+        twos = {a + b: a + b for i, a in enumerate(rest) for b in rest[i:] if a != b or taken[a] > 1}
         for q, least in [(0, 1), *ones.items(), *twos.items()]:
             for k in range(bisect_right(sizes, least - 1), bisect_right(sizes, q + left)):
                 spend()
@@ -204,24 +209,23 @@ def undominated(counts: dict[int, int], capacity: int, most: int, spend: Callabl
                     return True
         return False
 
-    def go(left: int, k: int, chosen: list[int], taken: dict[int, int]) -> Iterator[list[int]]:
+    def go(left: int, k: int, taken: dict[int, int]) -> Iterator[list[int]]:
+        """Copies of one of the ``k`` shortest lengths, then of shorter ones; as deep as a filling has lengths."""
         spend()
-        if left <= most and not dominated(chosen, left, taken):
-            yield list(chosen)
+        if left <= most and not dominated(left, taken):
+            yield [longest, *(s for s, n in taken.items() for _ in range(n))]
         k = min(k, bisect_right(sizes, left))
         while k:
             s = sizes[k - 1]
             if left - below[k] > most:  # all that is left wastes too much
                 return
-            if free(s, taken):
-                taken[s] = taken.get(s, 0) + 1
-                chosen.append(s)
-                yield from go(left - s, k, chosen, taken)
-                chosen.pop()
-                taken[s] -= 1
             k -= 1
+            for n in range(min(left // s, counts[s]), 0, -1):
+                taken[s] = n
+                yield from go(left - s * n, k, taken)
+            taken.pop(s, None)
 
-    yield from go(capacity - longest, len(sizes), [longest], {})
+    yield from go(capacity - longest, len(sizes), {})
 
 
 class _Spent(Exception):
@@ -269,11 +273,33 @@ def search(counts: dict[int, int], capacity: int, target: int, budget: int) -> l
         return None
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs.
+
+    For any ``short`` up to half the capacity: pieces above half can't share a
+    sequence, those above capacity - short share it with nothing of ``short`` or
+    more, and what the others leave open is all the room for the pieces between
+    (Martello and Toth's second bound; ``short`` = 0 gives the bound of the sum).
+    The capacity counts as the largest sum that the pieces can make at all.
+    """
+    sizes = sorted(s for s, c in counts.items() if c > 0)
+    capacity = sum(fullest(capacity, sizes, counts)) or capacity
+    n = [0, *accumulate(counts[s] for s in sizes)]
+    sums = [0, *accumulate(s * counts[s] for s in sizes)]
+    half, best = bisect_right(sizes, capacity // 2), 0
+    for short in [0, *sizes[:half]]:
+        lone, first = bisect_right(sizes, capacity - short), bisect_right(sizes, short - 1)
+        alone, shared = n[-1] - n[lone], n[lone] - n[half]
+        open_ = shared * capacity - (sums[lone] - sums[half])
+        best = max(best, alone + shared + max(0, -(-(sums[half] - sums[first] - open_) // capacity)))
+    return best
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int], int]]:
     """(first sequence, lengths in one sequence, repeats) for all pieces.
 
     The incumbent is the best of best fit and of both ways to complete one
-    sequence after the other. While it has more sequences than the pieces' sum asks for,
+    sequence after the other. While it has more sequences than lower_bound() asks for,
     its last ``TAIL`` sequences (all of them, in small cases) are searched for a
     packing with one sequence less.
     """
@@ -282,7 +308,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int],
         raise ValueError("piece lengths must lie between 1 and the capacity")
     used = lambda packed: sum(n for _, n in packed)
     packed = min(completed(counts, capacity), completed(counts, capacity, True), best_fit(counts, capacity), key=used)
-    bound = -(-sum(s * c for s, c in counts.items()) // capacity)
+    bound = lower_bound(counts, capacity)
     while used(packed) > bound:
         tail: dict[int, int] = {}
         kept, open_, room = [], 0, TAIL

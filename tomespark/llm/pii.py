@@ -68,8 +68,12 @@ def base_spans(text: Column) -> Column:
     return ns.merged([email, ip, card, phone])
 
 
-def loose_spans(text: Column, base: Column) -> Column:
-    """Candidates beyond the base ones, the narrowest pattern first; none overlaps a base span or one of a narrower pattern."""
+def with_spans(docs: DataFrame) -> DataFrame:
+    """``spans`` of ``text``: the base ones, and candidates that overlap none of them and none of a narrower pattern.
+
+    Patterns take a projection each, the narrowest first.
+    """
+    text = F.col("text")
     at = F.contains(text, F.lit("at]")) | F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at )")) | F.contains(text, F.lit("at ]"))
     n = lambda x: F.length(ns.digits(x["m"]))
     found = [
@@ -80,17 +84,20 @@ def loose_spans(text: Column, base: Column) -> Column:
         F.filter(ns.matches(text, CARD2, "card2", 5), lambda x: n(x) <= 19),
         ns.matches(text, NAME, "name", 9, text.rlike(TITLE)),
     ]
-    overlaps = lambda spans, x: F.exists(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    add = lambda acc, x: F.when(overlaps(base, x) | overlaps(acc, x), acc).otherwise(F.concat(acc, F.array(x)))
-    return F.array_sort(F.aggregate(F.concat(*found), ns.no_spans(), add))
+    docs = docs.withColumn("spans", base_spans(text))
+    for more in found:
+        docs = docs.withColumn("more", more).withColumn("spans", F.concat("spans", ns.free(F.col("more"), F.col("spans"))))
+    return docs.drop("more")
+
+
+def votes(pieces: Column, x: Column) -> Column:
+    """The labelers' votes on a span of the text in ``pieces`` (see chunks()) as a string such as "card2:1,-1,0,0,1"."""
+    left, after = ns.part(pieces, F.greatest(x["s"] - 30, F.lit(0)), x["s"]), ns.part(pieces, x["e"], x["e"] + 1)
+    return ns.let(F.struct(left.alias("left"), after.alias("after")), lambda c: _votes(x["k"], x["m"], c["left"], c["after"]))
 
 
-def votes(text: Column, x: Column) -> Column:
-    """The labelers' votes on a span as a string such as "card2:1,-1,0,0,1"."""
-    k, m = x["k"], x["m"]
+def _votes(k: Column, m: Column, left: Column, after: Column) -> Column:
     number = ns.digits(m)
-    left = F.substring(text, F.greatest(x["s"] - 29, F.lit(1)).cast("int"), F.least(x["s"], F.lit(30)).cast("int"))
-    after = F.substring(text, (x["e"] + 1).cast("int"), F.lit(1))
     yes = lambda c: F.when(c, 1).otherwise(-1)
     email, card, phone = k.isin("email", "email2"), k.isin("card", "card2"), k.isin("phone", "phone2")
     shape = (
@@ -181,9 +188,8 @@ class SpanClassifier:
 
 def candidates(docs: DataFrame, *keys: str) -> DataFrame:
     """``keys`` of docs and all candidates of ``text``, each with its kind, its place and its votes."""
-    found = docs.select(*keys, "text", base_spans(F.col("text")).alias("base"))
-    found = found.select(*keys, "text", F.concat("base", loose_spans(F.col("text"), F.col("base"))).alias("spans"))
-    with_votes = lambda x: F.struct(x["s"].alias("s"), x["o"].alias("o"), x["e"].alias("e"), x["k"].alias("k"), votes(F.col("text"), x).alias("v"))
+    found = with_spans(docs.select(*keys, "text")).select(*keys, "spans", F.when(F.size("spans") > 0, ns.chunks(F.col("text"))).alias("pieces"))
+    with_votes = lambda x: F.struct(x["s"].alias("s"), x["o"].alias("o"), x["e"].alias("e"), x["k"].alias("k"), votes(F.col("pieces"), x).alias("v"))
     return found.select(*keys, F.transform("spans", with_votes).alias("spans"))
 
 
@@ -195,7 +201,7 @@ def train(found: DataFrame) -> SpanClassifier:
 
 def decided(classifier: SpanClassifier) -> Column:
     """The base candidates and the accepted loose ones, in order."""
-    return F.array_sort(F.filter("spans", lambda x: (x["o"] < len(KINDS)) | classifier.accepts(x["v"])))
+    return F.sort_array(F.filter("spans", lambda x: (x["o"] < len(KINDS)) | classifier.accepts(x["v"])))
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

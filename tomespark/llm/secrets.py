@@ -130,14 +130,13 @@ def token_score(token: Column, table: list[float]) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, and base spans and tokens that overlap none of them."""
     found = docs.select("doc_id", base_spans(F.col("text")).alias("base"), ns.matches(F.col("text"), TOKEN, "token", 3).alias("tokens"))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    return found.select("doc_id", F.concat("base", free).alias("spans"))
+    return found.select("doc_id", F.concat("base", ns.free(F.col("tokens"), F.col("base"))).alias("spans"))
 
 
 def decided(table: list[float]) -> Column:
     """The base spans, and the tokens that the models hold for random, in order."""
     least = lambda t: F.greatest(F.lit(LEAST_TOTAL), LEAST_MEAN * F.length(t["m"]))
-    return F.array_sort(F.filter("spans", lambda t: (t["o"] < len(KINDS)) | (token_score(t["m"], table) >= least(t))))
+    return F.sort_array(F.filter("spans", lambda t: (t["o"] < len(KINDS)) | (token_score(t["m"], table) >= least(t))))
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", table: list[float] | None = None) -> DataFrame:
