@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from tomespark.functions import codecs
 from tomespark.operators import lookups, navigation
-from tomespark.sources import writer
+from tomespark.sources import store, writer
 from tomespark.sources.container import HelpFile
 from tomespark.sources.corpus import Corpus
+from tomespark.sources.store import StoredCorpus
 
 from .file_queries import _phrase3, _phrase4
 
@@ -119,6 +120,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(spark, files(spark, sf_dir))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> StoredCorpus:
+    """The same corpus, each file decoded once for all tables."""
+    return store.save(corpus(spark, sf_dir))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(*COLUMNS.split(", "), F.format_string("p%06d", F.floor(F.col("p_partkey") / 10)).alias("file_key"))
 
@@ -190,7 +196,7 @@ select file_key, k page_idx, kind, source, n::bigint n, target_page, file from (
   || case when p % 2 = 0 then [{{kind: 'jump', source: 'hotspot', n: 1, target_page: next_k, file: null}}, {{kind: 'popup', source: 'hotspot', n: 1, target_page: k, file: null}}, {{kind: 'macro', source: 'hotspot', n: 1, target_page: null, file: null}}] else [] end, recursive := true) from l)""")
 def hlp_link_kinds(spark, sf_dir):
     """Every link of a page by kind, with the page that it leads to; unknown contexts lead nowhere."""
-    c = corpus(spark, sf_dir)
+    c = stored(spark, sf_dir)
     pages = c.pages.select("file_key", F.col("topic_offset").alias("target_offset"), F.col("page_idx").alias("target_page"))
     return c.links.join(pages, ["file_key", "target_offset"], "left").select("file_key", "page_idx", "kind", "source", F.lit(1).cast("long").alias("n"), "target_page", "file")
 
@@ -265,7 +271,7 @@ select file_key, k page_idx, macro, case when target is not null then case when
  select *, case p % 7 when 0 then next_k when 1 then k when 2 then case when n = 1 then only_k end when 3 then 0 end target from m) where p % 7 <> 4""")
 def hlp_macro_targets(spark, sf_dir):
     """Where the macros of a page lead: ids by hash, keywords with one offset, contents; others nowhere."""
-    c = corpus(spark, sf_dir)
+    c = stored(spark, sf_dir)
     macros = c.page_ops.filter("op = 'MACRO' and text not like 'Back(%' and text not like 'About(%' and text not like 'JC(%'").select("file_key", "page_idx", F.col("text").alias("macro"))
     found = navigation.macro_targets(macros, c.context, c.keywords)
     return c.asof_page(found.withColumn("topic_offset", F.col("target_offset")).withColumnRenamed("page_idx", "on_page")).select(
@@ -360,12 +366,11 @@ def cached_order(spark, sf_dir):
     return lookups.ranked(navigation.read_cached(part, asked).withColumn("lower", F.lower("name")), ["p_size"], ["lower", "file_key"], "position").select("file_key", "name", "position")
 
 
-@_query(f"select file_key, k page_idx, 2::bigint n_popups, p_name title from {_P}")
+@_query(f"select file_key, k page_idx, (case when p % 2 = 0 then 2 else 1 end)::bigint n_popups, p_name title from {_P}")
 def hlp_popups(spark, sf_dir):
-    """The pages that popup links open, by hash, with how many links open each: one in the text, one on an image or on it again."""
-    c = corpus(spark, sf_dir)
-    text = c.links.filter("kind = 'popup' and source = 'text'").select("file_key", F.col("target_offset").alias("topic_offset"))
-    opened = c.render(text.unionByName(text))
+    """The pages that popup links open, by hash, with how many links open each: one in the text, and one on an image where the page has one."""
+    c = stored(spark, sf_dir)
+    opened = c.render(c.links.filter("kind = 'popup'").select("file_key", F.col("target_offset").alias("topic_offset")))
     return opened.filter("op = 'PAGE_START'").groupBy("file_key", "page_idx").agg(F.count(F.lit(1)).alias("n_popups"), F.max("text").alias("title"))
 
 
@@ -381,7 +386,7 @@ def hlp_associations(spark, sf_dir):
 select file_key, k page_idx, unnest([{{asked: 'exact', anchor: 1}}, {{asked: 'below', anchor: 0}}, {{asked: 'none', anchor: 0}}], recursive := true) from {_P}""")
 def hlp_anchors(spark, sf_dir):
     """Paragraphs as anchors within a page: an exact offset, the last one below another, or the first one."""
-    c = corpus(spark, sf_dir)
+    c = stored(spark, sf_dir)
     places = c.paragraphs.select("file_key", "page_idx", "para_offset", "seq")
     first = lookups.first_of(places, ["file_key", "page_idx"], ["seq"]).select("file_key", "page_idx", F.col("para_offset").alias("__first"))
     second = lookups.first_of(places.join(first, ["file_key", "page_idx"]).filter("para_offset > __first"), ["file_key", "page_idx"], ["seq"]).select("file_key", "page_idx", F.col("para_offset").alias("__second"), "__first")
