@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +135,81 @@ def test_query_returns_the_contract_columns(spark, tmp_path):
     spark.createDataFrame([(1, "http://a/1", page("<article><h1>Ä</h1><p>x  y</article>")), (2, None, None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in h.op9_html(spark, str(tmp_path)).collect()}
     assert got == {1: ("http://a/1", "Ä\nx y", 5), 2: (None, "", 0)}
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div class="page has-sidebar"><article>{}</article></div>',
+        '<div class="layout no-comments"><article>{}</article></div>',
+        '<div class="content-sidebar-wrap"><article>{}</article></div>',
+        '<main class="site-main with-sidebar">{}</main>',
+        '<article class="post comments-open">{}</article>',
+        '<div class="layout no-ads"><article>{}</article></div>',
+        '<div class="popup-enabled"><article>{}</article></div>',
+        '<div id="page" class="two-column sidebar-left-layout"><div class="ads-enabled"><article class="post no-promo">{}</article></div></div>',
+    ],
+)
+def test_layout_classes_around_an_article_leave_it(around):
+    noise = '<div class="sidebar-left"><p>See also</p></div><div id="comments-area"><article class="comment-body"><p>Nice!</p></article></div><div class="ad-slot">Buy</div><div class="cookie-banner">We use cookies</div>'
+    for count in (1, 20):
+        pages = [h.Page(page(around.format(f"<h1>Head {i}</h1><p>{'real words ' * 9}{i}</p><div class='ads'>Buy</div>"), noise)) for i in range(count)]
+        main = h.main_paths(h.infer(pages), pages)
+        assert [h.read(p, main) for p in pages] == [f"Head {i}\n{'real words ' * 9}{i}" for i in range(count)]
+
+
+def test_hand_labelled_blocks_of_mixed_templates():
+    """Every block carries its label; precision and recall are counted over all blocks of all pages."""
+    rng = random.Random(8)
+    text = lambda label: f"{label} {' '.join(rng.choices('alpha beta gamma delta'.split(), k=12))} {rng.random()}"
+    keep, drop = (lambda: f"<p>{text('KEEP')}</p>"), (lambda: f"<p>{text('DROP')}</p>")
+    templates = [
+        lambda: f'<div class="site has-sidebar"><article class="post"><h1>{text("KEEP")}</h1>{keep() * 1}{keep()}</article><div class="sidebar">{drop()}</div></div>',
+        lambda: f'<main class="site-main with-ads">{keep()}<div class="ad-unit">{drop()}</div>{keep()}</main><section class="comments">{drop()}</section>',
+        lambda: f'<div class="layout comments-closed"><article>{keep()}<ul><li>{text("KEEP")}</li></ul></article></div><div id="newsletter-box">{drop()}</div>',
+        lambda: f'<div class="wrap"><article class="entry popup-disabled">{keep()}<table><tr><td>{text("KEEP")}</td></tr></table></article><aside>{drop()}</aside><div class="left-sidebar">{drop()}</div></div>',
+    ]
+    pages = [h.Page(page(rng.choice(templates)())) for _ in range(80)]
+    main = h.main_paths(h.infer(pages), pages)
+    kept = [b for p in pages for b in h.read(p, main).split("\n")]
+    labelled = [b[1] for p in pages for b in p.blocks if b[1].startswith("KEEP")]
+    assert sum(b.startswith("KEEP") for b in kept) >= 0.99 * len(labelled)
+    assert sum(b.startswith("KEEP") for b in kept) >= 0.99 * len(kept)
+
+
+def test_constant_slots_change_the_result():
+    """Share boxes inside an article go because all pages of the host have them, and a lone page can't know that."""
+    pages = [h.Page(page(f'<article><p>{"real words " * 9}{i}</p><div class="share"><p>Tell your friends</p></div></article>')) for i in range(12)]
+    together, alone = h.main_paths(h.infer(pages), pages), [h.read(p, h.main_paths(h.infer([p]), [p])) for p in pages]
+    assert all("Tell" not in h.read(p, together) for p in pages) and all("Tell" in t for t in alone)
+
+
+def plain_steps(w, s):
+    best = [[0] * (len(s) + 1) for _ in range(len(w) + 1)]
+    for i in range(len(w) - 1, -1, -1):
+        for j in range(len(s) - 1, -1, -1):
+            best[i][j] = 1 + best[i + 1][j + 1] if w[i] == s[j] else max(best[i + 1][j], best[i][j + 1])
+    return best
+
+
+def test_bit_rows_equal_the_table():
+    rng = random.Random(3)
+    for _ in range(300):
+        w, s = ([rng.randint(0, 4) for _ in range(rng.randint(0, 30))] for _ in range(2))
+        best, rows = plain_steps(w, s), h.Rows(w, s)
+        for i in range(len(w) + 1):
+            for j in range(len(s) + 1):
+                assert rows.longest(i, j) == best[i][j]
+                if j < len(s):
+                    assert rows.gains(i, j) == (best[i][j] > best[i][j + 1])
+
+
+def test_very_long_streams_align_in_bounded_memory():
+    rng = random.Random(6)
+    w, t = (tuple(rng.choices("abcdefgh", k=30_000)) for _ in range(2))
+    tracemalloc.start()
+    began = time.time()
+    pairs = h.steps(w, t)
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert [i for i, _ in pairs if i is not None] == list(range(len(w))) and [j for _, j in pairs if j is not None] == list(range(len(t)))

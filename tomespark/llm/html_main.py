@@ -30,6 +30,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,13 +67,24 @@ NOT_MAIN = frozenset(
 )
 MAY_BE = frozenset("banner copyright footer form header hidden login menu modal notice notices recommended related reply search share sharing signup social subscribe subscription tags toolbar widget".split())
 MAIN = frozenset("article articlebody content entry main post story".split())
+#: Words that make a name with one of NOT_MAIN say how a page is laid out or what state it is in (has-sidebar, comments-open),
+#: and those that do so on an element around an article (content-sidebar-wrap).
+STATE = frozenset("has no not with without is are hide show open opened closed enabled disabled on off allow allowed js layout".split())
+AROUND = frozenset("content wrap wrapper main page site container left right one two three col cols column columns grid".split())
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-zA-Z]+)", re.I)
 
 
 def _words(attrs: str) -> frozenset[str]:
     if not attrs:
         return frozenset()
-    words = frozenset(w.lower() for m in _LABEL.finditer(attrs) for w in _WORD.findall(m[1] or m[2] or m[3] or ""))
+    names = [[w.lower() for w in _WORD.findall(name)] for m in _LABEL.finditer(attrs) for name in (m[1] or m[2] or m[3] or "").split()]
+    words = frozenset(w for name in names for w in name)
+    # "!beside": a whole name says that the element isn't the article; "!even-around": also where an article lies in it
+    said = [frozenset(name) for name in names if not NOT_MAIN.isdisjoint(name)]
+    if any(len(name) == 1 or STATE.isdisjoint(name) for name in said):
+        words |= {"!beside"}
+    if any(len(name) == 1 or (STATE | AROUND).isdisjoint(name) for name in said):
+        words |= {"!even-around"}
     role = _ROLE.search(attrs)
     return words | {"role=" + role[1].lower()} if role and role[1].lower() in NOT_MAIN_ROLES else words
 
@@ -161,6 +173,7 @@ def fold_and_count(stream: list) -> tuple[tuple, tuple]:
     out: list = []
     held: list[int] = []
     seen: dict = {}  # places of a token, some of which may be folded by now
+    folded: list[int] = []  # places of groups
     for token in stream:
         out.append(token)
         held.append(int(token == "#"))
@@ -177,14 +190,17 @@ def fold_and_count(stream: list) -> tuple[tuple, tuple]:
             n = repeats[0]
             out[-2 * n :] = [("+", tuple(out[-n:]))]
             held[-2 * n :] = [sum(held[-2 * n :])]
-        for at in range(len(out) - 2, -1, -1):  # a group before that these tokens are another round of
-            before = out[at]
-            if isinstance(before, tuple) and before[0] == "+":
-                n = len(out) - 1 - at
-                if len(before[1]) == n and before[1] == tuple(out[-n:]):
-                    held[at:] = [sum(held[at:])]
-                    del out[at + 1 :]
-                break
+            while folded and folded[-1] >= len(out) - 1:
+                folded.pop()
+            folded.append(len(out) - 1)
+        before = next((at for at in reversed(folded[-2:]) if at <= len(out) - 2), None)
+        if before is not None:  # a group before that these tokens are another round of
+            n = len(out) - 1 - before
+            if len(out[before][1]) == n and out[before][1] == tuple(out[-n:]):
+                held[before:] = [sum(held[before:])]
+                del out[before + 1 :]
+                while folded[-1] > before:
+                    folded.pop()
         while places and (places[-1] >= len(out) or out[places[-1]] != token):
             places.pop()
         if out[-1] == token:
@@ -239,6 +255,64 @@ def _key(node) -> object:
     return node[1][0] if isinstance(node, tuple) and len(node[1]) == 1 and not isinstance(node[1][0], tuple) else node
 
 
+class Rows:
+    """Lengths of longest common subsequences of w[i:] and s[j:], a row of bits for each i (Hyyro's bit vectors).
+
+    A row is one number of len(s) bits, made from the row after it by one
+    addition. Every k-th row is kept, k the root of len(w), and the rows between
+    are made again when they are read, so memory grows as k times len(s) bits.
+    Rows are read in rising order.
+    """
+
+    def __init__(self, w: list[int], s: list[int]) -> None:
+        self.w, self.m = w, len(s)
+        self.every = max(1, int(len(w) ** 0.5))
+        self.ones = (1 << self.m) - 1
+        self.places: dict[int, list[int]] = {}
+        for j, one in enumerate(s):
+            self.places.setdefault(one, []).append(self.m - 1 - j)
+        self.mask = lru_cache(maxsize=64)(self._mask)
+        self.kept = {len(w): self.ones}
+        row = self.ones
+        for i in range(len(w) - 1, -1, -1):
+            row = self._before(row, i)
+            if i % self.every == 0:
+                self.kept[i] = row
+        self.first, self.held = 0, [] if not w else self._between(0)
+
+    def _mask(self, one: int) -> int:
+        bits = bytearray(self.m // 8 + 1)
+        for p in self.places.get(one, ()):
+            bits[p >> 3] |= 1 << (p & 7)
+        return int.from_bytes(bits, "little")
+
+    def _before(self, row: int, i: int) -> int:
+        same = row & self.mask(self.w[i])
+        return ((row + same) | (row - same)) & self.ones
+
+    def _between(self, first: int) -> list[int]:
+        """Rows from ``first``, a kept one, to the next kept one."""
+        last = min(first + self.every, len(self.w))
+        out = [self.kept[last]]
+        for i in range(last - 1, first - 1, -1):
+            out.append(self._before(out[-1], i))
+        return out[::-1]
+
+    def row(self, i: int) -> int:
+        if i > self.first + self.every:
+            self.first = (i - 1) // self.every * self.every
+            self.held = self._between(self.first)
+        return self.held[i - self.first] if i - self.first < len(self.held) else self.kept[i]
+
+    def longest(self, i: int, j: int) -> int:
+        left = self.m - j
+        return left - (self.row(i) & ((1 << left) - 1)).bit_count()
+
+    def gains(self, i: int, j: int) -> bool:
+        """Whether s[j] makes the longest one of w[i:] longer."""
+        return not self.row(i) >> (self.m - 1 - j) & 1
+
+
 def steps(wrapper: tuple, stream: tuple) -> list[tuple[int | None, int | None]]:
     """The longest common subsequence: places of wrapper and stream in order, None where only one side has a node."""
     known: dict = {}
@@ -252,18 +326,14 @@ def steps(wrapper: tuple, stream: tuple) -> list[tuple[int | None, int | None]]:
         tail += 1
     n, m = len(w) - head - tail, len(s) - head - tail
     w, s = w[head : head + n], s[head : head + m]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        own, below, one = best[i], best[i + 1], w[i]
-        for j in range(m - 1, -1, -1):
-            own[j] = 1 + below[j + 1] if one == s[j] else max(below[j], own[j + 1])
+    rows = Rows(w, s)
     out: list[tuple[int | None, int | None]] = [(k, k) for k in range(head)]
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and w[i] == s[j]:
             out.append((head + i, head + j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
+        elif j == m or i < n and (rows.gains(i, j) or rows.longest(i + 1, j) >= rows.longest(i, j)):
             out.append((head + i, None))
             i += 1
         else:
@@ -324,14 +394,14 @@ class Place:
 
     def __init__(self, path: tuple[str, ...]) -> None:
         self.out = self.main = self.tagged = self.doubted = False
-        for element in path:
+        around = max((k for k, element in enumerate(path) if element.split(".")[0] in MAIN_TAGS), default=-1)
+        for k, element in enumerate(path):
             name, *words = element.split(".")
             self.out = self.out or name in NOT_MAIN_TAGS or (name == "header" and not self.main) or any(w.startswith("role=") for w in words)
+            if name != "body":
+                self.out = self.out or ("!even-around" if k < around else "!beside") in words
             if name not in MAIN_TAGS and name != "body":
-                self.out = self.out or not NOT_MAIN.isdisjoint(words)
                 self.doubted = self.doubted or not MAY_BE.isdisjoint(words)
-            elif name != "body" and not NOT_MAIN.isdisjoint(words):  # such as comments, each of which is an article of its own
-                self.out = True
             self.main = self.main or (not self.out and (name in MAIN_TAGS or (name in ("div", "section", "td") and not MAIN.isdisjoint(words) and not self.doubted)))
             self.tagged = self.tagged or (not self.out and name in MAIN_TAGS)
 

@@ -40,19 +40,31 @@ def running(rows: Column, step: Callable[[Column, Callable[[int], Column]], Colu
     return let(rows, whole)
 
 
-def matches(text: Column, pattern: str, kind: str, order: int, where: Column | None = None) -> Column:
-    """Leftmost non-overlapping matches. ``where``: a cheap condition without which there can't be any.
+def all_matches(text: Column, asked: Sequence[tuple[str, str, int, Column | None]]) -> Column:
+    """For each (pattern, kind, order, where) the leftmost non-overlapping matches: an array of arrays of spans.
 
-    The gaps between matches and the matches' lengths add up to the places, so
-    no position is searched for again, and time grows with the text only.
+    ``where``: a cheap condition without which there can't be any. The gaps
+    between matches and the matches' lengths add up to the places, so no position
+    is searched for again, and time grows with the text only.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct((F.length(g) + F.length(m)).cast("long").alias("e"), m.alias("m"))), lambda x: x["m"].isNotNull())
-    ends = running(pairs, lambda x, at: F.struct((x["e"] + F.coalesce(at(-1)["e"], F.lit(0).cast("long"))).alias("e"), x["m"].alias("m")))
-    spans = F.transform(ends, lambda x: F.struct((x["e"] - F.length(x["m"])).alias("s"), F.lit(order).alias("o"), x["e"].alias("e"), F.lit(kind).alias("k"), x["m"].alias("m")))
-    has = text.rlike(pattern) if where is None else where & text.rlike(pattern)
-    return F.when(has, spans).otherwise(no_spans())
+    pair = "array<struct<e:bigint,m:string>>"
+
+    def pairs(pattern: str, kind: str, order: int, where: Column | None) -> Column:
+        found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+        both = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct((F.length(g) + F.length(m)).cast("long").alias("e"), m.alias("m"))), lambda x: x["m"].isNotNull())
+        has = text.rlike(pattern) if where is None else where & text.rlike(pattern)
+        return F.struct(F.when(has, both.cast(pair)).otherwise(F.array().cast(pair)).alias("p"), F.lit(order).alias("o"), F.lit(kind).alias("k"))
+
+    def spans(q: Column) -> Column:
+        ends = running(q["p"], lambda x, at: F.struct((x["e"] + F.coalesce(at(-1)["e"], F.lit(0).cast("long"))).alias("e"), x["m"].alias("m")))
+        return F.transform(ends, lambda x: F.struct((x["e"] - F.length(x["m"])).alias("s"), q["o"].alias("o"), x["e"].alias("e"), q["k"].alias("k"), x["m"].alias("m"))).cast(SPANS)
+
+    return F.transform(F.array(*(pairs(*one) for one in asked)), spans)
+
+
+def matches(text: Column, pattern: str, kind: str, order: int, where: Column | None = None) -> Column:
+    """all_matches() of one pattern."""
+    return F.element_at(all_matches(text, [(pattern, kind, order, where)]), 1)
 
 
 def free(spans: Column, blockers: Column) -> Column:

@@ -58,36 +58,41 @@ LABELERS = 5
 BROADCAST_SPANS = 300_000
 
 
+def _base_patterns(text: Column) -> list[tuple]:
+    return [(EMAIL, "email", 0, F.contains(text, F.lit("@"))), (IP, "ip", 1, None), (CARD, "card", 2, None), (PHONE, "phone", 3, F.contains(text, F.lit("+")))]
+
+
+def _loose_patterns(text: Column) -> list[tuple]:
+    """The narrowest first."""
+    at = F.contains(text, F.lit("at]")) | F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at )")) | F.contains(text, F.lit("at ]"))
+    return [(EMAIL2, "email2", 4, at), (IBAN, "iban", 7, None), (SSN, "ssn", 8, None), (PHONE2, "phone2", 6, None), (CARD2, "card2", 5, None), (NAME, "name", 9, text.rlike(TITLE))]
+
+
+def _valid(x: Column) -> Column:
+    """Whether a match of any pattern stands."""
+    number = ns.digits(x["m"])
+    n = F.length(number)
+    octets = F.split(x["m"], r"\.")
+    small = F.forall(octets, lambda part: part.rlike(r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$"))
+    return F.when(x["k"] == "ip", small).when(x["k"] == "card", (n <= 19) & ns.luhn(number)).when(x["k"] == "phone", n.between(10, 15)).when(x["k"] == "card2", n <= 19).otherwise(True)
+
+
 def base_spans(text: Column) -> Column:
-    octet = lambda m, i: F.regexp_extract(m, r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)", i).rlike(r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$")
-    n = lambda x: F.length(ns.digits(x["m"]))
-    email = ns.matches(text, EMAIL, "email", 0, F.contains(text, F.lit("@")))
-    ip = F.filter(ns.matches(text, IP, "ip", 1), lambda x: octet(x["m"], 1) & octet(x["m"], 2) & octet(x["m"], 3) & octet(x["m"], 4))
-    card = F.filter(ns.matches(text, CARD, "card", 2), lambda x: (n(x) <= 19) & ns.luhn(ns.digits(x["m"])))
-    phone = F.filter(ns.matches(text, PHONE, "phone", 3, F.contains(text, F.lit("+"))), lambda x: n(x).between(10, 15))
-    return ns.merged([email, ip, card, phone])
+    return F.sort_array(F.filter(F.flatten(ns.all_matches(text, _base_patterns(text))), _valid))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """``spans`` of ``text``: the base ones, and candidates that overlap none of them and none of a narrower pattern.
 
-    Patterns take a projection each, the narrowest first.
+    Patterns are added one after the other, the narrowest first.
     """
     text = F.col("text")
-    at = F.contains(text, F.lit("at]")) | F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at )")) | F.contains(text, F.lit("at ]"))
-    n = lambda x: F.length(ns.digits(x["m"]))
-    found = [
-        ns.matches(text, EMAIL2, "email2", 4, at),
-        ns.matches(text, IBAN, "iban", 7),
-        ns.matches(text, SSN, "ssn", 8),
-        ns.matches(text, PHONE2, "phone2", 6),
-        F.filter(ns.matches(text, CARD2, "card2", 5), lambda x: n(x) <= 19),
-        ns.matches(text, NAME, "name", 9, text.rlike(TITLE)),
-    ]
-    docs = docs.withColumn("spans", base_spans(text))
-    for more in found:
-        docs = docs.withColumn("more", more).withColumn("spans", F.concat("spans", ns.free(F.col("more"), F.col("spans"))))
-    return docs.drop("more")
+    asked = [*_base_patterns(text), *_loose_patterns(text)]
+    valid = F.transform(ns.all_matches(text, asked), lambda spans: F.filter(spans, _valid))
+    base = F.sort_array(F.flatten(F.slice("found", 1, len(KINDS))))
+    add = lambda held, more: F.concat(held, ns.free(more, held)).cast(ns.SPANS)
+    spans = F.aggregate(F.slice("found", len(KINDS) + 1, len(LOOSE)), base.cast(ns.SPANS), add)
+    return docs.withColumn("found", valid).withColumn("spans", spans).drop("found")
 
 
 def votes(pieces: Column, x: Column) -> Column:
