@@ -37,3 +37,8 @@ def test_same_rows_as_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_keyword_offsets_are_limited_before_the_shuffle(spark):
+    plan = QUERIES["keyword_search"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2

@@ -34,8 +34,9 @@ def floor_lookup(asked: DataFrame, rows: DataFrame, on: list[str], at: str, row_
 
 def keyword_offsets(asked: DataFrame, keywords: DataFrame, on: list[str], place: list[str], most: int = 64) -> DataFrame:
     """Up to ``most`` rows of each keyword in stored order; the cut is what the lookup does, and its default."""
-    ranked = keywords.withColumn("off_seq", F.row_number().over(Window.partitionBy(*on).orderBy(*place)) - 1)
-    return asked.join(ranked.filter(F.col("off_seq") < most), on)
+    ranked = keywords.withColumn("__n", F.row_number().over(Window.partitionBy(*on).orderBy(*place)))
+    # compared as it is, so that the optimizer limits each task's rows of a keyword before they are shuffled
+    return asked.join(ranked.filter(F.col("__n") <= most).withColumn("off_seq", F.col("__n") - 1).drop("__n"), on)
 
 
 def keyword_target(counted: DataFrame, n: str, only: str, *fallbacks: str) -> Column:
