@@ -114,3 +114,21 @@ def block_address(ref: Column, version: Column, dsize: Column) -> Column:
         F.when(version <= 16, F.floor(at / dsize)).otherwise(F.shiftright(at, 14)).cast("long").alias("block"),
         F.when(version <= 16, at % dsize).otherwise(at.bitwiseAND(F.lit(0x3FFF))).cast("long").alias("offset"),
     )
+
+
+def ternary(code: Column, pattern: Column, source: Column, destination: Column) -> Column:
+    """A ternary raster code (0 to 255) on packed pixels of 32 bits, held as numbers from 0.
+
+    Bit 4 p + 2 s + d of the code is the result where the three bits are p, s and
+    d; so the result joins the combinations whose bit is set, for all bits of a
+    pixel at once.
+    """
+    whole = F.lit(4294967295)
+    wide = code.cast("long")
+    out = F.lit(0).cast("long")
+    for k in range(8):
+        chosen = F.shiftright(wide, k).bitwiseAND(F.lit(1)) * whole
+        for bit, x in ((4, pattern), (2, source), (1, destination)):
+            chosen = chosen.bitwiseAND(x if k & bit else x.bitwiseXOR(whole))
+        out = out.bitwiseOR(chosen)
+    return out
