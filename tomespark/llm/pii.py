@@ -218,9 +218,9 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def mask_personal_data(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; a null text stays null."""
     keys = [F.xxhash64(text_col).alias("__t1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("__t2")]
-    found = candidates(docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("text")), "__t1", "__t2").filter(F.size("spans") > 0)
-    # copies of a text have the same spans: one row and their number
-    found = common.written(found.groupBy("__t1", "__t2").agg(F.first("spans").alias("spans"), F.count(F.lit(1)).alias("n")), "candidates")
+    found = candidates(docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("text")), "__t1", "__t2")
+    # copies of a text have the same spans: one row and their number; texts without any go after that, as a filter before it would search texts twice
+    found = common.written(found.groupBy("__t1", "__t2").agg(F.first("spans").alias("spans"), F.count(F.lit(1)).alias("n")).filter(F.size("spans") > 0), "candidates")
     # training counts the candidates of every copy
     patterns = found.select(F.explode(F.transform("spans", lambda x: x["v"])).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
     classifier = SpanClassifier({r["p"]: r["n"] for r in patterns.collect()})
