@@ -31,8 +31,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     and stay; rows that share the id of a document that goes, go with it. All
     columns stay as they are.
     """
-    dropped = near_dedup.near_duplicates(docs, words=5, similarity=0.8).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(common.written(dropped, "near-duplicates"), F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
+    dropped = near_dedup.near_duplicates(docs, words=5, similarity=0.8).filter(~F.col("kept")).select("doc_id").distinct()
+    return common.without(docs, common.written(dropped, "near-duplicates"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

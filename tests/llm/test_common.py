@@ -60,3 +60,15 @@ def test_only_local_mode_has_a_folder_of_its_own(spark):
 
     with pytest.raises(ValueError):
         common.shared_folder(Session(), "t")
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_rows_without_an_id_stay(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_DROPPED", most)
+    docs = spark.createDataFrame([(1, "a", 5), (1, "b", 6), (2, "c", 7), (None, "d", 8), (None, "d", 8)], "doc_id long, text string, __hit long")
+    dropped = common.written(spark.createDataFrame([(1,), (9,)], "doc_id long"), "dropped")
+    got = common.without(docs, dropped)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(2, "c", 7), (None, "d", 8), (None, "d", 8)], key=str)
+    assert common.without(docs, dropped.limit(0)).count() == 5
+    assert common.without(docs.limit(0), dropped).count() == 0

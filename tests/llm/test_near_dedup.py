@@ -114,3 +114,14 @@ def test_query_returns_the_contract_columns(spark, tmp_path):
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.op8_near_dedup(spark, str(tmp_path)).collect())
     assert got == [(d, n, c, d == c) for d, n, c in brute(rows, 3, 85)]
     assert (9002, 9001) in {(d, c) for d, _, c, _ in got}
+
+
+def test_hot_copies_and_a_hot_template(spark):
+    copy = "one two three four five six seven eight"
+    stem = " ".join(f"s{i}" for i in range(19))
+    rows = [(i, copy) for i in range(1500)] + [(2000 + i, f"{stem} last{i}") for i in range(1200)] + [(5000 + i, f"own{i} " * 6 + str(i)) for i in range(300)] + [(None, copy)] * 1200 + [(8000 + i, None) for i in range(1100)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, similarity=0.8).collect()
+    assert len(got) == len(rows)
+    found = {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None}
+    assert found == {d: 0 if d < 1500 else 2000 if d < 5000 else d for d, _ in rows if d is not None}
+    assert all(r["kept"] for r in got if r["doc_id"] is None) and sum(r["kept"] for r in got) == 2 + 300 + 1200 + 1100

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 HOT_SHARE, SALTS = 0.001, 64
 #: Bytes of text that a Python worker turns into objects at once, about; a longer text is handled alone.
 SLICE_BYTES = 8 << 20
+#: Ids (8 bytes each) that are broadcast at most to drop their rows; beyond, it's a shuffled join.
+BROADCAST_DROPPED = 1_000_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -62,6 +64,20 @@ def with_counts(rows: DataFrame, counts: DataFrame, keys: Sequence[str], salt: C
     return salted.join(many, [*keys, "__salt"], how).drop("__salt")
 
 
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns, whose id isn't in ``dropped`` (one column, distinct, a stored table).
+
+    Rows without an id stay; they take no part in the join, as they would all
+    be one task's. Both sides of a shuffled join are plain shuffles, so the
+    rows of an id that repeats often can be split at run time.
+    """
+    key = F.col(id_col).cast("long")
+    ids = dropped.toDF("__dropped")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_DROPPED else ids
+    named = docs.filter(key.isNotNull()).join(ids, key == F.col("__dropped"), "left_anti")
+    return named.unionByName(docs.filter(key.isNull()))
+
+
 def sliced(batches: Iterable, column: int) -> Iterator:
     """The record batches in slices of bounded bytes of text in the column of that number."""
     import numpy as np

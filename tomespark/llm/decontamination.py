@@ -181,10 +181,8 @@ def find_items(docs: DataFrame, items: DataFrame, *, share: float = SHARE, id_co
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The documents, all columns, that hold no item."""
-    found = common.written(find_items(docs, items, **how), "contaminated")
-    hit = found.select("doc_id").distinct()
-    key = how.get("id_col", "doc_id")
-    return docs.join(hit.withColumnRenamed("doc_id", "__hit"), docs[key].cast("long") == F.col("__hit"), "left_anti")
+    hit = find_items(docs, items, **how).select("doc_id").filter("doc_id is not null").distinct()
+    return common.without(docs, common.written(hit, "contaminated"), how.get("id_col", "doc_id"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

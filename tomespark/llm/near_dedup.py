@@ -41,8 +41,8 @@ from .components import components
 WIDTH = 2
 #: Documents in a block of a bucket, on average, and shingles in a block of full sets.
 BLOCK, BLOCK_SHINGLES = 2000, 1 << 18
-#: Ids of candidates (8 bytes each) that are broadcast at most to pick their texts; beyond, it's a shuffled join.
-BROADCAST_IDS = 1_000_000
+#: Rows of candidates (some 150 bytes each with their signatures) that are broadcast at most to pick their texts; beyond, it's a shuffled join.
+BROADCAST_ROWS = 200_000
 SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, a array<long>, b array<long>, sig binary"
 
 
@@ -140,8 +140,9 @@ def candidate_edges(classes: DataFrame, similarity: float, t: int) -> DataFrame:
     """A spanning forest of the candidate pairs. ``classes``: id, n, a, b, sig."""
     least = agreement(similarity, 2 * WIDTH * t)
     keyed = classes.select("id", F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same")).filter("size > 1")
-    members = keyed.join(shared, "key").select(F.xxhash64("size", "same").alias("bucket"), "size", "id").distinct()
+    shared = common.written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same")).filter("size > 1"), "shared-keys")
+    keys = classes.count() * t * t
+    members = common.with_counts(keyed, shared, ["key"], F.col("id"), keys, n="size").select(F.xxhash64("size", "same").alias("bucket"), "size", "id").distinct()
     signed = members.join(classes.select("id", "n", "sig"), "id")
     blocked = _blocks(signed.withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "bucket", "blocks")
 
@@ -164,10 +165,11 @@ def candidate_edges(classes: DataFrame, similarity: float, t: int) -> DataFrame:
 def exact_links(docs: DataFrame, groups: DataFrame, words: int, similarity: float, t: int) -> DataFrame:
     """A spanning forest of the exact links within each group. ``docs``: doc_id, text; ``groups``: id, label, n, sig."""
     least, percent = agreement(similarity, 2 * WIDTH * t), round(100 * similarity)
-    sizes = groups.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
-    placed = common.written(groups.join(sizes, "label"), "candidate-groups")
+    sizes = groups.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.count(F.lit(1)).alias("members"))
+    total = groups.count()
+    placed = common.written(common.with_counts(groups, sizes, ["label"], F.col("id"), total, n="members"), "candidate-groups")
     chosen = placed.withColumnRenamed("id", "doc_id")
-    texts = docs.join(F.broadcast(chosen) if placed.count() <= BROADCAST_IDS else chosen, "doc_id")
+    texts = docs.join(F.broadcast(chosen) if total <= BROADCAST_ROWS else chosen, "doc_id")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches, 5):
@@ -206,17 +208,18 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     docs = common.id_and_text(docs, id_col, text_col)
     t = sketches(similarity)
     signed = common.written(signatures(docs, words, t), "signatures")
-    with_set = signed.filter("n_shingles > 0 and doc_id is not null")
+    takes_part = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     same = ["h1", "h2", "n_shingles"]
-    classes = common.written(with_set.groupBy(*same).agg(F.min(F.struct("doc_id", "a", "b", "sig")).alias("first")).select(*same, F.col("first.doc_id").alias("id"), "first.a", "first.b", "first.sig"), "classes")
+    folded = signed.filter(takes_part).groupBy(*same).agg(F.min(F.struct("doc_id", "a", "b", "sig")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = common.written(folded.select(*same, "copies", F.col("first.doc_id").alias("id"), "first.a", "first.b", "first.sig"), "classes")
     nodes = classes.select("id", F.col("n_shingles").alias("n"), "a", "b", "sig")
     candidates = components(candidate_edges(nodes, similarity, t))
     grouped = candidates.join(nodes.select("id", "n", "sig").groupBy("id").agg(F.min(F.struct("n", "sig")).alias("s")).select("id", "s.n", "s.sig"), "id")
-    links = components(exact_links(docs, grouped, words, similarity, t))
-    of_class = classes.join(links.withColumnRenamed("label", "component"), "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", *same).join(of_class.withColumnRenamed("n_shingles", "n"), (F.col("doc_id").isNotNull()) & (signed["h1"] == of_class["h1"]) & (signed["h2"] == of_class["h2"]) & (signed["n_shingles"] == F.col("n")), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    links = components(exact_links(docs, common.written(grouped, "grouped"), words, similarity, t))
+    of_class = classes.join(links.withColumnRenamed("label", "component"), "id", "left").select(*same, "copies", F.coalesce("component", "id").alias("component_id"))
+    linked = common.with_counts(signed.filter(takes_part).select("doc_id", *same), of_class, same, F.col("doc_id"), signed.count(), n="copies")
+    alone = signed.filter(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
