@@ -25,7 +25,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +43,8 @@ POSITIVES, UNLABELLED = 6000, 12000
 BROADCAST_IDS = 2_000_000
 #: Tasks that sum the gradients of the scanning tasks, before the driver sums theirs.
 SUMMING = 64
+#: Rows of features that a worker holds at once.
+ROWS = 512
 HASHED = 768
 FEATURES = HASHED + 256 + 10
 THRESHOLD = 0.3
@@ -185,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     positive = positives.orderBy(*order(1)).limit(POSITIVES).withColumn("positive", F.lit(True))
     unlabelled = learned.select("doc_id").orderBy(*order(2)).limit(UNLABELLED).withColumn("positive", F.lit(False))
     picked = positive.unionByName(unlabelled).groupBy("doc_id").agg(F.max("positive").alias("p"), F.min("positive").alias("not_u"))
-    made = F.pandas_udf(lambda s: pd.Series([row.tobytes() for row in _rows(s).astype(np.float16)], dtype=object), "binary")
+    made = F.pandas_udf(lambda s: pd.Series(_each(s, lambda x: [row.tobytes() for row in x.astype(np.float16)]), dtype=object), "binary")
     sample = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "p", "not_u", made("text").alias("x"))
     rows = sample.groupBy("doc_id", "p", "not_u").agg(F.min("x").alias("x")).orderBy("doc_id").collect()  # one row an id
     p, u = (np.empty((sum(ok(r) for r in rows), FEATURES), dtype=np.float32) for ok in (lambda r: r["p"], lambda r: not r["not_u"]))
@@ -212,7 +214,7 @@ def whole_sums(rows: DataFrame, model: Model) -> Sums:
         mean, scale = model.mean.astype(np.float32), model.scale.astype(np.float32)
         for batch in common.sliced(batches, 1):
             p, raw = batch.column(0).to_numpy(zero_copy_only=False), common.raw_texts(batch.column(1))
-            for lo, hi in shingles.buffers(raw):
+            for lo, hi in _parts(raw):
                 x = (features(raw[lo:hi]) - mean) / scale
                 total += sums(x[p[lo:hi]], x, w, model.bias).packed()
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
@@ -229,17 +231,23 @@ def whole_sums(rows: DataFrame, model: Model) -> Sums:
     return Sums.unpacked(sum((np.frombuffer(r["v"]) for r in summed.orderBy("part").collect()), np.zeros(4 + 3 * (FEATURES + 1))))
 
 
-def _rows(texts: pd.Series) -> np.ndarray:
+def _parts(raw: Sequence[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts whose features are held together: of bounded bytes and rows."""
+    for lo, hi in shingles.buffers(raw):
+        yield from ((at, min(at + ROWS, hi)) for at in range(lo, hi, ROWS))
+
+
+def _each(texts: pd.Series, result: Callable[[np.ndarray], Iterable]) -> list:
+    """The results for the features of each text, so that only results are held for all texts of a batch."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    parts = [features(raw[lo:hi]) for lo, hi in shingles.buffers(raw)]
-    return np.vstack(parts) if parts else np.zeros((0, FEATURES), np.float32)
+    return [one for lo, hi in _parts(raw) for one in result(features(raw[lo:hi]))]
 
 
 def score(text: Column, model: Model | None) -> Column:
     """The model's probability that a text has label 1."""
     if model is None:
         return F.lit(0.5)
-    return F.pandas_udf(lambda s: pd.Series(model.scores(_rows(s)), dtype="float64"), "double")(text)
+    return F.pandas_udf(lambda s: pd.Series(_each(s, model.scores), dtype="float64"), "double")(text)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", model: Model | None = None) -> DataFrame:
