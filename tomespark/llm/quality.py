@@ -239,8 +239,12 @@ def _parts(raw: Sequence[bytes]) -> Iterator[tuple[int, int]]:
 
 def _each(texts: pd.Series, result: Callable[[np.ndarray], Iterable]) -> list:
     """The results for the features of each text, so that only results are held for all texts of a batch."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    return [one for lo, hi in _parts(raw) for one in result(features(raw[lo:hi]))]
+    found: list = []
+    for at in range(0, len(texts), ROWS):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts.iloc[at : at + ROWS]]
+        for lo, hi in _parts(raw):
+            found.extend(result(features(raw[lo:hi])))
+    return found
 
 
 def score(text: Column, model: Model | None) -> Column:

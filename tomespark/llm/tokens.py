@@ -22,8 +22,8 @@ from . import shingles
 
 #: Units whose ids a worker keeps, about (some 30 bytes each). Bounds memory, never results.
 CACHE_UNITS = 2_000_000
-#: Bytes of text that are encoded together, about; a longer text makes a buffer of its own size.
-CHUNK = 4 << 20
+#: Bytes of text that are encoded together, about (some 60 bytes of arrays each); a longer text makes a buffer of its own size.
+CHUNK = 1 << 20
 #: Unknown units that are joined into one string for the library.
 JOINED = 512
 #: Fixed value: the pre-tokenizer pattern under which units are independent.
