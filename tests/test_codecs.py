@@ -86,3 +86,70 @@ def test_macros():
     assert macros.parse("Contents") == []
     assert macros.parse('A(b(1,2),"c,)d") ; ;B( )C(') == [("A", ["b(1,2)", "c,)d"]), ("B", []), ("C", [])]
     assert macros.parse(None) == []
+
+
+def plain_lz77(data):
+    """The packer byte by byte, and one flag byte at a time."""
+    out, last, i = bytearray(), {}, 0
+    while i < len(data):
+        flags, body = 0, bytearray()
+        for bit in range(8):
+            if i >= len(data):
+                break
+            at, n = last.get(data[i : i + 3], -1) if i + 3 <= len(data) else -1, 0
+            if at >= 0 and i - at <= 4096:
+                while n < 18 and i + n < len(data) and data[i + n] == data[at + n]:
+                    n += 1
+            if n >= 3:
+                flags |= 1 << bit
+                body += ((n - 3) << 12 | (i - at - 1)).to_bytes(2, "little")
+            else:
+                body.append(data[i])
+            for k in range(i, i + max(n, 1) if n >= 3 else i + 1):
+                last[data[k : k + 3]] = k
+            i += n if n >= 3 else 1
+        out.append(flags)
+        out += body
+    return bytes(out)
+
+
+def test_packers_are_greedy_as_before_and_take_a_fraction_of_the_time():
+    import random
+    import time
+
+    from tomespark.functions import codecs
+    from tomespark.plans import file_queries
+
+    rng = random.Random(4)
+    texts = [bytes(rng.choices(b"abc the\n\x00", k=k)) for k in (0, 1, 2, 3, 4, 7, 8, 9, 20, 500, 9000)] + [b"a" * 300, bytes(range(256)) * 40]
+    for raw in texts:
+        assert codecs.lz77_pack(raw) == plain_lz77(raw)
+        assert codecs.lz77_expand(codecs.lz77_pack(raw)) == raw
+        assert codecs.rle_expand(codecs.rle_pack(raw), len(raw)) == raw
+        assert codecs.phrase3_expand(file_queries._phrase3(raw), file_queries._LOW, len(raw)) == raw
+        assert codecs.phrase4_expand(file_queries._phrase4(raw), file_queries._PHRASES, len(raw)) == raw
+    raw = " ".join(rng.choices(["the", "nation", "order", "wird", "and", "condition", "x"], k=30_000)).encode()
+
+    def seconds(f):
+        return min(_timed(f, time.perf_counter) for _ in range(3))
+
+    plain = seconds(lambda: plain_lz77(raw))
+    assert seconds(lambda: codecs.lz77_pack(raw)) < plain / 2
+    rare = " ".join(rng.choices(["quark", "blip", "wisp", "zigzag"], k=30_000) + ["the "] * 100).encode()  # few phrases
+    plain = seconds(lambda: plain_lz77(rare))
+    assert seconds(lambda: file_queries._phrase3(rare)) < plain / 3
+    assert seconds(lambda: file_queries._phrase4(rare)) < plain / 3
+
+
+def _timed(f, clock):
+    begin = clock()
+    f()
+    return clock() - begin
+
+
+def test_a_copy_that_ends_early_counts_for_nothing():
+    from tomespark.functions import codecs
+
+    packed = plain_lz77(b"abcdefgh abcdefgh abcdefgh")
+    for n in range(len(packed)):
+        assert b"abcdefgh abcdefgh abcdefgh".startswith(codecs.lz77_expand(packed[:n]))
