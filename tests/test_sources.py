@@ -137,3 +137,40 @@ def test_corpus_tables(spark, tmp_path):
     assert entries.filter("source = 'keyword'").count() == 48
     assert c.index_entries("K01").filter("file_key = 'File 0'").count() == 8
     assert c.links.filter("kind = 'jump'").count() == 120
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_built_and_decoded_once_by_a_set_number_of_tasks(spark):
+    from tomespark.plans import file_queries, rich_queries
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("hlp_subfile_lookup", "hlp_spans", "hlp_page_ops", "hlp_paragraphs", "hlp_tables", "hlp_wmf_ops", "hlp_wmf_texts", "hlp_images"):
+        plan = plan_of(rich_queries.QUERIES[name](spark, sf))
+        assert plan.count("MapInArrow") == 2 and "REPARTITION_BY_NUM" in plan and "Pandas" not in plan, name
+    for name in ("hlp_render", "hlp_page_by_ref", "hlp_topic_titles", "hlp_associations", "hlp_index_order", "hlp_route", "hlp_anchors"):
+        assert "InArrow" not in plan_of(rich_queries.QUERIES[name](spark, sf)), name  # from a stored table
+    assert "InArrow" not in plan_of(file_queries.QUERIES["hlp_links"](spark, sf))
+    for name in ("rle_roundtrip", "lz77_roundtrip", "phrase3_roundtrip", "phrase4_roundtrip"):
+        plan = plan_of(file_queries.QUERIES[name](spark, sf))
+        assert "MapInArrow" in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_only_named_columns_and_operations_are_decoded(spark):
+    from tomespark.plans import rich_queries
+
+    c = rich_queries.corpus(spark, "/root/testdata/sf0.001")
+    got = c.table("page_ops", ["page_idx", "seq", "op", "text"], ["TEXT", "MACRO"])
+    assert got.columns == ["file_key", "page_idx", "seq", "op", "text"]
+    assert sorted(got.collect()) == sorted(c.page_ops.filter("op in ('TEXT', 'MACRO')").select(got.columns).collect())
+
+
+def test_texts_are_packed_and_unpacked_by_slices(spark, monkeypatch):
+    from tomespark.plans import file_queries
+
+    monkeypatch.setattr(file_queries, "SLICE_BYTES", 10)
+    rows = [(k, None if k % 7 == 0 else "é" * (k % 13)) for k in range(100)]
+    got = file_queries._round_trip(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), lambda b: b)
+    assert sorted(map(tuple, got.collect())) == rows

@@ -6,19 +6,19 @@ Ten parts make a file, so a file's rows are bounded whatever the table's size.
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Collection
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomespark.functions import codecs
-from tomespark.operators import lookups, navigation
+from tomespark.operators import lookups, navigation, tables
 from tomespark.sources import store, writer
-from tomespark.sources.container import HelpFile
 from tomespark.sources.corpus import Corpus
 from tomespark.sources.store import StoredCorpus
 
+from .built import built, partitions
 from .file_queries import _phrase3, _phrase4
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,7 @@ def _query(sql: str):
 
 
 def _words(*values: int) -> bytes:
-    return b"".join(struct.pack("<H", v & 0xFFFF) for v in values)
+    return struct.pack(f"<{len(values)}H", *[v & 0xFFFF for v in values])
 
 
 def picture(p: int, s: int) -> bytes:
@@ -62,16 +62,26 @@ def picture(p: int, s: int) -> bytes:
     ])
 
 
-def rich_file(rows: pd.DataFrame) -> bytes:
-    parts = list(rows.sort_values("p_partkey")[COLUMNS.split(", ")].itertuples(index=False, name=None))
+@cache
+def _phrase_tables() -> tuple[bytes, tuple[bytes, bytes]]:
+    """The older table, with the control bytes that its writer needs, and the newer one: alike in all files."""
+    return writer.phrase_table([*WORDS, *(bytes([k]) for k in range(16))]), writer.phrase_index(WORDS)
+
+
+def rich_file(parts: list[tuple]) -> bytes:
+    """A file of parts (COLUMNS) in the order of their keys."""
     key = int(parts[0][0]) // 10
     newer = key % 2 == 1  # which phrase table the file has
 
-    def pages(scrolls: list[int | None]) -> list:
+    def title(k: int, scroll: int | None):
+        p, name = parts[k][:2]
+        return writer.header((b"" if p % 13 == 0 else name.encode()) + b"\0" + f"Back({p})".encode() + b"\0plain", scroll=scroll, backward=p, forward=p + 1)
+
+    def pages() -> list:
         out = []
-        for k, (p, name, brand, _, s) in enumerate(parts):
+        for k, (p, _, brand, _, s) in enumerate(parts):
             macro = [f'JumpId("f", `part_{p + 1}\')', f"PopupId(f, part_{p})", f"KLink(`{brand}')", "JumpContents(f)", f"JC(f,{p})", "Print()", f"JumpId(f, part_{p}); Back()"][p % 7].encode()
-            out.append(writer.header((b"" if p % 13 == 0 else name.encode()) + b"\0" + f"Back({p})".encode() + b"\0plain", scroll=scrolls[k], backward=p, forward=p + 1))
+            out.append(title(k, None))
             own = writer.layout((s, s + 1, -s, 2 * s, 3, -4), (1, p % 100), (p % 50, 100), (0x000, 0x400, 0x800)[p % 3])
             link = lambda code, to: bytes([code]) + struct.pack("<i", codecs.hash43(f"part_{to}"))
             out.append(writer.formatted([(b"head", b"\x80" + struct.pack("<H", k)), (f"styled {s}".encode(), b"\x83"), (b"", b"\x81"), (b"x", b"\x8b"), (b"y", b"\x8c"), (b"", link(0xE3, p + 1)), (b"next", b"\x89"), (b"", link(0xE2, p)), (b"pop", b"\x89")], own))
@@ -79,21 +89,24 @@ def rich_file(rows: pd.DataFrame) -> bytes:
             out.append(writer.formatted([(b"", b"\xc8" + struct.pack("<H", len(macro) + 1) + macro + b"\0"), (b"do", b"\x89"), (b"", b"\xeb" + struct.pack("<H", len(far)) + far), (b"far", b"\x89"), (b"", b"\x86\x03" + writer.wide_signed(4) + struct.pack("<HH", 0, k)), (b"", b"\x82"), (b"end", b"")]))
             out.append(writer.table(p % 2, 32767, [(5, s), (7, p % 100)], [(0, f"a{p}".encode()), (1, b"b"), (0, b"c")]))
             text = f"the quick{p} brown fox and the ".encode()
-            kind, d, head, whole, _ = writer.formatted([(text, b"")])
+            kind, _, head, whole, _ = writer.formatted([(text, b"")])
             code = (lambda b: _phrase4(b, WORDS)) if newer else (lambda b: _phrase3(b, WORDS))
             out.append(writer.record(kind, head, whole, code(whole)))
         return out
 
     version, flags = 21, 0
-    _, refs = writer.topic(pages([None] * len(parts)), version, flags)
-    topic, _ = writer.topic(pages([refs[5 * k + 2] if k % 2 else None for k in range(len(parts))]), version, flags)
+    records = pages()
+    refs = writer.references(records, version, flags)
+    for k in range(1, len(parts), 2):  # a reference is as long as none, so no record moves
+        records[5 * k] = title(k, refs[5 * k + 2])
+    topic, _ = writer.topic(records, version, flags)
     named = {"|SYSTEM": writer.system(version, flags, f"Parts {key}".encode(), [(4, b"About()\0")]), "|TOPIC": topic}
     if newer:
-        named["|PhrIndex"], named["|PhrImage"] = writer.phrase_index(WORDS)
+        named["|PhrIndex"], named["|PhrImage"] = _phrase_tables()[1]
     else:
-        named["|Phrases"] = writer.phrase_table([*WORDS, *(bytes([k]) for k in range(16))])
+        named["|Phrases"] = _phrase_tables()[0]
     named["|FONT"] = writer.fonts([brand.encode() for _, _, brand, _, _ in parts], [(p % 64, s, p % 6, k, p % 4096, s) for k, (p, _, _, _, s) in enumerate(parts)])
-    offsets = [p["topic_offset"] for p in HelpFile(writer.container(named)).pages]
+    offsets = writer.page_offsets(records, version, flags)
     context = sorted((codecs.hash43(f"part_{p}"), o) for (p, *_), o in zip(parts, offsets))
     named["CONTEXT" if newer else "|CONTEXT"] = writer.tree([(struct.pack("<i", h), struct.pack("<ii", h, o)) for h, o in context], 64)
     for tree, column in (("K", 2), ("A", 3)):
@@ -117,21 +130,23 @@ def rich_file(rows: pd.DataFrame) -> bytes:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus(spark, files(spark, sf_dir))
+    made = files(spark, sf_dir)
+    return Corpus(spark, made, placed=partitions(made))
 
 
-def stored(spark: SparkSession, sf_dir: str) -> StoredCorpus:
-    """The same corpus, each file decoded once for all tables."""
-    return store.save(corpus(spark, sf_dir))
+def stored(spark: SparkSession, sf_dir: str, names: dict[str, Collection[str] | None], ops: Collection[str] | None = None) -> StoredCorpus:
+    """The same corpus, each file built and decoded once for all tables (with the columns and operations that are read)."""
+    return store.save(corpus(spark, sf_dir), names=names, ops=ops)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(*COLUMNS.split(", "), F.format_string("p%06d", F.floor(F.col("p_partkey") / 10)).alias("file_key"))
+    return built(part.select("file_key", *COLUMNS.split(", ")), "p_partkey", lambda rows: rich_file([row[1:] for row in rows]))
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"file_key": rows["file_key"].iloc[:1], "content": [rich_file(rows)]})
 
-    return part.groupBy("file_key").applyInPandas(build, "file_key string, content binary")
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of all files, without making the files."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.format_string("p%06d", F.floor(F.col("p_partkey") / 10)).alias("file_key")).distinct()
 
 
 _P = "(select p_partkey p, case when p_partkey % 13 = 0 then '' else p_name end p_name, p_brand, p_type, p_size s, printf('p%06d', p_partkey // 10) file_key, (row_number() over (partition by p_partkey // 10 order by p_partkey) - 1)::int k from part)"
@@ -186,7 +201,7 @@ _MACRO = """(select *, ['JumpId("f", `part_' || (p + 1) || chr(39) || ')', 'Popu
 @_query(f"select file_key, page_idx, (row_number() over (partition by file_key, page_idx order by n) - 1)::int seq, op, text from (select file_key, k page_idx, {_OPS} from {_MACRO})")
 def hlp_page_ops(spark, sf_dir):
     """All operations of a page in order; texts of the last paragraph come through a stored phrase table of either kind."""
-    return corpus(spark, sf_dir).page_ops.select("file_key", "page_idx", "seq", "op", F.coalesce("text", F.lit("")).alias("text"))
+    return corpus(spark, sf_dir).table("page_ops", ["page_idx", "seq", "op", "text"]).select("file_key", "page_idx", "seq", "op", F.coalesce("text", F.lit("")).alias("text"))
 
 
 @_query(f"""
@@ -196,7 +211,7 @@ select file_key, k page_idx, kind, source, n::bigint n, target_page, file from (
   || case when p % 2 = 0 then [{{kind: 'jump', source: 'hotspot', n: 1, target_page: next_k, file: null}}, {{kind: 'popup', source: 'hotspot', n: 1, target_page: k, file: null}}, {{kind: 'macro', source: 'hotspot', n: 1, target_page: null, file: null}}] else [] end, recursive := true) from l)""")
 def hlp_link_kinds(spark, sf_dir):
     """Every link of a page by kind, with the page that it leads to; unknown contexts lead nowhere."""
-    c = stored(spark, sf_dir)
+    c = stored(spark, sf_dir, {"page_ops": store.LINKS, "pages": ["page_idx", "topic_offset"]}, ["LINK_START", "HOTSPOT_LINK"])
     pages = c.pages.select("file_key", F.col("topic_offset").alias("target_offset"), F.col("page_idx").alias("target_page"))
     return c.links.join(pages, ["file_key", "target_offset"], "left").select("file_key", "page_idx", "kind", "source", F.lit(1).cast("long").alias("n"), "target_page", "file")
 
@@ -214,7 +229,7 @@ def hlp_images(spark, sf_dir):
 with l as (select a.*, b.k next_k from {_P} a left join {_P} b on b.file_key = a.file_key and b.p = a.p + 1)
 select file_key, k bm_index, unnest([{{seq: 0, kind: 'jump', target_page: next_k, x: 1, y: 2, w: s, h: 4, macro: null}}, {{seq: 1, kind: 'popup', target_page: k, x: 5, y: 6, w: 7, h: s, macro: null}}, {{seq: 2, kind: 'macro', target_page: null, x: s, y: 9, w: 10, h: 11, macro: 'About(' || p || ')'}}], recursive := true) from l where p % 2 = 0""")
 def hlp_hotspots(spark, sf_dir):
-    c = corpus(spark, sf_dir)
+    c = stored(spark, sf_dir, {"hotspots": None, "pages": ["page_idx", "topic_offset"]})
     pages = c.pages.select("file_key", F.col("topic_offset").alias("target_offset"), F.col("page_idx").alias("target_page"))
     return c.hotspots.join(pages, ["file_key", "target_offset"], "left").select("file_key", "bm_index", "seq", "kind", "target_page", "x", "y", "w", "h", "macro")
 
@@ -247,7 +262,7 @@ def hlp_wmf_ops(spark, sf_dir):
 select file_key, k bm_index, unnest(['abc', 'h' || ['ΐ', 'À', 'À', chr(1456), chr(1729), 'Ą', 'А', 'ภ', 'Ŕ', 'À'][p % 10 + 1]]) said from {_P} where p % 2 = 1""")
 def hlp_wmf_texts(spark, sf_dir):
     """Texts of a metafile in the character set of the font that holds there."""
-    return corpus(spark, sf_dir).wmf_ops.filter("op = 'TEXT'").select("file_key", "bm_index", "said")
+    return corpus(spark, sf_dir).table("wmf_ops", ["bm_index", "said"], ["TEXT"])
 
 
 @_query(f"""
@@ -256,7 +271,8 @@ with e as (select file_key, 'keyword' source, p_brand text, count(*) n_offsets,
 select file_key, source, text, n_offsets, (row_number() over (partition by file_key order by lower(text), source, seq))::int as position from e""")
 def hlp_index_order(spark, sf_dir):
     """The index of each file in its order: keywords, and titles of pages that no keyword leads to; empty titles stay out."""
-    return lookups.index_order(corpus(spark, sf_dir).index_entries(), ["file_key"]).select("file_key", "source", "text", "n_offsets", "position")
+    c = stored(spark, sf_dir, {"keywords": None, "pages": ["page_idx", "topic_offset", "title"]})
+    return lookups.index_order(c.index_entries(), ["file_key"]).select("file_key", "source", "text", "n_offsets", "position")
 
 
 @_query(f"select file_key, n::int phrase_idx, phrase from (select distinct file_key, p // 10 f from {_P}), (values (0, 'the '), (1, 'quick'), (2, 'brown fox'), (3, ' and ')) v(n, phrase)")
@@ -271,7 +287,7 @@ select file_key, k page_idx, macro, case when target is not null then case when
  select *, case p % 7 when 0 then next_k when 1 then k when 2 then case when n = 1 then only_k end when 3 then 0 end target from m) where p % 7 <> 4""")
 def hlp_macro_targets(spark, sf_dir):
     """Where the macros of a page lead: ids by hash, keywords with one offset, contents; others nowhere."""
-    c = stored(spark, sf_dir)
+    c = stored(spark, sf_dir, {"page_ops": ["page_idx", "op", "text"], "context": None, "keywords": None, "pages": ["page_idx", "topic_offset"]}, ["MACRO"])
     macros = c.page_ops.filter("op = 'MACRO' and text not like 'Back(%' and text not like 'About(%' and text not like 'JC(%'").select("file_key", "page_idx", F.col("text").alias("macro"))
     found = navigation.macro_targets(macros, c.context, c.keywords)
     return c.asof_page(found.withColumn("topic_offset", F.col("target_offset")).withColumnRenamed("page_idx", "on_page")).select(
@@ -282,7 +298,7 @@ def hlp_macro_targets(spark, sf_dir):
 @_query(f"select file_key, p, case when p % 3 = 0 then 'index' end page, case when p % 3 = 0 then p_brand else '' end query, case when p % 3 <> 0 then k end page_idx from {_P}")
 def hlp_route(spark, sf_dir):
     """Links to a topic lead to its page, links to the index keep their query."""
-    c = corpus(spark, sf_dir)
+    c = stored(spark, sf_dir, {"context": None, "pages": ["page_idx", "topic_offset"]})
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", F.format_string("p%06d", F.floor(F.col("p_partkey") / 10)).alias("file_key"))
     place = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("/index/"), F.replace("p_brand", F.lit("#"), F.lit("%23")))).otherwise(F.concat(F.lit("/topic-"), F.col("topic_offset").cast("string")))
     context = c.resolve_hash(part.withColumn("hash", _hash_of("p_partkey"))).select("p_partkey", F.concat("file_key", place).alias("link"))
@@ -317,7 +333,7 @@ def hlp_spans(spark, sf_dir):
 @_query(f"select file_key, k page_idx, p_name title, 1::bigint n_links from {_P}")
 def hlp_render(spark, sf_dir):
     """The page that each context hash leads to, rendered; here its title and its link to other files."""
-    c = corpus(spark, sf_dir)
+    c = stored(spark, sf_dir, {"context": None, "pages": ["page_idx", "topic_offset"], "page_ops": ["page_idx", "op", "text", "file"]}, ["PAGE_START", "LINK_START"])
     rendered = c.render(c.resolve_hash(c.context.select("file_key", "hash")))
     return rendered.groupBy("file_key", "page_idx").agg(F.max(F.when(F.col("op") == "PAGE_START", F.col("text"))).alias("title"), F.count(F.when(F.col("file") == "other.hlp", 1)).alias("n_links"))
 
@@ -329,15 +345,16 @@ from f, (values ('|FONT'), ('|SYSTEX')) v(name)""")
 def hlp_subfile_lookup(spark, sf_dir):
     """Subfiles by name; a name that isn't there has no payload."""
     c = corpus(spark, sf_dir)
-    asked = c.files.select("file_key", F.explode(F.array(F.lit("|FONT"), F.lit("|SYSTEX"))).alias("name"))
-    return c.subfile(asked).select("file_key", "name", F.length("payload").cast("long").alias("n_bytes"))
+    asked = keys(spark, sf_dir).select("file_key", F.explode(F.array(F.lit("|FONT"), F.lit("|SYSTEX"))).alias("name"))
+    return c.subfile(asked, F.length("payload").cast("long"), "n_bytes")
 
 
 @_query(f"select distinct file_key, p // 10 % 2 = 1 bare, true as found from {_P}")
 def hlp_bare_names(spark, sf_dir):
     """A directory may hold a name without its leading bar; it's found all the same."""
-    c = corpus(spark, sf_dir)
-    found = c.subfile(c.files.select("file_key", F.lit("|CONTEXT").alias("name"))).select("file_key", F.col("payload").isNotNull().alias("found"))
+    c = stored(spark, sf_dir, {"subfiles": ["name", "offset", "payload"]})
+    asked = keys(spark, sf_dir).withColumn("name", F.lit("|CONTEXT"))
+    found = c.subfile(asked, F.when(F.col("payload").isNotNull(), True), "found").select("file_key", F.coalesce("found", F.lit(False)).alias("found"))
     bare = c.subfiles.filter("name like '%CONTEXT'").select("file_key", (~F.col("name").startswith("|")).alias("bare"))
     return bare.join(found, "file_key")
 
@@ -345,7 +362,7 @@ def hlp_bare_names(spark, sf_dir):
 @_query(f"select file_key, k asked, unnest([{{'by': 'same', page_idx: k}}, {{'by': 'after', page_idx: k}}, {{'by': 'before', page_idx: case when k > 0 then k - 1 end}}], recursive := true) from {_P}")
 def hlp_page_by_ref(spark, sf_dir):
     """The page of a record reference: its own, one inside the page, one before it."""
-    c = corpus(spark, sf_dir)
+    c = stored(spark, sf_dir, {"pages": ["page_idx", "ref", "topic_offset"]})
     refs = c.pages.select("file_key", F.col("page_idx").alias("asked"), F.explode(F.array(*(F.struct(F.lit(by).alias("by"), (F.col("ref") + d).alias("ref")) for by, d in (("same", 0), ("after", 1), ("before", -1))))).alias("r")).select("file_key", "asked", "r.*")
     return c.page_of_ref(refs).select("file_key", "asked", "by", "page_idx")
 
@@ -369,7 +386,7 @@ def cached_order(spark, sf_dir):
 @_query(f"select file_key, k page_idx, (case when p % 2 = 0 then 2 else 1 end)::bigint n_popups, p_name title from {_P}")
 def hlp_popups(spark, sf_dir):
     """The pages that popup links open, by hash, with how many links open each: one in the text, and one on an image where the page has one."""
-    c = stored(spark, sf_dir)
+    c = stored(spark, sf_dir, {"page_ops": store.LINKS, "pages": ["page_idx", "topic_offset"]}, ["LINK_START", "HOTSPOT_LINK", "PAGE_START"])
     opened = c.render(c.links.filter("kind = 'popup'").select("file_key", F.col("target_offset").alias("topic_offset")))
     return opened.filter("op = 'PAGE_START'").groupBy("file_key", "page_idx").agg(F.count(F.lit(1)).alias("n_popups"), F.max("text").alias("title"))
 
@@ -377,7 +394,7 @@ def hlp_popups(spark, sf_dir):
 @_query(f"select file_key, p_type keyword, count(*) n_offsets, min(k)::int first_page from {_P} group by all")
 def hlp_associations(spark, sf_dir):
     """The other keyword tree: associative words and the first page of each."""
-    c = corpus(spark, sf_dir)
+    c = stored(spark, sf_dir, {"keywords": None, "pages": ["page_idx", "topic_offset"]})
     words = c.keywords.filter("tree = 'A'").select("file_key", "keyword", "topic_offset")
     return c.asof_page(words).groupBy("file_key", "keyword").agg(F.count(F.lit(1)).alias("n_offsets"), F.min("page_idx").alias("first_page"))
 
@@ -386,8 +403,8 @@ def hlp_associations(spark, sf_dir):
 select file_key, k page_idx, unnest([{{asked: 'exact', anchor: 1}}, {{asked: 'below', anchor: 0}}, {{asked: 'none', anchor: 0}}], recursive := true) from {_P}""")
 def hlp_anchors(spark, sf_dir):
     """Paragraphs as anchors within a page: an exact offset, the last one below another, or the first one."""
-    c = stored(spark, sf_dir)
-    places = c.paragraphs.select("file_key", "page_idx", "para_offset", "seq")
+    found = corpus(spark, sf_dir).table("page_ops", ["page_idx", "seq", "target"], ["PARAGRAPH"])
+    places = tables.written(found.select("file_key", "page_idx", F.col("target").alias("para_offset"), "seq"), "paragraphs")
     first = lookups.first_of(places, ["file_key", "page_idx"], ["seq"]).select("file_key", "page_idx", F.col("para_offset").alias("__first"))
     second = lookups.first_of(places.join(first, ["file_key", "page_idx"]).filter("para_offset > __first"), ["file_key", "page_idx"], ["seq"]).select("file_key", "page_idx", F.col("para_offset").alias("__second"), "__first")
     asked = second.select("file_key", "page_idx", F.explode(F.array(*(F.struct(F.lit(name).alias("asked"), at.alias("offset")) for name, at in (("exact", F.col("__second")), ("below", F.col("__second") - 1), ("none", F.lit(-1).cast("long")))))).alias("a"), "__first", "__second").select("file_key", "page_idx", "a.*", "__first", "__second")
@@ -398,7 +415,7 @@ def hlp_anchors(spark, sf_dir):
 @_query(f"select file_key, k page_idx, case when k = 0 then 'Topic at 0' else p_name end title from {_P} where k = 0 or p_name <> ''")
 def hlp_topic_titles(spark, sf_dir):
     """The picker of several offsets: the title of each one's page, or the offset itself where there is none."""
-    c = corpus(spark, sf_dir)
+    c = stored(spark, sf_dir, {"pages": ["page_idx", "topic_offset", "title"]})
     asked = c.pages.filter("page_idx = 0 or title <> ''").select("file_key", "page_idx", F.when(F.col("page_idx") == 0, 0).otherwise(F.col("topic_offset")).cast("long").alias("topic_offset"))
     titled = c.pages.filter("page_idx > 0")
     return lookups.topic_titles(asked.withColumnRenamed("page_idx", "asked"), titled, ["file_key"]).select("file_key", F.col("asked").alias("page_idx"), "title")

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from tomespark.operators import tables
 
 from .container import BadFile, HelpFile
-from .corpus import TABLES, Corpus
-from .datasource import columns_of
+from .corpus import TABLES, Corpus, columns_of, split
 
 BATCH_ROWS = 500
+#: Columns of page_ops that Corpus.links reads.
+LINKS = ("page_idx", "seq", "op", "kind", "target", "file", "text")
 
 
 class StoredCorpus(Corpus):
@@ -43,6 +44,11 @@ class StoredCorpus(Corpus):
             raise ValueError(f"the store holds only {', '.join(self.manifest['rows'])}")
         return self.spark.table(self.name).filter(F.col("part_of") == name).select("file_key", f"{name}.*")
 
+    def table(self, name: str, columns: Collection[str] | None = None, ops: Collection[str] | None = None) -> DataFrame:
+        held = getattr(self, name)
+        held = held if ops is None else held.filter(F.col("op").isin(*ops))
+        return held if columns is None else held.select("file_key", *(c for c in held.columns if c in columns))
+
     @property
     def errors(self) -> DataFrame:
         return self.spark.table(self.name).filter("part_of = 'errors'").select("file_key", F.col("errors.message").alias("message"))
@@ -53,17 +59,20 @@ class StoredCorpus(Corpus):
         tables.deleted(self.spark, self.path)
 
 
-def save(corpus: Corpus, path: str | None = None, names: list[str] | None = None, buckets: int | None = None) -> StoredCorpus:
+def save(corpus: Corpus, path: str | None = None, names: Collection[str] | dict[str, Collection[str] | None] | None = None, buckets: int | None = None, ops: Collection[str] | None = None) -> StoredCorpus:
     """Decode every file of a corpus once and store its tables (all, or those named) under ``path``.
 
-    ``path``: in the shared folder by default. ``buckets``: tasks of later joins,
+    ``names``: tables, or tables with the columns that are kept (None: all).
+    ``ops``: the operations of pages that are kept, all by default. ``path``: in the shared folder by default. ``buckets``: tasks of later joins,
     spark.sql.shuffle.partitions by default.
     """
     spark, stride = corpus.spark, corpus.font_stride
-    names = list(names or TABLES)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chosen = dict(names) if isinstance(names, dict) else dict.fromkeys(names or TABLES)
+    names = list(chosen)
+    kept = {n: [c.split(" ", 1)[0] for c in columns_of(n, chosen[n])] for n in names}
+    buckets = buckets or corpus.placed or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = path or tables.shared_folder(spark, "help-store")
-    columns = ", ".join(f"{n} struct<{', '.join(_field(c) for c in columns_of(TABLES[n][0]))}>" for n in names)
+    columns = ", ".join(f"{n} struct<{', '.join(_field(c) for c in columns_of(n, chosen[n]))}>" for n in names)
     schema = spark.createDataFrame([], f"file_key string, part_of string, errors struct<message:string>, {columns}").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +92,10 @@ def save(corpus: Corpus, path: str | None = None, names: list[str] | None = None
                 yield {"file_key": key, "part_of": "errors", "errors": {"message": str(e)}}
             for name in names:
                 try:
-                    yield from ({"file_key": key, "part_of": name, name: row} for row in TABLES[name][1](file))
+                    own = kept[name]
+                    for row in TABLES[name][1](file):
+                        if ops is None or name != "page_ops" or row["op"] in ops:
+                            yield {"file_key": key, "part_of": name, name: {c: row.get(c) for c in own}}
                 except BadFile:
                     pass  # the rows before the fault stay, as in a table that is decoded alone
 
@@ -98,7 +110,8 @@ def save(corpus: Corpus, path: str | None = None, names: list[str] | None = None
             yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
     # Files are placed by bucket before they are decoded, so what moves is their packed bytes.
-    placed = corpus.files.select("file_key", "content").repartition(buckets, "file_key")
+    placed = corpus.files.select("file_key", "content")
+    placed = placed if corpus.placed == buckets else placed.repartition(buckets, "file_key")
     name = f"help_store_{uuid.uuid4().hex}"
     placed.mapInArrow(run, schema).write.partitionBy("part_of").bucketBy(buckets, "file_key").option("path", f"{path}/rows").format("parquet").saveAsTable(name)
     counted = {r["part_of"]: r["n"] for r in spark.table(name).groupBy("part_of").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a table
@@ -112,7 +125,7 @@ def load(spark: SparkSession, path: str) -> StoredCorpus:
     manifest = json.loads(spark.read.schema("manifest string").json(f"{path}/manifest").first()["manifest"])
     name = f"help_store_{uuid.uuid4().hex}"
     columns = manifest["schema"].removeprefix("struct<").removesuffix(">")
-    ddl = ", ".join(c.replace(":", " ", 1) for c in columns_of(columns))
+    ddl = ", ".join(c.replace(":", " ", 1) for c in split(columns))
     spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet OPTIONS (path '{path}/rows') PARTITIONED BY (part_of) CLUSTERED BY (file_key) INTO {manifest['buckets']} BUCKETS")
     spark.sql(f"MSCK REPAIR TABLE {name}")
     return StoredCorpus(spark, name, path, manifest)
