@@ -30,3 +30,17 @@ def test_chains_trees_cycles_and_dangling_pointers(spark):
 def test_empty(spark):
     rows = spark.createDataFrame([(1, 2)], "page long, back long").limit(0)
     assert chains.follow(rows, "page", "back").count() == 0
+
+
+def test_contraction_gives_the_same_and_moves_a_few_times_the_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(i, i - 1 if i else None) for i in range(3000)]  # one long chain, which doubling alone writes in each of its rounds
+    pairs += [(5000 + i, rng.choice([None, 9999, *range(5000, 5000 + i)]) if i else None) for i in range(60)]
+    pairs += [(7000 + i, 7000 + (i + 1) % 40) for i in range(40)] + [(7100, 7003), (7101, 7100), (7200, 7200)]  # a ring, ways into it
+    monkeypatch.setattr(chains, "FEW_ROWS", 400)
+    written, kept = [], chains.shared_folder
+    monkeypatch.setattr(chains, "shared_folder", lambda s, n: written.append(kept(s, n)) or written[-1])
+    sizes, gone = [], chains.deleted
+    monkeypatch.setattr(chains, "deleted", lambda s, p: sizes.append(s.read.parquet(p).count()) or gone(s, p))
+    assert got(spark, pairs) == plain(pairs)
+    assert sum(sizes) < 8 * len(pairs)
