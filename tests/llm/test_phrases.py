@@ -117,3 +117,12 @@ def test_counts_beyond_64_bit_products(spark):
 def test_empty(spark):
     assert phrases.collocations(frame(spark, [("a b", "en")]).limit(0)).count() == 0
     assert phrases.collocations(frame(spark, [(None, None), ("", "en")])).count() == 0
+
+
+def test_slices_of_texts_are_small():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["word " * 20_000] * 100), pa.array(["en"] * 100)], names=["text", "lang"])  # 10 MB
+    slices = list(phrases._slices([batch]))
+    assert sum(len(texts) for texts, _ in slices) == 100
+    assert max(sum(map(len, texts)) for texts, _ in slices) <= phrases.SLICE_BYTES + 100_000 < 4 << 20

@@ -78,8 +78,8 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     return named.unionByName(docs.filter(key.isNull()))
 
 
-def sliced(batches: Iterable, column: int) -> Iterator:
-    """The record batches in slices of bounded bytes of text in the column of that number."""
+def sliced(batches: Iterable, column: int, most: int | None = None) -> Iterator:
+    """The record batches in slices of bounded bytes (SLICE_BYTES by default) of text in the column of that number."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -87,7 +87,7 @@ def sliced(batches: Iterable, column: int) -> Iterator:
         if not batch.num_rows:
             continue
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        part = (size - 1) // SLICE_BYTES
+        part = (size - 1) // (most or SLICE_BYTES)
         cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)

@@ -37,6 +37,8 @@ MAX_WORDS, LEAST, TOP = 4, 30, 2000
 COVERED = (80, 100)
 #: Frequent words of all languages that are sent to every worker, at most: 8 bytes each.
 BROADCAST_WORDS = 4_000_000
+#: Bytes of text whose words are arrays at once, about: some 25 times as many bytes.
+SLICE_BYTES = 2 << 20
 HASHES = [f"w{j}" for j in range(1, MAX_WORDS + 1)]
 
 _GAP, _BREAK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -60,7 +62,7 @@ def _words(texts: list[bytes], langs: list[str], seed: int) -> tuple[np.ndarray,
 
 def _slices(batches) -> Iterator[tuple[list[bytes], list[str]]]:
     """Texts and languages, in slices of bounded bytes."""
-    for part in common.sliced(batches, 0):
+    for part in common.sliced(batches, 0, SLICE_BYTES):
         yield common.raw_texts(part.column(0)), part.column(1).to_pylist()
 
 
@@ -297,7 +299,8 @@ ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT doc, lang, generate_subscripts(ps, 1) AS piece, unnest(ps) AS piece_text FROM (SELECT doc, lang, regexp_split_to_array(t, '[.,;:!?
--]') AS ps FROM d)),
+-
+]') AS ps FROM d)),
 w AS (SELECT lang, list_filter(regexp_split_to_array(piece_text, '[ 	]+'), lambda x: x <> '') AS ws FROM p),
 g AS (SELECT lang, k, ws[i:i + k - 1] AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS sizes(k))),
 c AS (SELECT lang, k AS words, phrase, count(*) AS f FROM g GROUP BY ALL),
