@@ -174,3 +174,18 @@ def test_texts_are_packed_and_unpacked_by_slices(spark, monkeypatch):
     rows = [(k, None if k % 7 == 0 else "é" * (k % 13)) for k in range(100)]
     got = file_queries._round_trip(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), lambda b: b)
     assert sorted(map(tuple, got.collect())) == rows
+
+
+def test_the_first_bitmap_plays_no_other_record(monkeypatch):
+    from tomespark.plans import rich_queries
+    from tomespark.sources import metafile
+
+    for p in (1, 2, 255, 1279):
+        drawn = rich_queries.picture(p, 9)
+        first = next(o for o in metafile.operations(drawn) if o["op"] == "DIB_BLIT")
+        with monkeypatch.context() as m:
+            m.setattr(metafile, "RECORDS", {k: metafile.RECORDS[k] for k in metafile.BITMAPS})
+            assert metafile.first_bitmap(drawn) == first
+    assert metafile.first_bitmap(drawn[:18]) is None
+    with pytest.raises(metafile.BadMetafile):
+        metafile.first_bitmap(drawn[:9])
