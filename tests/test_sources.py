@@ -189,3 +189,20 @@ def test_the_first_bitmap_plays_no_other_record(monkeypatch):
     assert metafile.first_bitmap(drawn[:18]) is None
     with pytest.raises(metafile.BadMetafile):
         metafile.first_bitmap(drawn[:9])
+
+
+def rich(n=4):
+    from tomespark.plans import rich_queries
+
+    return rich_queries.rich_file([(10 + k, f"name {k}", "Brand", "type", 7) for k in range(n)])
+
+
+def test_unwanted_operations_are_counted_and_not_made(monkeypatch):
+    every = list(topics.page_ops(HelpFile(rich())))
+    assert [r["seq"] for r in every if r["page_idx"] == 1] == list(range(sum(r["page_idx"] == 1 for r in every)))
+    for op in sorted({r["op"] for r in every}):
+        assert list(topics.page_ops(HelpFile(rich()), {op})) == [r for r in every if r["op"] == op], op
+    file = HelpFile(rich())
+    file.pages  # noqa: B018
+    monkeypatch.setattr(HelpFile, "text", lambda self, raw: pytest.fail("a text was decoded") if b"quick" in raw else "")
+    assert len(list(topics.page_ops(file, {"TABLE_START"}))) == 4

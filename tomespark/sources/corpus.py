@@ -29,10 +29,6 @@ def _info(f: HelpFile) -> Iterator[dict]:
     yield {k: i[k] for k in ("version", "flags", "charset", "lcid", "scale", "compressed", "tbsize", "dsize", "contents_start", "sr_color", "nsr_color")} | {"title": f.text(i["title"]), "copyright": f.text(i["copyright"])}
 
 
-def _ops(f: HelpFile) -> Iterator[dict]:
-    return topics.page_ops(f)
-
-
 WMF_COLUMNS = (
     "op string, rect array<int>, points array<struct<x:int,y:int>>, sizes array<int>, style int, pen_width int, color long, hatch int, mode int, rop long, width int, height int, "
     "rgba binary, text binary, said string, font_height int, weight int, italic int, angle int, charset int"
@@ -52,7 +48,7 @@ TABLES: dict[str, tuple[str, Callable[[HelpFile], Iterator[dict]]]] = {
     "page_ops": (
         "page_idx int, seq int, op string, text string, target long, kind string, file string, font_idx int, flags int, space_before int, space_after int, line_space int, indent_left int, indent_right int, indent_first int, alignment string, border int, border_width int, tabs array<int>, "
         "position int, bm_index int, x int, y int, w int, h int, ncols int, table_type int, min_width int, trleft int, trgaph int, cols array<struct<gap:int,width:int,cellx:int>>",
-        _ops,
+        topics.page_ops,
     ),
     "images": ("bm_index int, type int, packing int, width int, height int, bpp int, rgba binary, png binary, metafile binary", topics.images),
     "wmf_ops": (f"bm_index int, seq int, {WMF_COLUMNS}", lambda f: metafile.metafile_ops(topics.metafiles(f))),
@@ -81,13 +77,22 @@ def columns_of(table: str, columns: Collection[str] | None = None) -> list[str]:
     return [c for c in split(TABLES[table][0]) if columns is None or c.split(" ", 1)[0] in columns]
 
 
+def rows_of(table: str, ops: Collection[str] | None = None) -> Callable[[HelpFile], Iterator[dict]]:
+    """What gives the rows of a file; other operations of pages than those named are only counted, not made."""
+    rows = TABLES[table][1]
+    if ops is None:
+        return rows
+    kept = frozenset(ops)
+    return (lambda f: topics.page_ops(f, kept)) if table == "page_ops" else (lambda f: (row for row in rows(f) if row["op"] in kept))
+
+
 def decode(files: DataFrame, table: str, font_stride: int = 34, columns: Collection[str] | None = None, ops: Collection[str] | None = None) -> DataFrame:
     """A table of all files (file_key, content); files that can't be read have no rows.
 
     Only the named columns, and rows with these values of ``op``, become Arrow
     rows and leave the worker.
     """
-    rows_of = TABLES[table][1]
+    rows = rows_of(table, ops)
     schema = files.sparkSession.createDataFrame([], ", ".join(["file_key string", *columns_of(table, columns)])).schema
     arrow = _arrow(schema)
     names = schema.names[1:]
@@ -104,14 +109,13 @@ def decode(files: DataFrame, table: str, font_stride: int = 34, columns: Collect
         for batch in batches:
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    for row in rows_of(HelpFile(content.as_py() or b"", font_stride)):
-                        if ops is None or row["op"] in ops:
-                            held.append(row)
-                            keys.append(key)
-                            if len(held) >= most:
-                                yield sent()
-                                held.clear()
-                                keys.clear()
+                    for row in rows(HelpFile(content.as_py() or b"", font_stride)):
+                        held.append(row)
+                        keys.append(key)
+                        if len(held) >= most:
+                            yield sent()
+                            held.clear()
+                            keys.clear()
                 except BadFile:
                     pass
         if held:
