@@ -206,3 +206,9 @@ def test_unwanted_operations_are_counted_and_not_made(monkeypatch):
     file.pages  # noqa: B018
     monkeypatch.setattr(HelpFile, "text", lambda self, raw: pytest.fail("a text was decoded") if b"quick" in raw else "")
     assert len(list(topics.page_ops(file, {"TABLE_START"}))) == 4
+
+
+def test_anchors_of_a_page_need_no_join(spark):
+    from tomespark.plans import rich_queries
+
+    assert "Join" not in plan_of(rich_queries.QUERIES["hlp_anchors"](spark, "/root/testdata/sf0.001"))

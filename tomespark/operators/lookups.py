@@ -91,11 +91,12 @@ def page_numbers(rows: DataFrame, by: list[str], order: list[str], starts_page:
 def anchor(asked: DataFrame, paragraphs: DataFrame, on: list[str], at: str, para_at: str, out: str = "anchor") -> DataFrame:
     """The paragraph of each key that an offset means: the one at it, else the last one below it, else the key's first.
 
-    An exact one is the last one at or below, too, so one floor lookup gives both.
+    An exact one is the last one at or below, too, and the first one stands below all offsets once more, so one floor
+    lookup gives all three.
     """
-    found = floor_lookup(asked, paragraphs, on, at, para_at, [F.col(para_at)], F.col(para_at), out)
-    first = paragraphs.groupBy(*on).agg(F.min(para_at).alias("__least"))
-    return found.join(first, on, "left").withColumn(out, F.coalesce(out, "__least")).drop("__least")
+    first = paragraphs.groupBy(*on).agg(F.min(para_at).alias("__para")).withColumn("__place", F.lit(None).cast("long"))
+    places = paragraphs.select(*on, F.col(para_at).alias("__para"), F.col(para_at).cast("long").alias("__place"))
+    return floor_lookup(asked, places.unionByName(first), on, at, "__place", [F.col("__para")], F.col("__para"), out)
 
 
 def topic_titles(asked: DataFrame, pages: DataFrame, on: list[str], at: str = "topic_offset", out: str = "title") -> DataFrame:

@@ -9,11 +9,11 @@ import struct
 from collections.abc import Callable, Collection
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomespark.functions import codecs
-from tomespark.operators import lookups, navigation, tables
+from tomespark.operators import lookups, navigation
 from tomespark.sources import store, writer
 from tomespark.sources.corpus import Corpus
 from tomespark.sources.store import StoredCorpus
@@ -403,12 +403,12 @@ def hlp_associations(spark, sf_dir):
 select file_key, k page_idx, unnest([{{asked: 'exact', anchor: 1}}, {{asked: 'below', anchor: 0}}, {{asked: 'none', anchor: 0}}], recursive := true) from {_P}""")
 def hlp_anchors(spark, sf_dir):
     """Paragraphs as anchors within a page: an exact offset, the last one below another, or the first one."""
-    found = corpus(spark, sf_dir).table("page_ops", ["page_idx", "seq", "target"], ["PARAGRAPH"])
-    places = tables.written(found.select("file_key", "page_idx", F.col("target").alias("para_offset"), "seq"), "paragraphs")
-    first = lookups.first_of(places, ["file_key", "page_idx"], ["seq"]).select("file_key", "page_idx", F.col("para_offset").alias("__first"))
-    second = lookups.first_of(places.join(first, ["file_key", "page_idx"]).filter("para_offset > __first"), ["file_key", "page_idx"], ["seq"]).select("file_key", "page_idx", F.col("para_offset").alias("__second"), "__first")
+    page = ["file_key", "page_idx"]
+    places = stored(spark, sf_dir, {"page_ops": ["page_idx", "seq", "target"]}, ["PARAGRAPH"]).page_ops.withColumnRenamed("target", "para_offset")
+    headed = places.withColumn("__first", F.first("para_offset").over(Window.partitionBy(*page).orderBy("seq")))
+    second = headed.groupBy(*page).agg(F.min("__first").alias("__first"), F.min_by("para_offset", F.when(F.col("para_offset") > F.col("__first"), F.col("seq"))).alias("__second")).filter("__second is not null")
     asked = second.select("file_key", "page_idx", F.explode(F.array(*(F.struct(F.lit(name).alias("asked"), at.alias("offset")) for name, at in (("exact", F.col("__second")), ("below", F.col("__second") - 1), ("none", F.lit(-1).cast("long")))))).alias("a"), "__first", "__second").select("file_key", "page_idx", "a.*", "__first", "__second")
-    found = lookups.anchor(asked, places, ["file_key", "page_idx"], "offset", "para_offset")
+    found = lookups.anchor(asked, places, page, "offset", "para_offset")
     return found.select("file_key", "page_idx", "asked", F.when(F.col("anchor") == F.col("__second"), 1).when(F.col("anchor") == F.col("__first"), 0).alias("anchor"))
 
 
