@@ -176,6 +176,23 @@ def test_texts_are_packed_and_unpacked_by_slices(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == rows
 
 
+def rich(n=4):
+    from tomespark.plans import rich_queries
+
+    return rich_queries.rich_file([(10 + k, f"name {k}", "Brand", "type", 7) for k in range(n)])
+
+
+def test_unwanted_operations_are_counted_and_not_made(monkeypatch):
+    every = list(topics.page_ops(HelpFile(rich())))
+    assert [r["seq"] for r in every if r["page_idx"] == 1] == list(range(sum(r["page_idx"] == 1 for r in every)))
+    for op in sorted({r["op"] for r in every}):
+        assert list(topics.page_ops(HelpFile(rich()), {op})) == [r for r in every if r["op"] == op], op
+    file = HelpFile(rich())
+    file.pages  # noqa: B018
+    monkeypatch.setattr(HelpFile, "text", lambda self, raw: pytest.fail("a text was decoded") if b"quick" in raw else "")
+    assert len(list(topics.page_ops(file, {"TABLE_START"}))) == 4
+
+
 def test_the_first_bitmap_plays_no_other_record(monkeypatch):
     from tomespark.plans import rich_queries
     from tomespark.sources import metafile
@@ -191,24 +208,40 @@ def test_the_first_bitmap_plays_no_other_record(monkeypatch):
         metafile.first_bitmap(drawn[:9])
 
 
-def rich(n=4):
+def test_pictures_of_a_size_are_drawn_once(monkeypatch):
     from tomespark.plans import rich_queries
 
-    return rich_queries.rich_file([(10 + k, f"name {k}", "Brand", "type", 7) for k in range(n)])
+    whole = {p: rich_queries._picture(p % 256, 41, rich_queries.CHARSETS[p % 10]) for p in (1, 3, 255, 1001)}
+    rich_queries._drawn.cache_clear()
+    drawn, draw = [], rich_queries._picture
+    monkeypatch.setattr(rich_queries, "_picture", lambda *a: drawn.append(a) or draw(*a))
+    assert {p: rich_queries.picture(p, 41) for p in whole} == whole
+    assert len(drawn) == 3
 
 
-def test_unwanted_operations_are_counted_and_not_made(monkeypatch):
-    every = list(topics.page_ops(HelpFile(rich())))
-    assert [r["seq"] for r in every if r["page_idx"] == 1] == list(range(sum(r["page_idx"] == 1 for r in every)))
-    for op in sorted({r["op"] for r in every}):
-        assert list(topics.page_ops(HelpFile(rich()), {op})) == [r for r in every if r["op"] == op], op
-    file = HelpFile(rich())
-    file.pages  # noqa: B018
-    monkeypatch.setattr(HelpFile, "text", lambda self, raw: pytest.fail("a text was decoded") if b"quick" in raw else "")
-    assert len(list(topics.page_ops(file, {"TABLE_START"}))) == 4
+def test_short_bytes_without_copies_are_packed_as_they_stand(monkeypatch):
+    from tomespark.functions import codecs
+
+    cases = [bytes(range(n)) for n in (0, 1, 2, 3, 4, 8, 9, 17, 64)] + [b"aaaa", b"abcabc", b"abab"]
+    assert [codecs.lz77_expand(codecs.lz77_pack(c)) for c in cases] == cases
+    assert len(codecs.lz77_pack(b"abcabcabc")) < 9
+    monkeypatch.setattr(codecs, "_lz77_steps", lambda data: pytest.fail("arrays for a few bytes"))
+    assert codecs.lz77_pack(b"12345678x") == b"\x0012345678\x00x"
 
 
 def test_anchors_of_a_page_need_no_join(spark):
     from tomespark.plans import rich_queries
 
     assert "Join" not in plan_of(rich_queries.QUERIES["hlp_anchors"](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_store_of_chosen_columns_and_operations_has_the_rows_of_plain_tables(spark):
+    from tomespark.sources import store
+
+    files = spark.createDataFrame([("a", bytearray(rich())), ("b", bytearray(b"no help"))], "file_key string, content binary")
+    held = store.save(Corpus(spark, files), names={"pages": ["page_idx", "title"], "page_ops": ["page_idx", "seq", "kind"]}, ops=["LINK_START"])
+    plain = Corpus(spark, files)
+    assert held.pages.orderBy("page_idx").collect() == plain.table("pages", ["page_idx", "title"]).orderBy("page_idx").collect()
+    assert sorted(held.page_ops.collect()) == sorted(plain.table("page_ops", ["page_idx", "seq", "kind"], ["LINK_START"]).collect())
+    assert [r["file_key"] for r in held.errors.collect()] == ["b"]
+    held.close()

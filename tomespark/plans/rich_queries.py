@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Collection
-from functools import cache
+from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,9 +42,26 @@ def _words(*values: int) -> bytes:
 
 def picture(p: int, s: int) -> bytes:
     """A metafile with a record of every kind, by a part's key and size."""
-    color, box, rop = struct.pack("<I", p % 256), _words(40 + s, 30 + s, 20, 10), struct.pack("<I", 0xCC0020)
+    drawn, colors, charset = _drawn(s)
+    out = bytearray(drawn)
+    for at in colors:
+        out[at] = p % 256
+    out[charset] = CHARSETS[p % 10]
+    return bytes(out)
+
+
+@cache
+def _drawn(s: int) -> tuple[bytes, list[int], int]:
+    """The picture of a size, and where the key's colour and character set stand: two pictures differ there."""
+    first, second = _picture(0, s, 0), _picture(255, s, 0)
+    charset = next(k for k, (a, b) in enumerate(zip(first, _picture(0, s, 1))) if a != b)
+    return first, [k for k, (a, b) in enumerate(zip(first, second)) if a != b], charset
+
+
+def _picture(color: int, s: int, charset: int) -> bytes:
+    color, box, rop = struct.pack("<I", color), _words(40 + s, 30 + s, 20, 10), struct.pack("<I", 0xCC0020)
     dib = struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 24, 0, 0, 0, 0, 0, 0) + bytes([3, 2, s, 0])
-    font = _words(-s, 0, 900, 0, 700) + bytes([1, 0, 0, CHARSETS[p % 10], 0, 0, 0, 0]) + b"Arial\0".ljust(32, b"\0")
+    font = _words(-s, 0, 900, 0, 700) + bytes([1, 0, 0, charset, 0, 0, 0, 0]) + b"Arial\0".ljust(32, b"\0")
     escape = lambda f, body=b"": (0x0626, _words(f, len(body)) + body)
     return writer.metafile([
         (0x020B, _words(-2, -1)), (0x020C, _words(200, s)),
@@ -68,6 +85,11 @@ def _phrase_tables() -> tuple[bytes, tuple[bytes, bytes]]:
     return writer.phrase_table([*WORDS, *(bytes([k]) for k in range(16))]), writer.phrase_index(WORDS)
 
 
+@lru_cache(1 << 12)
+def _hash(p: int) -> int:
+    return codecs.hash43(f"part_{p}")
+
+
 def rich_file(parts: list[tuple]) -> bytes:
     """A file of parts (COLUMNS) in the order of their keys."""
     key = int(parts[0][0]) // 10
@@ -83,9 +105,9 @@ def rich_file(parts: list[tuple]) -> bytes:
             macro = [f'JumpId("f", `part_{p + 1}\')', f"PopupId(f, part_{p})", f"KLink(`{brand}')", "JumpContents(f)", f"JC(f,{p})", "Print()", f"JumpId(f, part_{p}); Back()"][p % 7].encode()
             out.append(title(k, None))
             own = writer.layout((s, s + 1, -s, 2 * s, 3, -4), (1, p % 100), (p % 50, 100), (0x000, 0x400, 0x800)[p % 3])
-            link = lambda code, to: bytes([code]) + struct.pack("<i", codecs.hash43(f"part_{to}"))
+            link = lambda code, to: bytes([code]) + struct.pack("<i", _hash(to))
             out.append(writer.formatted([(b"head", b"\x80" + struct.pack("<H", k)), (f"styled {s}".encode(), b"\x83"), (b"", b"\x81"), (b"x", b"\x8b"), (b"y", b"\x8c"), (b"", link(0xE3, p + 1)), (b"next", b"\x89"), (b"", link(0xE2, p)), (b"pop", b"\x89")], own))
-            far = struct.pack("<BI", 4, codecs.hash43("part_1") & 0xFFFFFFFF) + b"other.hlp\0"
+            far = struct.pack("<BI", 4, _hash(1) & 0xFFFFFFFF) + b"other.hlp\0"
             out.append(writer.formatted([(b"", b"\xc8" + struct.pack("<H", len(macro) + 1) + macro + b"\0"), (b"do", b"\x89"), (b"", b"\xeb" + struct.pack("<H", len(far)) + far), (b"far", b"\x89"), (b"", b"\x86\x03" + writer.wide_signed(4) + struct.pack("<HH", 0, k)), (b"", b"\x82"), (b"end", b"")]))
             out.append(writer.table(p % 2, 32767, [(5, s), (7, p % 100)], [(0, f"a{p}".encode()), (1, b"b"), (0, b"c")]))
             text = f"the quick{p} brown fox and the ".encode()
@@ -107,7 +129,7 @@ def rich_file(parts: list[tuple]) -> bytes:
         named["|Phrases"] = _phrase_tables()[0]
     named["|FONT"] = writer.fonts([brand.encode() for _, _, brand, _, _ in parts], [(p % 64, s, p % 6, k, p % 4096, s) for k, (p, _, _, _, s) in enumerate(parts)])
     offsets = writer.page_offsets(records, version, flags)
-    context = sorted((codecs.hash43(f"part_{p}"), o) for (p, *_), o in zip(parts, offsets))
+    context = sorted((_hash(p), o) for (p, *_), o in zip(parts, offsets))
     named["CONTEXT" if newer else "|CONTEXT"] = writer.tree([(struct.pack("<i", h), struct.pack("<ii", h, o)) for h, o in context], 64)
     for tree, column in (("K", 2), ("A", 3)):
         words: dict[bytes, list[int]] = {}

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tomespark.operators import tables
 
 from .container import BadFile, HelpFile
-from .corpus import TABLES, Corpus, columns_of, split
+from .corpus import TABLES, Corpus, columns_of, rows_of, split
 
 BATCH_ROWS = 500
 #: Columns of page_ops that Corpus.links reads.
@@ -69,7 +69,6 @@ def save(corpus: Corpus, path: str | None = None, names: Collection[str] | dict[
     spark, stride = corpus.spark, corpus.font_stride
     chosen = dict(names) if isinstance(names, dict) else dict.fromkeys(names or TABLES)
     names = list(chosen)
-    kept = {n: [c.split(" ", 1)[0] for c in columns_of(n, chosen[n])] for n in names}
     buckets = buckets or corpus.placed or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = path or tables.shared_folder(spark, "help-store")
     columns = ", ".join(f"{n} struct<{', '.join(_field(c) for c in columns_of(n, chosen[n]))}>" for n in names)
@@ -78,36 +77,46 @@ def save(corpus: Corpus, path: str | None = None, names: Collection[str] | dict[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, held = to_arrow_schema(schema), []
+        arrow = to_arrow_schema(schema)
+        of = {name: rows_of(name, ops if name == "page_ops" else None) for name in names}
+        held: dict[str, tuple[list[str], list[dict]]] = {name: ([], []) for name in ("errors", *names)}
 
-        def rows(key: str, content: bytes) -> Iterator[dict]:
+        def sent(part: str) -> pa.RecordBatch:
+            """The rows that are held of a table; the other tables' columns are null."""
+            keys, rows = held[part]
+            own = {"file_key": lambda kind: pa.array(keys, kind), "part_of": lambda kind: pa.array([part] * len(keys), kind), part: lambda kind: pa.array(rows, kind)}
+            columns = [own[f.name](f.type) if f.name in own else pa.nulls(len(keys), f.type) for f in arrow]
+            held[part] = [], []
+            return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+        def rows(content: bytes) -> Iterator[tuple[str, dict]]:
             try:
                 file = HelpFile(content, stride)
             except BadFile as e:
-                yield {"file_key": key, "part_of": "errors", "errors": {"message": str(e)}}
+                yield "errors", {"message": str(e)}
                 return
             try:
                 file.blocks  # noqa: B018  as in the table of errors
             except BadFile as e:
-                yield {"file_key": key, "part_of": "errors", "errors": {"message": str(e)}}
+                yield "errors", {"message": str(e)}
             for name in names:
                 try:
-                    own = kept[name]
-                    for row in TABLES[name][1](file):
-                        if ops is None or name != "page_ops" or row["op"] in ops:
-                            yield {"file_key": key, "part_of": name, name: {c: row.get(c) for c in own}}
+                    for row in of[name](file):
+                        yield name, row
                 except BadFile:
                     pass  # the rows before the fault stay, as in a table that is decoded alone
 
         for batch in batches:
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for row in rows(key, content.as_py() or b""):
-                    held.append(row)
-                    if len(held) == BATCH_ROWS:
-                        yield pa.RecordBatch.from_pylist(held, schema=arrow)
-                        held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                for part, row in rows(content.as_py() or b""):
+                    keys, own = held[part]
+                    keys.append(key)
+                    own.append(row)
+                    if len(own) == BATCH_ROWS:
+                        yield sent(part)
+        for part, (keys, _) in list(held.items()):
+            if keys:
+                yield sent(part)
 
     # Files are placed by bucket before they are decoded, so what moves is their packed bytes.
     placed = corpus.files.select("file_key", "content")
