@@ -245,3 +245,18 @@ def test_a_store_of_chosen_columns_and_operations_has_the_rows_of_plain_tables(s
     assert sorted(held.page_ops.collect()) == sorted(plain.table("page_ops", ["page_idx", "seq", "kind"], ["LINK_START"]).collect())
     assert [r["file_key"] for r in held.errors.collect()] == ["b"]
     held.close()
+
+
+def test_a_store_decodes_made_files_in_the_worker_that_makes_them(spark):
+    from pyspark.sql import functions as F
+
+    from tomespark.plans import file_queries, rich_queries
+    from tomespark.sources import store
+
+    for queries in (file_queries, rich_queries):
+        c = queries.corpus(spark, "/root/testdata/sf0.001")
+        pages = c.pages.count()
+        c.files = c.files.withColumn("content", F.raise_error(F.lit("files were sent on")).cast("binary"))
+        held = store.save(c, names=["pages"])
+        assert held.pages.count() == pages > 0
+        held.close()

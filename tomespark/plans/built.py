@@ -7,8 +7,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tomespark.sources.corpus import Corpus, Made
+
 #: Rows that are Python objects at once, and bytes of finished files that are sent together.
 ROWS, BYTES = 100, 1 << 20
+FILES = "file_key string, content binary"
 
 
 def partitions(rows: DataFrame) -> int:
@@ -19,6 +22,18 @@ def partitions(rows: DataFrame) -> int:
 
 def built(rows: DataFrame, order: str, build: Callable[[list[tuple]], bytes]) -> DataFrame:
     """file_key and content: ``build`` of the rows of each ``file_key`` (the first column) in order."""
+    placed, run = making(rows, order, build)
+    return placed.mapInArrow(run, FILES)
+
+
+def corpus_of(rows: DataFrame, order: str, build: Callable[[list[tuple]], bytes]) -> Corpus:
+    """The same files as a corpus; a store takes them where they are made."""
+    placed, run = making(rows, order, build)
+    return Corpus(rows.sparkSession, placed.mapInArrow(run, FILES), placed=partitions(rows), made=(placed, run))
+
+
+def making(rows: DataFrame, order: str, build: Callable[[list[tuple]], bytes]) -> Made:
+    """The rows where their files are made, and what makes record batches of files of theirs."""
     placed = rows.repartition(partitions(rows), "file_key").sortWithinPartitions("file_key", order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,4 +60,4 @@ def built(rows: DataFrame, order: str, build: Callable[[list[tuple]], bytes]) ->
         if keys:
             yield sent()
 
-    return placed.mapInArrow(run, "file_key string, content binary")
+    return placed, run

@@ -18,7 +18,7 @@ from tomespark.sources import store, writer
 from tomespark.sources.corpus import Corpus
 from tomespark.sources.store import StoredCorpus
 
-from .built import built, partitions
+from .built import built, corpus_of
 from .file_queries import _phrase3, _phrase4
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,8 +152,7 @@ def rich_file(parts: list[tuple]) -> bytes:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    made = files(spark, sf_dir)
-    return Corpus(spark, made, placed=partitions(made))
+    return corpus_of(*parts(spark, sf_dir))
 
 
 def stored(spark: SparkSession, sf_dir: str, names: dict[str, Collection[str] | None], ops: Collection[str] | None = None) -> StoredCorpus:
@@ -162,8 +161,13 @@ def stored(spark: SparkSession, sf_dir: str, names: dict[str, Collection[str] |
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(*parts(spark, sf_dir))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, Callable[[list[tuple]], bytes]]:
+    """The rows of files, their order, and what makes a file of them."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(*COLUMNS.split(", "), F.format_string("p%06d", F.floor(F.col("p_partkey") / 10)).alias("file_key"))
-    return built(part.select("file_key", *COLUMNS.split(", ")), "p_partkey", lambda rows: rich_file([row[1:] for row in rows]))
+    return part.select("file_key", *COLUMNS.split(", ")), "p_partkey", lambda rows: rich_file([row[1:] for row in rows])
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:

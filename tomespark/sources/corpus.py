@@ -56,6 +56,8 @@ TABLES: dict[str, tuple[str, Callable[[HelpFile], Iterator[dict]]]] = {
 }
 
 
+Made = tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]
+
 #: Rows that are sent together, and rows with bytes or long texts among them.
 BATCH_ROWS, BATCH_WIDE = 2000, 200
 
@@ -150,14 +152,15 @@ class Corpus:
     """Help files under a path, or the rows of a table with ``file_key`` and ``content``.
 
     ``placed``: into how many partitions the table is hashed by ``file_key``, if it is.
+    ``made``: the rows that the table is made of by mapInArrow, placed likewise, and the function that makes it.
     """
 
-    def __init__(self, spark: SparkSession, source: str | DataFrame, font_stride: int = 34, placed: int = 0) -> None:
+    def __init__(self, spark: SparkSession, source: str | DataFrame, font_stride: int = 34, placed: int = 0, made: Made | None = None) -> None:
         if isinstance(source, str):
             read = spark.read.format("binaryFile").option("pathGlobFilter", "*.[hH][lL][pP]").option("recursiveFileLookup", "true").load(source)
             name = F.regexp_extract("path", r"([^/]*)$", 1)
             source = read.select(native.file_key(native.decoded(name)).alias("file_key"), F.length("content").cast("long").alias("length"), "content")
-        self.spark, self.files, self.font_stride, self.placed = spark, source, font_stride, placed
+        self.spark, self.files, self.font_stride, self.placed, self.made = spark, source, font_stride, placed, made
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:

@@ -118,11 +118,17 @@ def save(corpus: Corpus, path: str | None = None, names: Collection[str] | dict[
             if keys:
                 yield sent(part)
 
-    # Files are placed by bucket before they are decoded, so what moves is their packed bytes.
-    placed = corpus.files.select("file_key", "content")
-    placed = placed if corpus.placed == buckets else placed.repartition(buckets, "file_key")
+    # Files are placed by bucket before they are decoded, so what moves is their packed bytes; those that are made
+    # there are decoded by the worker that makes them, some at a time.
+    if corpus.made and corpus.placed == buckets:
+        placed, make = corpus.made
+        decoded = placed.mapInArrow(lambda batches: run(make(batches)), schema)
+    else:
+        placed = corpus.files.select("file_key", "content")
+        placed = placed if corpus.placed == buckets else placed.repartition(buckets, "file_key")
+        decoded = placed.mapInArrow(run, schema)
     name = f"help_store_{uuid.uuid4().hex}"
-    placed.mapInArrow(run, schema).write.partitionBy("part_of").bucketBy(buckets, "file_key").option("path", f"{path}/rows").format("parquet").saveAsTable(name)
+    decoded.write.partitionBy("part_of").bucketBy(buckets, "file_key").option("path", f"{path}/rows").format("parquet").saveAsTable(name)
     counted = {r["part_of"]: r["n"] for r in spark.table(name).groupBy("part_of").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a table
     manifest = {"rows": {n: counted.get(n, 0) for n in names}, "errors": counted.get("errors", 0), "buckets": buckets, "font_stride": stride, "schema": schema.simpleString()}
     spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.json(f"{path}/manifest")
